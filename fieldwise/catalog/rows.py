@@ -11,11 +11,13 @@ from ..functions.recode import (
     recode, score_classes, score_flags, split_group_key,
 )
 from ..operators import history, progress
+from ..operators.ordering import positions
+from ..operators.summaries import crosstab, crosstab_wide
+from ..plans.scenarios import case_table
 from ..sources.contacts import decode_labels, read_contact_forms, sample_rows, union_rounds
-from ..operators.summaries import crosstab
 from . import sql
-from .registry import longs, query, r6
-from .views import PRIO, attempts, cases, scenarios, table
+from .registry import query, r6
+from .views import PRIO, STUDY, attempts, cases, table
 
 ORDER_FORM = T.StructType([
     T.StructField("o_orderkey", T.LongType()),
@@ -306,8 +308,6 @@ GROUP BY user_id"""
 @query("long_histories", EVENTS_SQL)
 def long_histories(spark, d):
     """Cases with many attempts: users and their events."""
-    from ..operators.ordering import positions
-
     e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
     e = positions(e, ["user_id"], ["ts", "event_id"], "k").withColumn(
         "done", F.col("event_type") == "purchase"
@@ -385,7 +385,7 @@ SELECT case_id, cntry_round, attempt, time, attempt_number, interview, status_70
 
 @query("last_attempt", LAST_SQL)
 def last(spark, d):
-    return cases(spark, d).select(
+    return case_table(attempts(spark, d), STUDY).select(
         "case_id", "cntry_round", "attempt", "time", "attempt_number", "interview", "status_70pct"
     )
 
@@ -461,6 +461,4 @@ FROM cases GROUP BY ALL"""
 
 @query("crosstab_wide", WIDE_SQL)
 def crosstab_pivot(spark, d):
-    from ..operators.summaries import crosstab_wide
-
     return crosstab_wide(cases(spark, d), ["seg", "cntry_round"], "prio", PRIO.values)

@@ -181,30 +181,41 @@ def bv(k: int, b: str) -> str:
     )
 
 
-def indicator(name: str, cells: str, by: str, spec: ModelSpec, steps: int = 9) -> str:
-    """CTEs ending in ``<name>_ind``: the indicators of unweighted cells (n, y)."""
+def indicator(
+    name: str, cells: str, by: str, spec: ModelSpec, steps: int = 9, total: str = "",
+) -> str:
+    """CTEs ending in ``<name>_ind``: the indicators of cells.
+
+    ``cells`` has n and y on the scale the model is fitted on.  With weights it
+    also has w (sum of weights) and ``total`` names a table (by, vp, vq, rows)
+    of design variances and row counts; without, w is n and both are zero.
+    """
     k = len(columns(spec))
+    w = "w" if total else "n"
     fit = newton(name, cells, by, spec, steps)
     z = ", ".join(f"p * (1 - p) * x{i} AS z{i}" for i in range(k))
-    moments = [f"sum(n * z{i}) / sum(n) AS mz{i}" for i in range(k)]
-    moments += [f"sum(n * z{i} * (p - pm)) / sum(n) AS a{i}" for i in range(k)]
+    moments = [f"sum({w} * z{i}) / sum({w}) AS mz{i}" for i in range(k)]
+    moments += [f"sum({w} * z{i} * (p - pm)) / sum({w}) AS a{i}" for i in range(k)]
     moments += [
-        f"sum(n * z{i} * z{j}) / sum(n) AS m{i}_{j}" for i in range(k) for j in range(i, k)
+        f"sum({w} * z{i} * z{j}) / sum({w}) AS m{i}_{j}" for i in range(k) for j in range(i, k)
     ]
     b = ", ".join(f"m{i}_{j} - mz{i} * mz{j} AS c{i}_{j}" for i in range(k) for j in range(i, k))
     lam = " + ".join(
         f"m{min(i, j)}_{max(i, j)} * {_v(i, j)}" for i in range(k) for j in range(k)
     )
+    extra = f"JOIN {total} USING ({by})" if total else ""
+    design = "vp, vq, rows" if total else "0.0 AS vp, 0.0 AS vq, pop AS rows"
     return f"""{fit},
 {name}_p AS (SELECT *, {predicted(name, spec)} AS p FROM {name}_x JOIN {name} USING ({by})),
-{name}_q AS MATERIALIZED (SELECT *, {z}, sum(n * p) OVER (PARTITION BY {by}) / sum(n) OVER (PARTITION BY {by}) AS pm FROM {name}_p),
-{name}_mom AS MATERIALIZED (SELECT {by}, sum(n) AS total, max(pm) AS pm, sum(n * (p - pm) * (p - pm)) AS ss,
+{name}_q AS MATERIALIZED (SELECT *, {z}, sum({w} * p) OVER (PARTITION BY {by}) / sum({w}) OVER (PARTITION BY {by}) AS pm FROM {name}_p),
+""" + ("{TOTALS}" if total else "") + f"""{name}_mom AS MATERIALIZED (SELECT {by}, sum({w}) AS pop, max(pm) AS pm, sum({w} * (p - pm) * (p - pm)) AS ss,
   {', '.join(moments)} FROM {name}_q GROUP BY {by}),
 {name}_cov AS MATERIALIZED (SELECT *, {b} FROM {name}_mom JOIN {name} USING ({by})),
 {name}_bv AS MATERIALIZED (SELECT *, {bv(k, 'c')} FROM {name}_cov),
-{name}_var AS (SELECT {by}, total, pm, ss / (total - 1) AS s2, {lam} AS bias,
-  (4 * ({quad(k, 'a')}) + 2 * ({square(k, 'c')})) / (ss / total) AS r_var FROM {name}_bv),
-{name}_ind AS (SELECT {by}, total, pm AS prop_mean, s2, r_var,
+{name}_des AS (SELECT *, {design} FROM {name}_bv {extra}),
+{name}_var AS (SELECT {by}, pop, rows, pm, ss / (pop - 1) AS s2, {lam} - vp / (pop * pop) AS bias,
+  (4 * ({quad(k, 'a')}) + 2 * ({square(k, 'c')}) + vq / (pop * pop)) / (ss / pop) AS r_var FROM {name}_des),
+{name}_ind AS (SELECT {by}, pop, rows, pm AS prop_mean, s2, r_var,
   CASE WHEN bias > s2 THEN 0.0 ELSE 1 - bias / s2 END AS bias_factor FROM {name}_var)"""
 
 
@@ -213,9 +224,68 @@ def indicator_columns() -> str:
     adj = "sqrt(s2 * bias_factor)"
     cv = f"{adj} / prop_mean"
     return (
-        f"CAST(total AS BIGINT) AS n_obs, round(prop_mean, 6) AS prop_mean, "
+        f"CAST(rows AS BIGINT) AS n_obs, round(prop_mean, 6) AS prop_mean, "
         f"round(1 - 2 * {adj}, 6) AS r, round(1 - 2 * sqrt(s2), 6) AS r_unadj, "
         f"round(sqrt(r_var), 6) AS r_se, round(bias_factor, 6) AS bias_factor, "
         f"round({cv}, 6) AS cv, round(sqrt(s2) / prop_mean, 6) AS cv_unadj, "
-        f"round(sqrt(0.25 * r_var / pow(prop_mean, 2) + pow({cv}, 4) / total), 6) AS cv_se"
+        f"round(sqrt(0.25 * r_var / pow(prop_mean, 2) + pow({cv}, 4) / rows), 6) AS cv_se"
+    )
+
+
+def one_factor(name: str, cells: str, by: str) -> str:
+    """Closed form for a saturated model: ``cells`` has by, category, n, y; unit weights."""
+    return f"""
+{name}_c AS (SELECT {by}, category, n, y / n AS p, y / n * (1 - y / n) AS v,
+  sum(n) OVER (PARTITION BY {by}) AS pop,
+  sum(y) OVER (PARTITION BY {by}) / sum(n) OVER (PARTITION BY {by}) AS pm FROM {cells}),
+{name}_s AS (SELECT {by}, max(pop) AS pop, max(pm) AS pm, sum(n * (p - pm) * (p - pm)) AS ss, sum(v) / max(pop) AS bias,
+  4 * sum(n * v * (p - pm) * (p - pm)) / pow(max(pop), 2)
+  + 2 * (sum(pow(v / pop, 2) * pow(1 - n / pop, 2)) + (pow(sum(n * v), 2) - sum(pow(n * v, 2))) / pow(max(pop), 4)) AS top
+  FROM {name}_c GROUP BY {by}),
+{name}_ind AS (SELECT {by}, pop, pop AS rows, pm AS prop_mean, ss / (pop - 1) AS s2, top / (ss / pop) AS r_var,
+  CASE WHEN bias > ss / (pop - 1) THEN 0.0 ELSE 1 - bias / (ss / (pop - 1)) END AS bias_factor FROM {name}_s)"""
+
+
+def conditional(name: str, by: str, spec: ModelSpec, variables: list[str]) -> str:
+    """CTEs after ``indicator(name, ...)``: ``<name>_pc`` (by, variable, category, ss, se, pop)."""
+    k = len(columns(spec))
+    parts = []
+    for t, v in enumerate(variables):
+        others = ", ".join(o for o in spec.factors if o != v)
+        peers = f"(PARTITION BY {by}{', ' + others if others else ''})"
+        dz = ", ".join(
+            f"z{i} - sum(n * z{i}) OVER {peers} / sum(n) OVER {peers} AS dz{i}" for i in range(k)
+        )
+        sums = [f"sum(n * d * dz{i}) AS da{i}" for i in range(k)]
+        sums += [f"sum(n * dz{i} * dz{j}) AS db{i}_{j}" for i in range(k) for j in range(i, k)]
+        ref = f"{name}_k{t}"
+        parts.append(f"""
+{ref}_d AS MATERIALIZED (SELECT {by}, {v} AS category, n,
+  p - sum(n * p) OVER {peers} / sum(n) OVER {peers} AS d, {dz} FROM {name}_q),
+{ref}_a AS MATERIALIZED (SELECT {by}, category, sum(n * d * d) AS ss, {', '.join(sums)} FROM {ref}_d GROUP BY {by}, category),
+{ref}_v AS MATERIALIZED (SELECT * FROM {ref}_a JOIN {name} USING ({by})),
+{ref}_b AS MATERIALIZED (SELECT *, {bv(k, 'db')} FROM {ref}_v),
+{ref} AS (SELECT {by}, '{v}' AS variable, category, ss,
+  0.25 * (4 * ({quad(k, 'da')}) + 2 * ({square(k, 'db')})) AS top FROM {ref}_b)""")
+    union = " UNION ALL ".join(f"SELECT * FROM {name}_k{t}" for t in range(len(variables)))
+    return ",".join(parts) + f""",
+{name}_pc AS (SELECT u.*, pop, prop_mean, bias_factor, sqrt(top / (pop * ss)) AS se
+  FROM ({union}) u JOIN {name}_ind USING ({by}))"""
+
+
+def unconditional(name: str, by: str, variables: list[str]) -> str:
+    """CTEs after ``indicator(name, ...)``: ``<name>_pu`` by category, ``<name>_puv`` by variable."""
+    cats = "\nUNION ALL ".join(
+        f"SELECT {by}, '{v}' AS variable, {v} AS category, sum(n) AS nk, sum(n * p) / sum(n) AS pk, "
+        f"sum(y) AS yk, max(pm) AS pm FROM {name}_q GROUP BY {by}, {v}" for v in variables
     )
+    return f"""
+{name}_pu AS MATERIALIZED (SELECT u.*, pop, bias_factor, nk * (pk - pm) * (pk - pm) / pop AS part
+  FROM ({cats}) u JOIN {name}_ind USING ({by})),
+{name}_pk AS (SELECT {by} || '~' || variable AS bv, category, nk AS n, yk AS y FROM {name}_pu),
+{one_factor(name + "_of", name + "_pk", "bv")},
+{name}_puv AS (SELECT {by}, variable, max(prop_mean) AS prop_mean, sqrt(sum(part)) AS pu_unadj,
+  sqrt(sum(part) * max(bias_factor)) AS pu, max(se) AS pu_se
+  FROM (SELECT {name}_pu.*, i.prop_mean, 0.5 * sqrt(o.r_var) AS se FROM {name}_pu
+    JOIN {name}_ind i USING ({by}) JOIN {name}_of_ind o ON o.bv = {by} || '~' || variable)
+  GROUP BY {by}, variable)"""
