@@ -81,7 +81,7 @@ wcell AS MATERIALIZED (SELECT cntry_round, prio, barrier, sum({weight}) AS w, su
   sum({weight} * y) * max(scale) AS y FROM wc JOIN sw USING (cntry_round) GROUP BY cntry_round, prio, barrier),
 {sql.indicator("m", "wcell", "cntry_round", DEM, total="tot")}
 SELECT cntry_round, round(pop, 4) AS population, {sql.indicator_columns()} FROM m_ind"""
-    totals = f"""pcase AS MATERIALIZED (SELECT wc.cntry_round, wc.status, {weight} AS wt, p, (p - pm) * (p - pm) AS q
+    totals = f"""pcase AS MATERIALIZED (SELECT wc.cntry_round, wc.status, wc.{weight} AS wt, p, (p - pm) * (p - pm) AS q
   FROM wc JOIN m_q ON wc.cntry_round = m_q.cntry_round AND wc.prio = m_q.prio AND wc.barrier = m_q.barrier),
 tot AS MATERIALIZED ({variance}),
 """
@@ -364,10 +364,8 @@ def scenario_wide_rates(spark, d):
 
 
 def _calibration_sql(score: str) -> str:
-    qs = ", ".join(f"{i / 20}" for i in range(21))
     return f"""{RANKED},
-br AS (SELECT cntry_round, list_sort(list_distinct(quantile_cont({score}, [{qs}]))) AS breaks FROM study
-  WHERE {score} IS NOT NULL GROUP BY cntry_round)
+{sql.breaks("study", "cntry_round", score)}
 SELECT cntry_round, bin, count(*) AS n, round(avg(CAST(interview AS INTEGER)), 6) AS rr,
   round(min({score}), 6) AS score_min, round(max({score}), 6) AS score_max
 FROM (SELECT study.*, CAST(greatest(1, least(len(list_filter(breaks, lambda b: b <= {score})), len(breaks) - 1)) AS INTEGER) AS bin

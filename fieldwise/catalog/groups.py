@@ -8,6 +8,7 @@ from ..operators import cells as C
 from ..operators import summaries as S
 from ..operators.indicators import merge_categories
 from ..operators.targeting import anti_selected, argmin_per_group
+from ..stages import stage
 from . import sql
 from .registry import query, r6, rounded
 from .views import FULL, PRIO, cases
@@ -272,7 +273,8 @@ SELECT cntry_round, case_id FROM cases WHERE cntry_round IN
 def allowed_groups(spark, d):
     c = cases(spark, d).select("cntry_round", "case_id", "interview")
     good = c.groupBy("cntry_round").agg(F.avg(F.col("interview").cast("int")).alias("rate"))
-    return c.join(good.filter("rate > 0.74"), "cntry_round", "left_semi").drop("interview")
+    allowed = stage(good.filter("rate > 0.74"), "allowed")
+    return c.join(allowed, "cntry_round", "left_semi").drop("interview")
 
 
 ARGMIN_SQL = f"""WITH {sql.CASES}

@@ -40,9 +40,7 @@ SELECT cntry_round, round(b0, 6) AS intercept, round(b1, 6) AS slope,
 
 
 def all_cells(spark, d, covariates, response="interview"):
-    return stage(
-        covariate_cells(cases(spark, d), ["cntry_round"], covariates, [response]), "cells"
-    )
+    return covariate_cells(cases(spark, d), ["cntry_round"], covariates, [response])
 
 
 @query("logit_2param", LOGIT_SQL)
@@ -171,9 +169,7 @@ LEFT JOIN m ON m.cntry_round = cases.cntry || '-' || CAST(previous AS VARCHAR)""
 @query("score_previous", PREV_SQL)
 def score_previous(spark, d):
     c = cases(spark, d)
-    cells = stage(
-        covariate_cells(c, ["cntry", "round"], FULL.factors, ["interview"]), "cells"
-    )
+    cells = covariate_cells(c, ["cntry", "round"], FULL.factors, ["interview"])
     fit = P.fit_grouped(cells, FULL, ["cntry", "round"])
     before = previous_available_period(c, "cntry", "round")
     older = stage(P.previous_fits(fit, before, "cntry", "round"), "previous-fits")
@@ -296,8 +292,7 @@ def possible(spark, d):
 
 
 BINS_SQL = f"""WITH {sql.CASES},
-br AS (SELECT cntry, list_sort(list_distinct(quantile_cont(price, [{", ".join(f"{i / 20}" for i in range(21))}]))) AS breaks
-  FROM cases GROUP BY cntry)
+{sql.breaks("cases", "cntry", "price")}
 SELECT cntry, bin, count(*) AS n, round(avg(CAST(interview AS INTEGER)), 6) AS rr, min(price) AS score_min, max(price) AS score_max
 FROM (SELECT cases.*, CAST(least(len(list_filter(breaks, lambda b: b <= price)), len(breaks) - 1) AS INTEGER) AS bin
   FROM cases JOIN br USING (cntry)) GROUP BY cntry, bin"""
@@ -313,10 +308,10 @@ def bins(spark, d):
 # --- the full targeting study -------------------------------------------------
 
 RANKED = f"""WITH RECURSIVE {sql.CASES}, {sql.PREVIOUS}, {EARLY_CELLS}, {LATE_CELLS},
-{sql.newton("d1", "ec", "cntry_round", DEM, 14)},
-{sql.newton("f1", "ec", "cntry_round", FULL, 14)},
-{sql.newton("d2", "lc", "cntry_round", DEM2, 14)},
-{sql.newton("f2", "lc", "cntry_round", FULL2, 14)},
+{sql.newton("d1", "ec", "cntry_round", DEM, 10)},
+{sql.newton("f1", "ec", "cntry_round", FULL, 10)},
+{sql.newton("d2", "lc", "cntry_round", DEM2, 10)},
+{sql.newton("f2", "lc", "cntry_round", FULL2, 10)},
 scored AS MATERIALIZED (
   SELECT cases.*, {_eta("d1", DEM)} AS s_d1, {_eta("f1", FULL)} AS s_f1,
     {_eta("d2", DEM2)} AS s_d2, {_eta("f2", FULL2)} AS s_f2

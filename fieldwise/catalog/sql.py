@@ -65,6 +65,17 @@ previous AS (
 )"""
 
 
+def breaks(source: str, group: str, score: str, bins: int = 20) -> str:
+    """CTEs ending in br(group, breaks): merged quantile edges at exact ranks (m - 1) i / bins."""
+    h = f"CAST((m - 1) * i AS DOUBLE) / {bins}"
+    return f"""
+bo AS (SELECT {group}, {score} AS s, row_number() OVER (PARTITION BY {group} ORDER BY {score}) - 1 AS k,
+  count(*) OVER (PARTITION BY {group}) AS m FROM {source} WHERE {score} IS NOT NULL),
+be AS (SELECT {group}, i, max(CASE WHEN k = floor({h}) THEN s END) AS lo, max(CASE WHEN k = ceil({h}) THEN s END) AS hi,
+  max({h} - floor({h})) AS frac FROM bo, range(0, {bins + 1}) t(i) GROUP BY {group}, i),
+br AS (SELECT {group}, list_sort(list_distinct(list(lo + (hi - lo) * frac))) AS breaks FROM be GROUP BY {group})"""
+
+
 def tie(seed: str, key: str = "case_id") -> str:
     """The random order of a case under a seed."""
     return f"CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || '|{seed}'), 1, 15) AS BIGINT)"

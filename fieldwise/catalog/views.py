@@ -83,10 +83,11 @@ def raw_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build_attempts(spark: SparkSession, sf_dir: str, hot_rows: int | None = None) -> DataFrame:
     """The long history: attempts numbered in each case, success attached."""
-    raw = stage(raw_attempts(spark, sf_dir), "raw-attempts")
+    raw = raw_attempts(spark, sf_dir)
+    keys = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"))
     tie = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
     extra = {} if hot_rows is None else {"hot_rows": hot_rows}
-    numbered = positions(raw, ["case_id"], ["time", *tie], "attempt", **extra)
+    numbered = positions(raw, ["case_id"], ["time", *tie], "attempt", keys=keys, **extra)
     numbered = numbered.withColumn("attempt", F.col("attempt").cast("int")).drop(*tie)
     won = success_attempt(numbered, ["case_id"])
     return numbered.join(won, "case_id").withColumn(

@@ -26,7 +26,8 @@ def covariate_cells(
 
     n rows, w = sum of weights, w2 = sum of squared weights, y = sum of weight
     times response, yy = sum of weight times squared response, and the range of
-    the weights.  All responses come from one aggregation over ``df``.
+    the weights.  All responses come from one aggregation over ``df``, and the
+    cells are written once: everything after this step reads them, not ``df``.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     value = {r: F.col(r).cast("double") for r in responses}
@@ -49,9 +50,10 @@ def covariate_cells(
         for r in responses
     ]))
     carried = ["n", "w", "w2", "wmin", "wmax"]
-    return sums.select(*keys, *carried, per_response.alias("_r")).select(
+    cells = sums.select(*keys, *carried, per_response.alias("_r")).select(
         *by, "_r.response", *keys[len(by):], *carried, "_r.y", "_r.yy", "_r.answered"
     )
+    return stage(cells, "cells")
 
 
 def rollup_cells(cells: DataFrame, keys: Sequence[str]) -> DataFrame:

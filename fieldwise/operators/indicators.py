@@ -76,30 +76,40 @@ def scored_cells(
 ) -> DataFrame:
     """Cells with p, z, the group totals and the design, written once.
 
-    The windows run over cells, whose number per group is bounded by the number
-    of covariate patterns, never over cases.
+    Totals are aggregated and joined back, not taken by a window, so a group
+    with very many cells is combined map-side.
     """
+    by = list(by)
     models = fits.select(
         *by, "effects", F.when(F.col("complete"), F.col("sigma")).alias("sigma")
     )
-    c = cells.select("*", design_array(spec).alias("x")).join(models, list(by))
+    c = cells.select("*", design_array(spec).alias("x")).join(models, by)
     eta = linear_part(F.col("x"), F.col("effects"))
-    p = eta if family == "gaussian" else 1 / (1 + F.exp(-eta))
-    c = c.withColumn("p", p)
+    c = c.withColumn("p", eta if family == "gaussian" else 1 / (1 + F.exp(-eta)))
+    strata = stage(
+        c.groupBy(*by, "stratum").agg(
+            F.sum("w").alias("st_pop"),
+            F.sum("n").alias("st_rows"),
+            F.sum(F.col("w") * F.col("p")).alias("_wp"),
+            (F.min("wmin") == F.max("wmax")).alias("_flat"),
+        ),
+        "strata",
+    )
+    totals = stage(
+        strata.groupBy(*by).agg(
+            F.sum("st_pop").alias("pop"),
+            F.sum("st_rows").alias("rows"),
+            (F.sum("_wp") / F.sum("st_pop")).alias("p_mean"),
+            F.bool_and("_flat").alias("constant_weights"),
+            F.count(F.lit(1)).alias("n_strata"),
+        ),
+        "totals",
+    )
     g = F.lit(1.0) if family == "gaussian" else F.col("p") * (1 - F.col("p"))
-    group = Window.partitionBy(*by)
-    stratum = Window.partitionBy(*by, "stratum")
-    c = c.withColumns({
-        "z": F.transform("x", lambda v: v * g),
-        "pop": F.sum("w").over(group),
-        "rows": F.sum("n").over(group),
-        "p_mean": F.sum(F.col("w") * F.col("p")).over(group) / F.sum("w").over(group),
-        "st_pop": F.sum("w").over(stratum),
-        "st_rows": F.sum("n").over(stratum),
-        "_flat": F.min("wmin").over(stratum) == F.max("wmax").over(stratum),
-    })
-    c = c.withColumn("constant_weights", F.bool_and(F.col("_flat")).over(group))
-    return stage(c.drop("_flat", "effects", "wmin", "wmax", "answered"), "scored")
+    c = c.withColumn("z", F.transform("x", lambda v: v * g))
+    c = c.drop("x", "effects", "wmin", "wmax", "answered")
+    c = c.join(strata.drop("_wp", "_flat"), [*by, "stratum"]).join(totals, by)
+    return stage(c, "scored")
 
 
 def var_totals(
@@ -145,7 +155,7 @@ def r_indicator(c: DataFrame, spec: ModelSpec, by: Sequence[str]) -> DataFrame:
         F.sum(F.col("w") * q * q).alias("_ss"),
         F.first("sigma").alias("sigma"),
         F.first("constant_weights").alias("_flat"),
-        F.count_distinct("stratum").alias("n_strata"),
+        F.first("n_strata").alias("n_strata"),
     )
     vector = c.select(
         *by, "w", F.concat(F.array(F.lit(1.0), q), F.col("z")).alias("_v")
@@ -185,11 +195,11 @@ def r_indicator(c: DataFrame, spec: ModelSpec, by: Sequence[str]) -> DataFrame:
     )
 
 
-def _by_variable(c: DataFrame, variables: Sequence[str], model_factors: Sequence[str]) -> DataFrame:
+def _by_variable(c: DataFrame, variables: Sequence[str], covariates: Sequence[str]) -> DataFrame:
     """Cells repeated per variable: its category, and the pattern of all other model variables."""
 
     def others(v: str) -> Column:
-        rest = [F.col(o).cast("string") for o in model_factors if o != v]
+        rest = [F.col(o).cast("string") for o in covariates if o != v]
         return F.to_json(F.array(*rest)) if rest else F.lit("[]")
 
     each = F.explode(F.array(*[
@@ -244,12 +254,12 @@ def _one_factor_se(c: DataFrame, by: Sequence[str], family: str) -> DataFrame:
 
 
 def unconditional_partials(
-    c: DataFrame, by: Sequence[str], variables: Sequence[str], model_factors: Sequence[str],
+    c: DataFrame, by: Sequence[str], variables: Sequence[str], covariates: Sequence[str],
     family: str,
 ) -> tuple[DataFrame, DataFrame]:
     """(by variable: pu_unadj, pu_se), (by category: pu_unadj, pu_unadj_se)."""
     key = [*by, "variable"]
-    long = _by_variable(c, variables, model_factors)
+    long = _by_variable(c, variables, covariates)
     # Category sums inside each stratum, and what the stratum holds in total.
     per = long.groupBy(
         *key, "category", "stratum", "st_pop", "st_rows", "pop", "rows", "p_mean",
@@ -319,7 +329,7 @@ def conditional_partials(
     """
     key = [*by, "variable"]
     size = len(spec.coordinates())
-    long = _by_variable(c, variables, spec.factors)
+    long = _by_variable(c, variables, spec.covariates)
     w = F.col("w")
     peers = Window.partitionBy(*key, "others")
 
@@ -409,7 +419,7 @@ def cell_indicators(
         return Indicators(overall)
     overall = stage(overall, "indicators")
     variables = list(dict.fromkeys([*spec.factors, *other_variables]))
-    pu_var, pu_cat = unconditional_partials(c, by, variables, spec.factors, family)
+    pu_var, pu_cat = unconditional_partials(c, by, variables, spec.covariates, family)
     pc_var, pc_cat = conditional_partials(c, spec, by, variables)
     factor = overall.select(*by, "bias_factor", "prop_mean")
     v = pu_var.join(pc_var, [*by, "variable"]).join(factor, by)
@@ -454,9 +464,7 @@ def indicator_by_group(
     else:
         df, stratum = df.withColumn("stratum", F.col(stratum)), "stratum"
     covariates = list(dict.fromkeys([*spec.covariates, *other_variables]))
-    cells = stage(
-        covariate_cells(df, by, covariates, responses, weight, stratum), "indicator-cells"
-    )
+    cells = covariate_cells(df, by, covariates, responses, weight, stratum)
     return cell_indicators(
         cells, spec, [*by, "response"], family, partials, other_variables
     )

@@ -29,13 +29,15 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 
 
 def split_hot(
-    df: DataFrame, by: Sequence[str], hot_rows: int
+    df: DataFrame, by: Sequence[str], hot_rows: int, keys: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
     """Rows of groups up to ``hot_rows`` and rows of the groups above it (or None).
 
-    The table of hot groups has at most rows / hot_rows rows.
+    The table of hot groups has at most rows / hot_rows rows.  ``keys`` is a
+    cheaper frame holding the same group columns row for row (a bare scan, say).
     """
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+    source = df if keys is None else keys
+    sizes = source.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
     hot = stage(sizes.filter(F.col("_size") > hot_rows), "hot-groups")
     if hot.isEmpty():
         return df, None
@@ -64,14 +66,16 @@ def positions(
     out: str = "position",
     total: str | None = None,
     hot_rows: int = HOT_ROWS,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Add the 1-based position of each row in its group, and the group's size.
 
-    ``order`` must be a total order inside a group.  ``df`` is read twice
-    (sizes, then positions): stage it first when it is expensive.
+    ``order`` must be a total order inside a group.  Group sizes are counted
+    first, on the group columns of ``df`` alone: pass a staged ``df``, or a
+    cheap ``keys`` frame with the same groups, when ``df`` is expensive.
     """
     by, order, keep = list(by), _cols(order), df.columns
-    cold, hot = split_hot(df, by, hot_rows)
+    cold, hot = split_hot(df, by, hot_rows, keys)
     group = Window.partitionBy(*by)
     extra = [F.row_number().over(group.orderBy(*order)).cast("bigint").alias(out)]
     if total:

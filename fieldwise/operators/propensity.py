@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..specs import Coordinate, ModelSpec
 from ..stages import stage
-from .cells import design_array
+from .cells import design_array, rollup_cells
 
 MAX_CELLS_IN_TASK = 100_000
 MAX_ITERATIONS = 25
@@ -155,18 +156,37 @@ def _by_schema(df: DataFrame, by: Sequence[str]) -> list[T.StructField]:
     return [df.schema[c] for c in by]
 
 
-def prepare_cells(cells: DataFrame, spec: ModelSpec, by: Sequence[str]) -> DataFrame:
-    """Cells with their design row, written once; refuses incomplete cases."""
-    ready = stage(
-        cells.select(*by, "n", "w", "y", "yy", "answered", design_array(spec).alias("x")),
-        "cells",
-    )
-    bad = ready.filter(
-        F.exists("x", lambda v: v.isNull()) | (F.col("answered") < F.col("n"))
+def prepare_cells(
+    cells: DataFrame, spec: ModelSpec, by: Sequence[str]
+) -> tuple[DataFrame, int]:
+    """Cells with their design row, and the size of the largest group.
+
+    Refuses incomplete cases: they would have to be dropped from model and
+    indicator alike, which ``complete_cases`` does.
+    """
+    ready = cells.select(*by, "n", "w", "y", "yy", "answered", design_array(spec).alias("x"))
+    bad = F.exists("x", lambda v: v.isNull()) | (F.col("answered") < F.col("n"))
+    check = (
+        ready.groupBy(*by).agg(F.count(F.lit(1)).alias("cells"), F.count_if(bad).alias("bad"))
+        .agg(F.max("cells"), F.sum("bad")).first()
     )
-    if not bad.isEmpty():
+    if check[1]:
         raise ValueError("covariates and responses must be complete: use complete_cases first")
-    return ready
+    return ready.drop("answered"), check[0] or 0
+
+
+def fit_in_tasks(
+    ready: DataFrame, spec: ModelSpec, by: Sequence[str], family: str = "binomial"
+) -> DataFrame:
+    """Lazy fit of prepared cells, one task per group; see ``fit_grouped``."""
+    by, coords = list(by), spec.coordinates()
+    schema = T.StructType(_by_schema(ready, by) + _FIT_FIELDS)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        key = {c: pdf[c].iloc[0] for c in by}
+        return pd.DataFrame([{**key, **_solve_cells(pdf, coords, family)}])
+
+    return ready.groupBy(*by).applyInPandas(solve, schema)
 
 
 def fit_grouped(
@@ -180,21 +200,36 @@ def fit_grouped(
     step is a distributed aggregation.
     """
     by = list(by)
-    ready = prepare_cells(cells, spec, by)
-    largest = ready.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    ready, largest = prepare_cells(cells, spec, by)
     if largest > max_cells:
         return _fit_iterative(ready, spec, by, family)
-    coords = spec.coordinates()
-    schema = T.StructType(_by_schema(ready, by) + _FIT_FIELDS)
+    return stage(fit_in_tasks(ready, spec, by, family), "fits")
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = {c: pdf[c].iloc[0] for c in by}
-        return pd.DataFrame([{**key, **_solve_cells(pdf, coords, family)}])
 
-    return stage(
-        ready.select(*by, "n", "w", "y", "yy", "x").groupBy(*by).applyInPandas(solve, schema),
-        "fits",
-    )
+def fit_models(
+    cells: DataFrame, models: dict[str, tuple[ModelSpec, Column | None]], by: Sequence[str],
+    max_cells: int = MAX_CELLS_IN_TASK,
+) -> dict[str, DataFrame]:
+    """Several models of the same cells: name -> (spec, rows to use).
+
+    Each model's cells are rolled up from the common ones, and all models are
+    solved in one job.
+    """
+    by, lazy, out = list(by), [], {}
+    for name, (spec, rows) in models.items():
+        part = cells if rows is None else cells.filter(rows)
+        part = rollup_cells(part, [*by, *spec.covariates])
+        ready, largest = prepare_cells(part, spec, by)
+        if largest > max_cells:
+            out[name] = _fit_iterative(ready, spec, by, "binomial")
+        else:
+            lazy.append(fit_in_tasks(ready, spec, by).withColumn("model", F.lit(name)))
+    if lazy:
+        together = stage(reduce(DataFrame.unionByName, lazy), "fits")
+        for name in models:
+            if name not in out:
+                out[name] = together.filter(F.col("model") == name).drop("model")
+    return out
 
 
 def linear_part(x: Column, effects: Column) -> Column:

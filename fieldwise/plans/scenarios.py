@@ -14,7 +14,7 @@ from ..operators.indicators import cell_indicators, summarise_indicator
 from ..operators.progress import (
     fieldwork_progress, last_attempt, pct, previous_available_period, sequence_attempts,
 )
-from ..operators.propensity import fit_grouped, previous_fits, score_column
+from ..operators.propensity import fit_models, previous_fits, score_column
 from ..operators.targeting import (
     alternating_picks, bottom_half, counterfactual_response, rank_random_ties, selected_flag,
     top_half,
@@ -66,16 +66,12 @@ def _models(s: Scenario) -> dict[str, tuple[ModelSpec, bool]]:
 def propensity_fits(cases: DataFrame, s: Scenario) -> dict[str, DataFrame]:
     """The four model families, all from one pass over the cases."""
     by = [s.entity, s.period, s.group]
-    covariates = s.full.factors
-    cells = stage(
-        covariate_cells(cases, [*by, s.early], [*covariates, "attempt"], [s.response]),
-        "phase-cells",
-    )
-    out = {}
-    for name, (spec, early) in _models(s).items():
-        phase = cells.filter(F.col(s.early) if early else ~F.col(s.early))
-        out[name] = fit_grouped(rollup_cells(phase, [*by, *spec.covariates]), spec, by)
-    return out
+    cells = covariate_cells(cases, [*by, s.early], [*s.full.factors, "attempt"], [s.response])
+    models = {
+        name: (spec, F.col(s.early) if early else ~F.col(s.early))
+        for name, (spec, early) in _models(s).items()
+    }
+    return fit_models(cells, models, by)
 
 
 def late_scores(cases: DataFrame, fits: dict[str, DataFrame], s: Scenario) -> DataFrame:
@@ -216,11 +212,8 @@ GRID_RESPONSES = {
 def grid_cells(scenarios: DataFrame, s: Scenario, responses: Sequence[str]) -> DataFrame:
     """Cells of every grid response, one pass over the scenario cases."""
     cases = scenarios.withColumn("stratum", F.lit(1))
-    return stage(
-        covariate_cells(
-            cases, s.group_cols, s.full.factors, responses, stratum="stratum"
-        ),
-        "grid-cells",
+    return covariate_cells(
+        cases, s.group_cols, s.full.factors, responses, stratum="stratum"
     )
 
 
