@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,16 +20,17 @@ from pyspark.sql import functions as F
 from ..specs import ModelSpec
 from ..stages import stage
 from .cells import covariate_cells, design_array, infer_strata
-from .propensity import fit_grouped, linear_part, pair_sums, to_matrix
+from .propensity import fit_grouped, fit_models, linear_part, pair_sums, to_matrix
 
 _FORMS = "trace double, quad double, square double"
 
 
-def _forms(size: int, centred: bool):
+def _forms(centred: bool):
     """pandas UDF: (sums, sigma, total) -> tr(S M), a'S a, tr(B S B S).
 
-    ``sums`` are second moments of (1, q, z): M = sum w z z', a and B are the
-    covariances with and of z (``centred``) or the plain sums divided by nothing.
+    ``sums`` are second moments of (1, q, z), S is sigma.  M holds the sums over
+    z; a and B are the covariances with and of z when ``centred``, else the
+    plain sums.
     """
 
     @F.pandas_udf(_FORMS)
@@ -38,6 +40,7 @@ def _forms(size: int, centred: bool):
             if g is None:
                 out.append((None, None, None))
                 continue
+            size = int(round(len(g) ** 0.5))
             cov = np.asarray(g, float).reshape(size, size)
             m = to_matrix(s, size + 2)
             zz, a = m[2:, 2:], m[1, 2:]
@@ -71,45 +74,41 @@ def _pps(n: Column, total: Column, square: Column) -> Column:
     return F.try_divide(n * square - total * total, n - 1)
 
 
-def scored_cells(
-    cells: DataFrame, fits: DataFrame, spec: ModelSpec, by: Sequence[str], family: str
-) -> DataFrame:
-    """Cells with p, z, the group totals and the design, written once.
+def scored_cells(cells: DataFrame, fits: DataFrame, by: Sequence[str], family: str) -> DataFrame:
+    """Cells (with design row x) plus p, z, stratum and group totals, written once.
 
-    Totals are aggregated and joined back, not taken by a window, so a group
-    with very many cells is combined map-side.
+    Totals are aggregated and joined back, not taken by a window over cells, so
+    a group with very many cells is combined map-side.
     """
     by = list(by)
     models = fits.select(
         *by, "effects", F.when(F.col("complete"), F.col("sigma")).alias("sigma")
     )
-    c = cells.select("*", design_array(spec).alias("x")).join(models, by)
+    c = cells.join(models, by)
     eta = linear_part(F.col("x"), F.col("effects"))
     c = c.withColumn("p", eta if family == "gaussian" else 1 / (1 + F.exp(-eta)))
-    strata = stage(
-        c.groupBy(*by, "stratum").agg(
-            F.sum("w").alias("st_pop"),
-            F.sum("n").alias("st_rows"),
-            F.sum(F.col("w") * F.col("p")).alias("_wp"),
-            (F.min("wmin") == F.max("wmax")).alias("_flat"),
-        ),
-        "strata",
+    strata = c.groupBy(*by, "stratum").agg(
+        F.sum("w").alias("st_pop"),
+        F.sum("n").alias("st_rows"),
+        F.sum(F.col("w") * F.col("p")).alias("_wp"),
+        (F.min("wmin") == F.max("wmax")).alias("_flat"),
     )
+    group = Window.partitionBy(*by)  # over one row per stratum
     totals = stage(
-        strata.groupBy(*by).agg(
-            F.sum("st_pop").alias("pop"),
-            F.sum("st_rows").alias("rows"),
-            (F.sum("_wp") / F.sum("st_pop")).alias("p_mean"),
-            F.bool_and("_flat").alias("constant_weights"),
-            F.count(F.lit(1)).alias("n_strata"),
+        strata.select(
+            *by, "stratum", "st_pop", "st_rows",
+            F.sum("st_pop").over(group).alias("pop"),
+            F.sum("st_rows").over(group).alias("rows"),
+            (F.sum("_wp").over(group) / F.sum("st_pop").over(group)).alias("p_mean"),
+            F.bool_and("_flat").over(group).alias("constant_weights"),
+            F.count(F.lit(1)).over(group).alias("n_strata"),
         ),
         "totals",
     )
     g = F.lit(1.0) if family == "gaussian" else F.col("p") * (1 - F.col("p"))
     c = c.withColumn("z", F.transform("x", lambda v: v * g))
     c = c.drop("x", "effects", "wmin", "wmax", "answered")
-    c = c.join(strata.drop("_wp", "_flat"), [*by, "stratum"]).join(totals, by)
-    return stage(c, "scored")
+    return stage(c.join(totals, [*by, "stratum"]), "scored")
 
 
 def var_totals(
@@ -145,10 +144,9 @@ def var_totals(
     ])
 
 
-def r_indicator(c: DataFrame, spec: ModelSpec, by: Sequence[str]) -> DataFrame:
+def r_indicator(c: DataFrame, by: Sequence[str]) -> DataFrame:
     """R, CV, their unadjusted versions and standard errors; one row per group."""
     by = list(by)
-    size = len(spec.coordinates())
     q = F.col("p") - F.col("p_mean")
     const = [*by, "pop", "rows", "p_mean"]
     spread = c.groupBy(*const).agg(
@@ -163,7 +161,7 @@ def r_indicator(c: DataFrame, spec: ModelSpec, by: Sequence[str]) -> DataFrame:
     sums = pair_sums(vector, by, "_v", F.col("w"))
     v = var_totals(c, by, {"_vp": F.col("p"), "_vq": q * q})
     r = spread.join(sums, by).join(v, by)
-    r = r.withColumn("f", _forms(size, True)("sums", "sigma", "pop"))
+    r = r.withColumn("f", _forms(True)("sums", "sigma", "pop"))
     n, s2 = F.col("pop"), F.try_divide("_ss", F.col("pop") - 1)
     bias = (F.col("f.trace") - F.col("_vp") / n) / n
     var = F.try_divide(
@@ -364,7 +362,7 @@ def conditional_partials(
     v = category_var_totals(centred, key, d * d)
     sigma = centred.groupBy(*cat_key).agg(F.first("sigma").alias("sigma"))
     r = by_cat.join(sums, cat_key).join(v, cat_key).join(sigma, cat_key)
-    r = r.withColumn("f", _forms(size, False)("sums", "sigma", "pop"))
+    r = r.withColumn("f", _forms(False)("sums", "sigma", "pop"))
     var = F.try_divide(
         0.25 * (4 * F.col("f.quad") + 2 * F.col("f.square") + F.col("var_total")),
         F.col("pop") * F.col("_ss"),
@@ -406,6 +404,26 @@ def merge_categories(left: DataFrame, right: DataFrame, key: Sequence[str]) -> D
     return left.join(right, [*key, "variable", "category"])
 
 
+def overall_indicators(
+    models: dict[str, tuple[DataFrame, ModelSpec]], by: Sequence[str], family: str = "binomial"
+) -> DataFrame:
+    """Indicators under several models in one pass: name -> (cells, spec).
+
+    Past the design row nothing depends on the model, so the cells of all
+    models are stacked and every later step runs once.
+    """
+    by = list(by)
+    fits = fit_models(models, by, family)
+    stacked = reduce(DataFrame.unionByName, [
+        cells.select(
+            *by, F.lit(name).alias("model"), "stratum", "n", "w", "w2", "wmin", "wmax",
+            design_array(spec).alias("x"),
+        )
+        for name, (cells, spec) in models.items()
+    ])
+    return r_indicator(scored_cells(stacked, fits, [*by, "model"], family), [*by, "model"])
+
+
 def cell_indicators(
     cells: DataFrame, spec: ModelSpec, by: Sequence[str], family: str = "binomial",
     partials: bool = False, other_variables: Sequence[str] = (),
@@ -413,8 +431,9 @@ def cell_indicators(
     """Indicators from cells that carry ``stratum``; ``by`` includes the response."""
     by = list(by)
     fits = fit_grouped(cells, spec, by, family)
-    c = scored_cells(cells, fits, spec, by, family)
-    overall = r_indicator(c, spec, by)
+    ready = cells.select("*", design_array(spec).alias("x"))
+    c = scored_cells(ready, fits, by, family)
+    overall = r_indicator(c, by)
     if not partials:
         return Indicators(overall)
     overall = stage(overall, "indicators")

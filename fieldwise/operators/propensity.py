@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..specs import Coordinate, ModelSpec
 from ..stages import stage
-from .cells import design_array, rollup_cells
+from .cells import design_array
 
 MAX_CELLS_IN_TASK = 100_000
 MAX_ITERATIONS = 25
@@ -175,6 +175,12 @@ def prepare_cells(
     return ready.drop("answered"), check[0] or 0
 
 
+def spread(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Hash partitioning on ``by`` that adaptive execution does not shrink."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *by)
+
+
 def fit_in_tasks(
     ready: DataFrame, spec: ModelSpec, by: Sequence[str], family: str = "binomial"
 ) -> DataFrame:
@@ -186,7 +192,9 @@ def fit_in_tasks(
         key = {c: pdf[c].iloc[0] for c in by}
         return pd.DataFrame([{**key, **_solve_cells(pdf, coords, family)}])
 
-    return ready.groupBy(*by).applyInPandas(solve, schema)
+    # A fit costs far more than its few cells weigh, so the groups keep the full
+    # number of shuffle partitions instead of being coalesced by size.
+    return spread(ready, by).groupBy(*by).applyInPandas(solve, schema)
 
 
 def fit_grouped(
@@ -207,29 +215,22 @@ def fit_grouped(
 
 
 def fit_models(
-    cells: DataFrame, models: dict[str, tuple[ModelSpec, Column | None]], by: Sequence[str],
+    models: dict[str, tuple[DataFrame, ModelSpec]], by: Sequence[str], family: str = "binomial",
     max_cells: int = MAX_CELLS_IN_TASK,
-) -> dict[str, DataFrame]:
-    """Several models of the same cells: name -> (spec, rows to use).
+) -> DataFrame:
+    """Several models at once: name -> (cells, spec).  Adds the name as ``model``.
 
-    Each model's cells are rolled up from the common ones, and all models are
-    solved in one job.
+    Models that fit in tasks are solved together in one job.
     """
-    by, lazy, out = list(by), [], {}
-    for name, (spec, rows) in models.items():
-        part = cells if rows is None else cells.filter(rows)
-        part = rollup_cells(part, [*by, *spec.covariates])
-        ready, largest = prepare_cells(part, spec, by)
+    by, parts = list(by), []
+    for name, (cells, spec) in models.items():
+        ready, largest = prepare_cells(cells, spec, by)
         if largest > max_cells:
-            out[name] = _fit_iterative(ready, spec, by, "binomial")
+            fits = _fit_iterative(ready, spec, by, family)
         else:
-            lazy.append(fit_in_tasks(ready, spec, by).withColumn("model", F.lit(name)))
-    if lazy:
-        together = stage(reduce(DataFrame.unionByName, lazy), "fits")
-        for name in models:
-            if name not in out:
-                out[name] = together.filter(F.col("model") == name).drop("model")
-    return out
+            fits = fit_in_tasks(ready, spec, by, family)
+        parts.append(fits.withColumn("model", F.lit(name)))
+    return stage(reduce(DataFrame.unionByName, parts), "fits")
 
 
 def linear_part(x: Column, effects: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CUTOFFS, DEMOGRAPHICS, DEMOGRAPHICS_OBS
 from ..operators.cells import covariate_cells, rollup_cells
-from ..operators.indicators import cell_indicators, summarise_indicator
+from ..operators.indicators import overall_indicators, summarise_indicator
 from ..operators.progress import (
     fieldwork_progress, last_attempt, pct, previous_available_period, sequence_attempts,
 )
@@ -68,10 +68,17 @@ def propensity_fits(cases: DataFrame, s: Scenario) -> dict[str, DataFrame]:
     by = [s.entity, s.period, s.group]
     cells = covariate_cells(cases, [*by, s.early], [*s.full.factors, "attempt"], [s.response])
     models = {
-        name: (spec, F.col(s.early) if early else ~F.col(s.early))
+        name: (
+            rollup_cells(
+                cells.filter(F.col(s.early) if early else ~F.col(s.early)),
+                [*by, *spec.covariates],
+            ),
+            spec,
+        )
         for name, (spec, early) in _models(s).items()
     }
-    return fit_models(cells, models, by)
+    fits = fit_models(models, by)
+    return {name: fits.filter(F.col("model") == name) for name in models}
 
 
 def late_scores(cases: DataFrame, fits: dict[str, DataFrame], s: Scenario) -> DataFrame:
@@ -225,14 +232,11 @@ def indicator_grid(scenarios: DataFrame, s: Scenario, responses=GRID_RESPONSES)
     """
     fine = grid_cells(scenarios, s, list(responses))
     by = [*s.group_cols, "response"]
-    parts = []
-    for label, spec in (("Dem", s.dem), ("Full", s.full)):
-        cells = fine if spec is s.full else rollup_cells(fine, [*by, *spec.factors, "stratum"])
-        overall = cell_indicators(cells, spec, by).overall
-        parts.append(
-            summarise_indicator(overall, by).withColumn("r_indicator", F.lit(label))
-        )
-    grid = parts[0].unionByName(parts[1])
+    coarse = rollup_cells(fine, [*by, *s.dem.factors, "stratum"])
+    overall = overall_indicators({"Dem": (coarse, s.dem), "Full": (fine, s.full)}, by)
+    grid = summarise_indicator(
+        overall.withColumnRenamed("model", "r_indicator"), [*by, "r_indicator"]
+    )
     labels = F.create_map(*[
         x for r, (m, sel) in responses.items()
         for x in (F.lit(r), F.struct(F.lit(m).alias("m"), F.lit(sel).alias("s")))
