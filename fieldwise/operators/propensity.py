@@ -24,6 +24,15 @@ from .cells import design_array
 
 MAX_CELLS_IN_TASK = 100_000
 MAX_ITERATIONS = 25
+TOLERANCE = 1e-8  # relative change of the deviance
+BOUND = 30.0  # linear predictors are clipped here
+BOUNDARY = 15.0  # beyond this a fit counts as lying on the boundary
+
+# First step of a logistic fit: a row starts at 3/4 when it responded and 1/4
+# when not, which fixes its weight, working response and deviance.
+START_WEIGHT = 0.75 * 0.25
+START_RESPONSE = math.log(3) + 0.25 / START_WEIGHT
+START_DEVIANCE = -math.log(0.75)
 
 _FIT_FIELDS = [
     T.StructField("effects", T.ArrayType(T.DoubleType())),
@@ -118,6 +127,52 @@ def _alias(roles: list[str], gram: np.ndarray) -> list[int]:
     return fitted
 
 
+def _inverse(info: np.ndarray) -> np.ndarray:
+    """Inverse of an information matrix, scaled first: fits on the boundary have
+    weights near zero in some columns only."""
+    d = np.sqrt(np.maximum(np.diag(info), 1e-300))
+    scaled = info / np.outer(d, d)
+    try:
+        return np.linalg.inv(scaled) / np.outer(d, d)
+    except np.linalg.LinAlgError:
+        return np.linalg.pinv(scaled, hermitian=True) / np.outer(d, d)
+
+
+def _irls(x: np.ndarray, w: np.ndarray, y: np.ndarray):
+    """Reweighted least squares from the customary start and stopping rule.
+
+    A fit away from the boundary is polished to full precision.  Where a
+    category responds always or never the maximum lies at infinity and the
+    answer *is* where the stopping rule ends the run, so it is left there.
+    Returns beta, inverse information, log likelihood, steps, converged.
+    """
+    weight, target = START_WEIGHT * w, START_WEIGHT * START_RESPONSE * (2 * y - w)
+    last, converged = 2 * w.sum() * START_DEVIANCE, False
+    for step in range(1, MAX_ITERATIONS + 1):
+        inverse = _inverse((x * weight[:, None]).T @ x)
+        beta = inverse @ (x.T @ target)
+        eta = np.clip(x @ beta, -BOUND, BOUND)
+        mu = 1 / (1 + np.exp(-eta))
+        log_lik = float(np.sum(y * eta - w * np.logaddexp(0, eta)))
+        converged = abs(-2 * log_lik - last) / (abs(2 * log_lik) + 0.1) < TOLERANCE
+        weight, last = w * mu * (1 - mu), -2 * log_lik
+        target = weight * eta + y - w * mu
+        if converged:
+            break
+    while converged and np.abs(eta).max() < BOUNDARY:
+        inverse = _inverse((x * weight[:, None]).T @ x)
+        change = inverse @ (x.T @ (y - w * mu))
+        beta, step = beta + change, step + 1
+        eta = np.clip(x @ beta, -BOUND, BOUND)
+        mu = 1 / (1 + np.exp(-eta))
+        log_lik = float(np.sum(y * eta - w * np.logaddexp(0, eta)))
+        weight = w * mu * (1 - mu)
+        if np.abs(change).max() < 1e-9 or step > 2 * MAX_ITERATIONS:
+            inverse = _inverse((x * weight[:, None]).T @ x)
+            break
+    return beta, inverse, log_lik, step, converged
+
+
 def _solve_cells(pdf: pd.DataFrame, coords: Sequence[Coordinate], family: str) -> dict:
     x_all = np.stack(pdf["x"].to_numpy())
     n = pdf["n"].to_numpy(float)
@@ -136,19 +191,8 @@ def _solve_cells(pdf: pd.DataFrame, coords: Sequence[Coordinate], family: str) -
         log_lik = -n.sum() / 2 * (math.log(2 * math.pi * rss / n.sum()) + 1) if rss > 0 else math.nan
         return _fit_row(coords, roles, fitted, beta, inverse * disp, rank, n.sum(), log_lik,
                         disp, 1, True, family)
-    beta, last, converged = np.zeros(rank), None, False
-    for step in range(1, MAX_ITERATIONS + 1):
-        eta = np.clip(x @ beta, -35, 35)
-        mu = 1 / (1 + np.exp(-eta))
-        log_lik = float(np.sum(y * eta - w * np.logaddexp(0, eta)))
-        info = (x * (w * mu * (1 - mu))[:, None]).T @ x
-        inverse = np.linalg.pinv(info, hermitian=True)
-        change = math.inf if last is None else abs(log_lik - last) / (abs(log_lik) + 0.05)
-        converged = change < 1e-8
-        if change < 1e-13:
-            break
-        beta, last = beta + inverse @ (x.T @ (y - w * mu)), log_lik
-    return _fit_row(coords, roles, fitted, beta, inverse, rank, n.sum(), log_lik, 1.0, step,
+    beta, inverse, log_lik, steps, converged = _irls(x, w, y)
+    return _fit_row(coords, roles, fitted, beta, inverse, rank, n.sum(), log_lik, 1.0, steps,
                     converged, family)
 
 
@@ -268,96 +312,112 @@ def to_matrix(sums, size: int) -> np.ndarray:
 
 
 def _fit_iterative(ready: DataFrame, spec: ModelSpec, by: list[str], family: str) -> DataFrame:
-    """Newton steps as aggregations over all cells; state is one row per group.
+    """The same fit by aggregations over all cells; state is one row per group.
 
-    A step sums W x x' with the score appended as one more column: the vector
-    is (x, r) with r chosen so that W x r = x (y - w mu).
+    A step sums W x x' with the working response as one more column.  The state
+    is written after each step, which also cuts the lineage.
     """
     coords = spec.coordinates()
     size = len(coords)
     totals = ready.groupBy(*by).agg(F.sum("n").alias("_n"), F.sum("w").alias("_sw"))
-    zero = F.array(*[F.lit(0.0)] * size)
+    fields = _by_schema(ready, by)
+    extra = [("_n", T.LongType()), ("_sw", T.DoubleType()), ("_last", T.DoubleType()),
+             ("_done", T.BooleanType()), ("_polish", T.BooleanType())]
+    schema = T.StructType(fields + [T.StructField(n, t) for n, t in extra] + _FIT_FIELDS)
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in _FIT_FIELDS}
+    blank["effects"] = F.array(*[F.lit(0.0)] * size)
+    blank["iterations"] = F.lit(0)
     state = stage(
-        totals.select("*", zero.alias("effects"), F.lit(None).cast("double").alias("_last"),
-                      F.lit(0).alias("iterations"), F.lit(False).alias("_done"),
-                      F.lit(None).cast("array<string>").alias("roles")),
+        totals.select(
+            *by, "_n", "_sw", (2 * F.col("_n") * START_DEVIANCE).alias("_last"),
+            F.lit(False).alias("_done"), F.lit(False).alias("_polish"),
+            *[c.alias(n) for n, c in blank.items()],
+        ),
         "newton",
     )
-    fields = _by_schema(ready, by)
-    schema = T.StructType(
-        fields + [T.StructField("_n", T.LongType()), T.StructField("_sw", T.DoubleType()),
-                  T.StructField("_last", T.DoubleType()), T.StructField("_done", T.BooleanType())]
-        + _FIT_FIELDS
-    )
 
     def advance(batches):
         for pdf in batches:
-            rows = []
-            for r in pdf.to_dict("records"):
-                m = to_matrix(r["sums"], size + 1)
-                info, score = m[:size, :size], m[:size, size]
-                roles = list(r["roles"]) if r["roles"] is not None else None
-                if roles is None:
-                    roles = coordinate_roles(coords, np.diag(info) > 0)
-                    fitted = _alias(roles, info)
-                else:
-                    fitted = [j for j, role in enumerate(roles) if role == "fitted"]
-                inverse = np.linalg.pinv(info[np.ix_(fitted, fitted)], hermitian=True)
-                effects = np.array([0.0 if e is None else e for e in r["effects"]], float)
-                effects = np.nan_to_num(effects)[fitted]
-                step = inverse @ score[fitted]
-                last, now = r["_last"], r["_log_lik"]
-                if family == "gaussian":
-                    done = r["iterations"] >= 1  # the second pass has the residuals
-                    change = 0.0
-                    disp = r["_rss"] / (r["_n"] - len(fitted))
-                    now = -r["_n"] / 2 * (math.log(2 * math.pi * r["_rss"] / r["_n"]) + 1)
-                else:
-                    first = last is None or math.isnan(last)
-                    change = math.inf if first else abs(now - last) / (abs(now) + 0.05)
-                    done = change < 1e-13 or r["iterations"] + 1 >= MAX_ITERATIONS
-                    disp = 1.0
-                beta = effects if done else effects + step
-                out = _fit_row(coords, roles, fitted, beta, inverse * disp, len(fitted),
-                               r["_n"], now, disp, r["iterations"] + 1, change < 1e-8, family)
-                rows.append({**{c: r[c] for c in by}, "_n": r["_n"], "_sw": r["_sw"],
-                             "_last": now, "_done": done, **out})
+            rows = [_advance_row(r, coords, family, by) for r in pdf.to_dict("records")]
             yield pd.DataFrame(rows, columns=schema.names)
 
-    finished = None
-    for _ in range(MAX_ITERATIONS):
-        live = ready.join(
-            state.filter(~F.col("_done")).select(*by, "_n", "_sw", "effects"), by
-        )
+    finished = []
+    for step in range(2 * MAX_ITERATIONS):
+        live = ready.join(state.select(*by, "_n", "_sw", "effects"), by)
         scale = F.col("_n") / F.col("_sw")
         eta = linear_part(F.col("x"), F.col("effects"))
         w, y, yy = (F.col(c) * scale for c in ("w", "y", "yy"))
         live = live.select(*by, "x", w.alias("w"), y.alias("y"), yy.alias("yy"), eta.alias("eta"))
+        w, y, eta = F.col("w"), F.col("y"), F.col("eta")
+        rss, log_lik, reach = F.lit(0.0), F.lit(0.0), F.lit(0.0)
         if family == "gaussian":
-            mu, weight = F.col("eta"), F.col("w")
-            log_lik = F.lit(0.0)
+            weight, response = w, y / w
+            rss = F.col("yy") - 2 * eta * y + w * eta * eta
+        elif step == 0:
+            weight, response = START_WEIGHT * w, START_RESPONSE * (2 * y / w - 1)
         else:
-            bounded = F.greatest(F.lit(-35.0), F.least(F.lit(35.0), F.col("eta")))
+            bounded = F.greatest(F.lit(-BOUND), F.least(F.lit(BOUND), eta))
             mu = 1 / (1 + F.exp(-bounded))
-            weight = F.col("w") * mu * (1 - mu)
-            log_lik = F.col("y") * bounded - F.col("w") * F.log1p(F.exp(bounded))
-        rss = F.col("yy") - 2 * mu * F.col("y") + F.col("w") * mu * mu
+            weight = w * mu * (1 - mu)
+            response = bounded + (y - w * mu) / weight
+            log_lik = y * bounded - w * F.log1p(F.exp(bounded))
+            reach = F.abs(eta)
         live = live.select(
-            *by, weight.alias("_weight"),
-            F.concat("x", F.array((F.col("y") - F.col("w") * mu) / weight)).alias("_v"),
-            log_lik.alias("_ll"), rss.alias("_r"),
+            *by, weight.alias("_weight"), F.concat("x", F.array(response)).alias("_v"),
+            log_lik.alias("_ll"), rss.alias("_r"), reach.alias("_eta"),
         )
         sums = pair_sums(live, by, "_v", F.col("_weight")).join(
-            live.groupBy(*by).agg(F.sum("_ll").alias("_log_lik"), F.sum("_r").alias("_rss")), by
+            live.groupBy(*by).agg(
+                F.sum("_ll").alias("_log_lik"), F.sum("_r").alias("_rss"),
+                F.max("_eta").alias("_reach"),
+            ),
+            by,
         )
-        keep = state.select(*by, "_n", "_sw", "effects", "_last", "iterations", "roles")
-        state = stage(sums.join(keep, by).mapInPandas(advance, schema), "newton")
-        done = state.filter("_done").select(*by, *[f.name for f in _FIT_FIELDS])
-        finished = done if finished is None else finished.unionByName(done)
+        state = stage(sums.join(state, by).mapInPandas(advance, schema), "newton")
+        finished.append(state.filter("_done").select(*by, *[f.name for f in _FIT_FIELDS]))
         state = state.filter(~F.col("_done"))
         if state.isEmpty():
             break
-    return stage(finished, "fits")
+    return stage(reduce(DataFrame.unionByName, finished), "fits")
+
+
+def _advance_row(r: dict, coords: Sequence[Coordinate], family: str, by: Sequence[str]) -> dict:
+    """One step of one group's fit: judge the current effects, then move on or finish."""
+    size, n, before = len(coords), r["_n"], int(r["iterations"])
+    m = to_matrix(r["sums"], size + 1)
+    info, score = m[:size, :size], m[:size, size]
+    if before == 0:
+        roles = coordinate_roles(coords, np.diag(info) > 0)
+        fitted = _alias(roles, info)
+    else:
+        roles = list(r["roles"])
+        fitted = [j for j, role in enumerate(roles) if role == "fitted"]
+    inverse = _inverse(info[np.ix_(fitted, fitted)])
+    beta = inverse @ score[fitted]
+    log_lik, disp, done, polish, converged = r["_log_lik"], 1.0, False, bool(r["_polish"]), False
+    old = None
+    if before:
+        old = np.array([np.nan if e is None else e for e in r["effects"]], float)[fitted]
+    if family == "gaussian":
+        done = converged = before >= 1  # the second pass has the residuals
+        if done:
+            disp = r["_rss"] / (n - len(fitted))
+            log_lik = -n / 2 * (math.log(2 * math.pi * r["_rss"] / n) + 1)
+    elif before:
+        settled = abs(-2 * log_lik - r["_last"]) / (abs(2 * log_lik) + 0.1) < TOLERANCE
+        converged = polish or settled
+        if polish:
+            done = bool(np.abs(beta - old).max() < 1e-9)
+        elif settled and r["_reach"] >= BOUNDARY:
+            # On the boundary: keep the effects and the information they came from.
+            done, beta = True, old
+            inverse = np.array(r["sigma"], float).reshape(size, size)[np.ix_(fitted, fitted)]
+        polish = converged
+        done = done or before + 1 >= 2 * MAX_ITERATIONS
+    out = _fit_row(coords, roles, fitted, beta, inverse * disp, len(fitted), n, log_lik, disp,
+                   before + 1, converged, family)
+    return {**{c: r[c] for c in by}, "_n": n, "_sw": r["_sw"],
+            "_last": -2 * log_lik if before else r["_last"], "_done": done, "_polish": polish, **out}
 
 
 def fit_terms(fits: DataFrame, spec: ModelSpec, by: Sequence[str]) -> DataFrame:
