@@ -312,9 +312,10 @@ def long_histories(spark, d):
     e = positions(e, ["user_id"], ["ts", "event_id"], "k").withColumn(
         "done", F.col("event_type") == "purchase"
     )
-    won = history.success_attempt(e, ["user_id"], attempt="k")
-    n = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("attempts"))
-    return won.join(n, "user_id")
+    return e.groupBy("user_id").agg(
+        *[a.alias(n) for n, a in history.success_aggregates(attempt="k").items()],
+        F.count(F.lit(1)).alias("attempts"),
+    )
 
 
 PIVOT_SQL = f"""WITH {sql.CASES}

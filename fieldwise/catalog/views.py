@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordering import positions
-from ..operators.history import success_attempt
 from ..functions.recode import group_key
+from ..operators.history import success_aggregates
+from ..operators.ordering import positions
 from ..plans.scenarios import Scenario, case_table, propensity_fits, scenario_cases
 from ..specs import Levels, ModelSpec
 from ..stages import stage
@@ -87,12 +87,13 @@ def build_attempts(spark: SparkSession, sf_dir: str, hot_rows: int | None = None
     keys = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"))
     tie = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
     extra = {} if hot_rows is None else {"hot_rows": hot_rows}
-    numbered = positions(raw, ["case_id"], ["time", *tie], "attempt", keys=keys, **extra)
-    numbered = numbered.withColumn("attempt", F.col("attempt").cast("int")).drop(*tie)
-    won = success_attempt(numbered, ["case_id"])
-    return numbered.join(won, "case_id").withColumn(
-        "interview", F.col("success").isNotNull()
+    numbered = positions(
+        raw, ["case_id"], ["time", *tie], "attempt", success_aggregates(), keys=keys, **extra
     )
+    return numbered.withColumns({
+        "attempt": F.col("attempt").cast("int"), "success": F.col("success").cast("int"),
+        "interview": F.col("success").isNotNull(),
+    }).drop(*tie)
 
 
 @once("attempts")

@@ -72,11 +72,19 @@ def success_attempt(
     policy: str = "last",
 ) -> DataFrame:
     """Per case: attempt number of the interview (NULL if none) and how many there were."""
+    aggs = success_aggregates(done, attempt, policy)
+    return long.groupBy(*key).agg(*[a.alias(n) for n, a in aggs.items()])
+
+
+def success_aggregates(
+    done: str = "done", attempt: str = "attempt", policy: str = "last"
+) -> dict[str, Column]:
+    """The two aggregates of ``success_attempt``, for use with other case totals."""
     pick = F.max if policy == "last" else F.min
-    return long.groupBy(*key).agg(
-        pick(F.when(F.col(done), F.col(attempt))).alias("success"),
-        F.count_if(F.col(done)).alias("n_success"),
-    )
+    return {
+        "success": pick(F.when(F.col(done), F.col(attempt))),
+        "n_success": F.count_if(F.col(done)),
+    }
 
 
 def attempts_wide(

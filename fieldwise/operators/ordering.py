@@ -9,7 +9,7 @@ of the stretches come from a table with one row per (group, partition).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..stages import stage
 
-HOT_ROWS = 5_000_000
+HOT_ROWS = 2_000_000
 
 
 def _cols(order: Sequence[str | Column]) -> list[Column]:
@@ -51,12 +51,11 @@ def _stretches(df: DataFrame, by: Sequence[str], order: Sequence[Column], keep:
     return stage(ordered, "sorted").withColumn("_part", F.shiftright("_id", 33))
 
 
-def _attach(df: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:
-    o = offsets.withColumnsRenamed({k: f"_o_{k}" for k in [*by, "_part"]})
-    same = reduce(
-        lambda a, b: a & b, [df[k].eqNullSafe(o[f"_o_{k}"]) for k in [*by, "_part"]]
-    )
-    return df.join(o, same, "left").drop(*[f"_o_{k}" for k in [*by, "_part"]])
+def _attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join a staged table on keys that may be NULL."""
+    o = small.withColumnsRenamed({k: f"_o_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(o[f"_o_{k}"]) for k in keys])
+    return df.join(o, same, "left").drop(*[f"_o_{k}" for k in keys])
 
 
 def positions(
@@ -64,23 +63,25 @@ def positions(
     by: Sequence[str],
     order: Sequence[str | Column],
     out: str = "position",
-    total: str | None = None,
+    totals: Mapping[str, Column] | None = None,
     hot_rows: int = HOT_ROWS,
     keys: DataFrame | None = None,
 ) -> DataFrame:
-    """Add the 1-based position of each row in its group, and the group's size.
-
-    ``order`` must be a total order inside a group.  Group sizes are counted
-    first, on the group columns of ``df`` alone: pass a staged ``df``, or a
-    cheap ``keys`` frame with the same groups, when ``df`` is expensive.
+    """Add the 1-based position of each row in its group, and group aggregates.
+
+    ``order`` must be a total order inside a group.  ``totals`` maps names to
+    aggregates over the numbered rows (they may use ``out``); they ride on the
+    same partitioning, without another shuffle or join, except in hot groups.
+    Group sizes are counted first, on the group columns of ``df`` alone: pass a
+    staged ``df``, or a cheap ``keys`` frame with the same groups, when ``df``
+    is expensive.
     """
-    by, order, keep = list(by), _cols(order), df.columns
+    by, order, keep, totals = list(by), _cols(order), df.columns, totals or {}
     cold, hot = split_hot(df, by, hot_rows, keys)
     group = Window.partitionBy(*by)
-    extra = [F.row_number().over(group.orderBy(*order)).cast("bigint").alias(out)]
-    if total:
-        extra.append(F.count(F.lit(1)).over(group).alias(total))
-    numbered = cold.select(*keep, *extra)
+    place = F.row_number().over(group.orderBy(*order)).cast("bigint")
+    numbered = cold.select(*keep, place.alias(out))
+    numbered = numbered.select("*", *[a.over(group).alias(n) for n, a in totals.items()])
     if hot is None:
         return numbered
     rows = _stretches(hot, by, order, keep)
@@ -92,13 +93,13 @@ def positions(
         *by,
         "_part",
         (F.coalesce(F.sum("_len").over(before), F.lit(0)) - F.col("_start")).alias("_shift"),
-        F.sum("_len").over(group).alias("_total"),
     )
-    placed = _attach(rows, stage(offsets, "offsets"), by)
-    extra = [(F.col("_id") + F.col("_shift") + 1).alias(out)]
-    if total:
-        extra.append(F.col("_total").alias(total))
-    return numbered.unionByName(placed.select(*keep, *extra))
+    placed = _attach(rows, stage(offsets, "offsets"), [*by, "_part"])
+    placed = placed.select(*keep, (F.col("_id") + F.col("_shift") + 1).alias(out))
+    if totals:
+        sums = stage(placed.groupBy(*by).agg(*[a.alias(n) for n, a in totals.items()]), "totals")
+        placed = _attach(placed, sums, by)
+    return numbered.unionByName(placed)
 
 
 def running_sum(
@@ -130,7 +131,7 @@ def running_sum(
         F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_shift"),
         F.sum("_sum").over(group).alias("_total"),
     )
-    placed = _attach(rows, stage(offsets, "offsets"), by)
+    placed = _attach(rows, stage(offsets, "offsets"), [*by, "_part"])
     local = (
         Window.partitionBy(*by, "_part")
         .orderBy("_id")

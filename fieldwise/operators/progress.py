@@ -16,7 +16,8 @@ def sequence_attempts(
     df: DataFrame, group: str, order: Sequence[str], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """attempt_number, n and attempt_pct = attempt_number / n inside each group."""
-    numbered = positions(df, [group], order, "attempt_number", "n", hot_rows)
+    size = {"n": F.count(F.lit(1))}
+    numbered = positions(df, [group], order, "attempt_number", size, hot_rows)
     return numbered.withColumn("attempt_pct", F.col("attempt_number") / F.col("n"))
 
 

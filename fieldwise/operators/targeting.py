@@ -55,7 +55,8 @@ def rank_random_ties(
         "scores",
     )
     ranked = positions(
-        narrow, ["_ranking", *group], ["_score", "_tie", id_col], "_rank", "_m", hot_rows
+        narrow, ["_ranking", *group], ["_score", "_tie", id_col], "_rank",
+        {"_m": F.count(F.lit(1))}, hot_rows,
     )
     return ranked.groupBy(*group, id_col).agg(*[
         F.max(F.when(F.col("_ranking") == name, F.col(c))).alias(f"{label}_{name}")
