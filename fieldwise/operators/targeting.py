@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 
 import pandas as pd
@@ -108,30 +109,28 @@ def _first_list(pick: int, start: str) -> bool:
 def _draft(pdf: pd.DataFrame, by: Sequence[str], window: int, start: str) -> dict:
     """Advance one group's draft over the rows inside the two rank windows."""
     r0 = pdf.iloc[0]
-    want, taken, alpha, beta = (int(r0[c]) for c in ("_want", "_taken", "_alpha", "_beta"))
-    in_a = pdf["rank_a"].to_numpy()
-    in_b = pdf["rank_b"].to_numpy()
-    end = {True: alpha + window, False: beta + window}
-    order = {
-        True: [i for i in in_a.argsort() if in_a[i] <= end[True]],
-        False: [i for i in in_b.argsort() if in_b[i] <= end[False]],
-    }
-    ranks, at, reached = {True: in_a, False: in_b}, {True: 0, False: 0}, {True: alpha, False: beta}
-    picked = bytearray(len(pdf))
-    while taken < want:
-        a_turn = _first_list(taken + 1, start)
-        rows, k = order[a_turn], at[a_turn]
-        while k < len(rows) and picked[rows[k]]:
+    state = {c: int(r0[c]) for c in ("_want", "_reach", "_taken", "_alpha", "_beta")}
+    rows = pdf[pdf["rank_a"].notna()]
+    # True stands for list A, False for list B.
+    ranks = {True: rows["rank_a"].to_numpy(), False: rows["rank_b"].to_numpy()}
+    end = {True: state["_alpha"] + window, False: state["_beta"] + window}
+    order = {k: [i for i in r.argsort() if r[i] <= end[k]] for k, r in ranks.items()}
+    at, reached = {True: 0, False: 0}, {True: state["_alpha"], False: state["_beta"]}
+    picked, taken = bytearray(len(rows)), state["_taken"]
+    while taken < state["_want"]:
+        mine = _first_list(taken + 1, start)
+        queue, k = order[mine], at[mine]
+        while k < len(queue) and picked[queue[k]]:
             k += 1
-        if k == len(rows):
-            at[a_turn], reached[a_turn] = k, end[a_turn]
+        if k == len(queue):
+            reached[mine] = end[mine]
             break
-        picked[rows[k]] = 1
-        reached[a_turn] = int(ranks[a_turn][rows[k]])
-        at[a_turn] = k + 1
+        picked[queue[k]] = 1
+        reached[mine] = int(ranks[mine][queue[k]])
+        at[mine] = k + 1
         taken += 1
-    return {**{c: r0[c] for c in by}, "_want": want, "_taken": taken,
-            "_alpha": reached[True], "_beta": reached[False]}
+    moved = {"_taken": taken, "_alpha": reached[True], "_beta": reached[False]}
+    return {**{c: r0[c] for c in by}, **state, **moved}
 
 
 def alternating_picks(
@@ -141,8 +140,8 @@ def alternating_picks(
     """Greedy draft: two rankings take turns, each taking its best case not yet taken.
 
     ``max(1, floor(m / 2))`` of a group's m cases are picked; with ``start="aa"``
-    list A takes the first two picks, then B, A, B, ...  Ranks are 1..m in each
-    list, without gaps.
+    list A takes the first two picks, then B, A, B, ...  Ranks are distinct
+    within a group and list.
 
     Whatever list A has taken or passed over is exactly a prefix of its ranking,
     and likewise for B, so a group's picks are {rank_a <= alpha or rank_b <= beta}
@@ -153,45 +152,52 @@ def alternating_picks(
     """
     by = list(by)
     ranked = stage(df, "ranked")
-    sizes = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_m"))
+    m, a, b = F.count(F.lit(1)), F.col("rank_a"), F.col("rank_b")
+    want = F.greatest(F.lit(1), F.floor(m / 2)).cast("bigint")
+    gaps = F.greatest(F.max(rank_a), F.max(rank_b)) - m
+    zero = F.lit(0).cast("bigint")
+    numbers = ["_want", "_reach", "_taken", "_alpha", "_beta"]
     state = stage(
-        sizes.select(
-            *by, F.greatest(F.lit(1), F.floor(F.col("_m") / 2)).cast("bigint").alias("_want"),
-            *[F.lit(0).cast("bigint").alias(c) for c in ("_taken", "_alpha", "_beta")],
-        ),
+        ranked.groupBy(*by).agg(want.alias("_want"), (want + gaps).cast("bigint").alias("_reach"))
+        .select("*", *[zero.alias(c) for c in numbers[2:]]),
         "draft",
     )
     schema = T.StructType(
-        [ranked.schema[c] for c in by]
-        + [T.StructField(c, T.LongType()) for c in ("_want", "_taken", "_alpha", "_beta")]
+        [ranked.schema[c] for c in by] + [T.StructField(c, T.LongType()) for c in numbers]
     )
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([_draft(pdf, by, window, start)], columns=schema.names)
 
-    done = None
+    done = []
     while True:
-        a, b = F.col("rank_a"), F.col("rank_b")
+        # No pick lies more than _reach ranks down either list.
+        ahead = F.least(a - F.col("_alpha"), b - F.col("_beta"))
         live = (
-            ranked.select(*by, F.col(rank_a).alias("rank_a"), F.col(rank_b).alias("rank_b"))
+            ranked.select(
+                *by, F.col(rank_a).cast("double").alias("rank_a"),
+                F.col(rank_b).cast("double").alias("rank_b"),
+            )
             .join(state, by)
             .filter((a > F.col("_alpha")) & (b > F.col("_beta")))
-            .filter(F.least(a - F.col("_alpha"), b - F.col("_beta")) <= F.least(F.lit(window), "_want"))
+            .filter(ahead <= F.least(F.lit(window), F.col("_reach")))
+        )
+        # One blank row per group, so that a group without rows in its windows moves on.
+        blank = state.withColumns({
+            "rank_a": F.lit(None).cast("double"), "rank_b": F.lit(None).cast("double"),
+        })
+        state = stage(
+            live.unionByName(blank).groupBy(*by).applyInPandas(step, schema), "draft"
         )
-        state = stage(live.groupBy(*by).applyInPandas(step, schema), "draft")
-        finished = state.filter(F.col("_taken") >= F.col("_want"))
-        done = finished if done is None else done.unionByName(finished)
+        done.append(state.filter(F.col("_taken") >= F.col("_want")))
         state = state.filter(F.col("_taken") < F.col("_want"))
         if state.isEmpty():
             break
-    limits = done.select(*by, "_alpha", "_beta")
-    return (
-        ranked.join(stage(limits, "draft-limits"), by, "left")
-        .withColumn(
-            out, (F.col(rank_a) <= F.col("_alpha")) | (F.col(rank_b) <= F.col("_beta"))
-        )
-        .drop("_alpha", "_beta")
+    limits = stage(
+        reduce(DataFrame.unionByName, done).select(*by, "_alpha", "_beta"), "draft-limits"
     )
+    chosen = (F.col(rank_a) <= F.col("_alpha")) | (F.col(rank_b) <= F.col("_beta"))
+    return ranked.join(limits, by, "left").withColumn(out, chosen).drop("_alpha", "_beta")
 
 
 def possible_savings(cases: DataFrame, attempt: str = "attempt",
