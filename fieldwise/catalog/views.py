@@ -86,9 +86,8 @@ def build_attempts(spark: SparkSession, sf_dir: str, hot_rows: int | None = None
     raw = raw_attempts(spark, sf_dir)
     keys = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"))
     tie = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    extra = {} if hot_rows is None else {"hot_rows": hot_rows}
     numbered = positions(
-        raw, ["case_id"], ["time", *tie], "attempt", success_aggregates(), keys=keys, **extra
+        raw, ["case_id"], ["time", *tie], "attempt", success_aggregates(), hot_rows, keys
     )
     return numbered.withColumns({
         "attempt": F.col("attempt").cast("int"), "success": F.col("success").cast("int"),

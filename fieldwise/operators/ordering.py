@@ -17,9 +17,17 @@ from pyspark.sql import functions as F
 
 from ..stages import stage
 
+# Rows a group may have and still be ordered inside one task, unless the
+# session sets spark.fieldwise.hotRows.
 HOT_ROWS = 2_000_000
 
 
+def hot_limit(df: DataFrame, hot_rows: int | None) -> int:
+    if hot_rows is not None:
+        return hot_rows
+    return int(df.sparkSession.conf.get("spark.fieldwise.hotRows", str(HOT_ROWS)))
+
+
 def _cols(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
@@ -64,7 +72,7 @@ def positions(
     order: Sequence[str | Column],
     out: str = "position",
     totals: Mapping[str, Column] | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     keys: DataFrame | None = None,
 ) -> DataFrame:
     """Add the 1-based position of each row in its group, and group aggregates.
@@ -77,7 +85,7 @@ def positions(
     is expensive.
     """
     by, order, keep, totals = list(by), _cols(order), df.columns, totals or {}
-    cold, hot = split_hot(df, by, hot_rows, keys)
+    cold, hot = split_hot(df, by, hot_limit(df, hot_rows), keys)
     group = Window.partitionBy(*by)
     place = F.row_number().over(group.orderBy(*order)).cast("bigint")
     numbered = cold.select(*keep, place.alias(out))
@@ -109,11 +117,11 @@ def running_sum(
     value: str,
     out: str = "running",
     total: str | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add the inclusive running sum of ``value`` inside each group."""
     by, order, keep = list(by), _cols(order), df.columns
-    cold, hot = split_hot(df, by, hot_rows)
+    cold, hot = split_hot(df, by, hot_limit(df, hot_rows))
     group = Window.partitionBy(*by)
     upto = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     extra = [F.sum(value).over(upto).alias(out)]

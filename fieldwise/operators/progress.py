@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..constants import CUTOFFS
 from ..stages import stage
-from .ordering import HOT_ROWS, positions
+from .ordering import positions
 
 
 def sequence_attempts(
-    df: DataFrame, group: str, order: Sequence[str], hot_rows: int = HOT_ROWS
+    df: DataFrame, group: str, order: Sequence[str], hot_rows: int | None = None
 ) -> DataFrame:
     """attempt_number, n and attempt_pct = attempt_number / n inside each group."""
     size = {"n": F.count(F.lit(1))}

@@ -152,13 +152,12 @@ def quantile_breaks(
     Counts per distinct score come first, so equal scores cost nothing; the
     running count then locates the ranks the edges need, whatever the group's size.
     """
-    extra = {} if hot_rows is None else {"hot_rows": hot_rows}
     counts = stage(
         df.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("_s"))
         .agg(F.count(F.lit(1)).alias("_c")),
         "score-counts",
     )
-    upto = running_sum(counts, by, ["_s"], "_c", "_upto", "_m", **extra)
+    upto = running_sum(counts, by, ["_s"], "_c", "_upto", "_m", hot_rows)
     # Rank h = (m - 1) i / bins, from 0; a score covers ranks [upto - c, upto - 1].
     edges = upto.select(
         *by, "_s", "_upto", (F.col("_upto") - F.col("_c")).alias("_from"), "_m",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..stages import stage
-from .ordering import HOT_ROWS, positions
+from .ordering import positions
 
 DRAFT_WINDOW = 1_000_000
 
@@ -30,7 +30,7 @@ def tie_break(id_col: str, seed: str) -> Column:
 
 def rank_random_ties(
     df: DataFrame, group: Sequence[str], id_col: str,
-    rankings: Mapping[str, tuple[Column | None, str]], hot_rows: int = HOT_ROWS,
+    rankings: Mapping[str, tuple[Column | None, str]], hot_rows: int | None = None,
 ) -> DataFrame:
     """Rank rows by several scores at once, ties in random order.
 
@@ -78,7 +78,7 @@ def top_half(rank: Column, ranked: Column) -> Column:
 
 def split_at_median(
     df: DataFrame, group: Sequence[str], id_col: str, score: Column | None, seed: str,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """rank, ranked, top and bottom flags for one score."""
     r = rank_random_ties(df, group, id_col, {"score": (score, seed)}, hot_rows)

@@ -7,7 +7,6 @@ import pytest
 
 from fieldwise.catalog import views
 from fieldwise.catalog.all import ORACLES, QUERIES
-from fieldwise.operators.ordering import positions  # noqa: F401
 from fieldwise.stages import drop_stages, shared_dir
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -83,6 +82,22 @@ def test_hot_cases_take_the_other_way(spark):
     assert rows(hot, *cols) == rows(views.attempts(spark, DIR), *cols)
 
 
+def test_study_is_the_same_when_every_group_is_hot(spark):
+    from conftest import rows
+    from fieldwise.plans.scenarios import case_table, scenario_cases
+
+    flags = ["case_id", "attempt_number", "rank_dem_sim1", "rank_full_sim2", "rand_selected",
+             "rank_selected_dem", "rank_selected_full", "full_sim1_bottom50selected"]
+    usual = rows(views.scenarios(spark, DIR), *flags)
+    spark.conf.set("spark.fieldwise.hotRows", "10")
+    try:
+        cases = case_table(views.attempts(spark, DIR), views.STUDY).cache()
+        fits = views.fits(spark, DIR)
+        assert rows(scenario_cases(cases, views.STUDY, fits), *flags) == usual
+    finally:
+        spark.conf.unset("spark.fieldwise.hotRows")
+
+
 def test_study_invariants(spark):
     s = views.scenarios(spark, DIR).cache()
     late = s.filter("NOT attempt_first70pct")
