@@ -7,7 +7,7 @@ from functools import reduce
 
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,38 +99,83 @@ def counterfactual_response(response: Column, flag: Column) -> Column:
     return response & F.coalesce(flag, F.lit(True))
 
 
-def _first_list(pick: int, start: str) -> bool:
-    """Does list A make this pick (counted from 1)?"""
+# --- the alternating draft -----------------------------------------------------
+#
+# A picks at 1, 2, 4, 6, ... and B at 3, 5, 7, ... (start "aa"), or A at odd and
+# B at even picks (start "ab").
+
+
+def _picks_of_a(picks: int, start: str) -> int:
+    """How many of the first ``picks`` picks are list A's."""
     if start == "aa":
-        return pick == 1 or pick % 2 == 0
-    return pick % 2 == 1
-
-
-def _draft(pdf: pd.DataFrame, by: Sequence[str], window: int, start: str) -> dict:
-    """Advance one group's draft over the rows inside the two rank windows."""
-    r0 = pdf.iloc[0]
-    state = {c: int(r0[c]) for c in ("_want", "_reach", "_taken", "_alpha", "_beta")}
-    rows = pdf[pdf["rank_a"].notna()]
-    # True stands for list A, False for list B.
-    ranks = {True: rows["rank_a"].to_numpy(), False: rows["rank_b"].to_numpy()}
-    end = {True: state["_alpha"] + window, False: state["_beta"] + window}
-    order = {k: [i for i in r.argsort() if r[i] <= end[k]] for k, r in ranks.items()}
-    at, reached = {True: 0, False: 0}, {True: state["_alpha"], False: state["_beta"]}
-    picked, taken = bytearray(len(rows)), state["_taken"]
-    while taken < state["_want"]:
-        mine = _first_list(taken + 1, start)
-        queue, k = order[mine], at[mine]
-        while k < len(queue) and picked[queue[k]]:
-            k += 1
-        if k == len(queue):
-            reached[mine] = end[mine]
+        return picks if picks < 2 else 1 + picks // 2
+    return (picks + 1) // 2
+
+
+def _pick_number(a_list: bool, nth: int, start: str) -> int:
+    """Overall number of a list's nth pick."""
+    if start == "aa":
+        return (1 if nth == 1 else 2 * (nth - 1)) if a_list else 2 * nth + 1
+    return 2 * nth - 1 if a_list else 2 * nth
+
+
+def _race(a: list[int], b: list[int], len_a: int, len_b: int, taken: int, want: int, start: str):
+    """Play the draft forward over the rows both lists may reach.
+
+    Row i stands at place a[i] of list A and b[i] of list B, counted over the
+    rows not yet picked; all other rows belong to one list only and just take
+    up a place.  A list reaches a place after as many picks as the place less
+    the rows before it that the other list took, so only the shared rows need
+    to be looked at, earliest arrival first.  The run ends when ``want`` picks
+    are made or a list has to go beyond its ``len_a`` or ``len_b`` places.
+
+    Returns picks made, the place each list stands at, and which list ran out.
+    """
+    places, ends = (a, b), (len_a + 1, len_b + 1)
+    order = tuple(sorted(range(len(p)), key=p.__getitem__) for p in places)
+    owner = [-1] * len(a)
+    a_before = _picks_of_a(taken, start)
+    before = (a_before, taken - a_before)
+    at, lost = [0, 0], [0, 0]
+    while True:
+        arrival = []
+        for side in (0, 1):
+            queue = order[side]
+            while at[side] < len(queue) and owner[queue[at[side]]] == 1 - side:
+                lost[side] += 1
+                at[side] += 1
+            here = places[side][queue[at[side]]] if at[side] < len(queue) else ends[side]
+            arrival.append(_pick_number(side == 0, before[side] + here - lost[side], start))
+        side = 0 if arrival[0] < arrival[1] else 1
+        spent = at[side] == len(order[side])
+        if arrival[side] > want or spent:
             break
-        picked[queue[k]] = 1
-        reached[mine] = int(ranks[mine][queue[k]])
-        at[mine] = k + 1
-        taken += 1
-    moved = {"_taken": taken, "_alpha": reached[True], "_beta": reached[False]}
-    return {**{c: r0[c] for c in by}, **state, **moved}
+        owner[order[side][at[side]]] = side
+        at[side] += 1
+    picks = min(want, arrival[side] - 1)
+    ran_out = side if spent and picks < want else -1
+    made_a = _picks_of_a(picks, start) - before[0]
+    made = (made_a, picks - taken - made_a)
+    stands = []
+    for side in (0, 1):
+        place = made[side]
+        if place:
+            for i in order[side]:
+                if owner[i] == 1 - side:
+                    if places[side][i] > place:
+                        break
+                    place += 1
+        stands.append(place)
+    return picks, stands, ran_out
+
+
+def _small_draft(pdf: pd.DataFrame, start: str) -> tuple[int, int]:
+    """Both thresholds of a group whose relevant rows fit in one task."""
+    ranks = [sorted(pdf[c]) for c in ("rank_a", "rank_b")]
+    places = [pdf[c].rank().astype(int).tolist() for c in ("rank_a", "rank_b")]
+    _, stands, _ = _race(*places, len(pdf), len(pdf), 0, int(pdf["_want"].iloc[0]), start)
+    alpha, beta = (r[k - 1] if k else 0 for r, k in zip(ranks, stands))
+    return int(alpha), int(beta)
 
 
 def alternating_picks(
@@ -141,63 +186,133 @@ def alternating_picks(
 
     ``max(1, floor(m / 2))`` of a group's m cases are picked; with ``start="aa"``
     list A takes the first two picks, then B, A, B, ...  Ranks are distinct
-    within a group and list.
+    positive whole numbers within a group and list.
 
     Whatever list A has taken or passed over is exactly a prefix of its ranking,
     and likewise for B, so a group's picks are {rank_a <= alpha or rank_b <= beta}
-    and only the two numbers have to be found.  They are found in bounded
-    steps: a step needs the rows within ``window`` ranks after (alpha, beta),
-    at most 2 * window of them, and moves at least one of the two numbers to
-    the end of its window.  Groups with up to ``window`` picks take one step.
+    and only the two numbers have to be found.  No pick lies further down a list
+    than the number of picks (plus gaps in the ranks), which bounds the rows a
+    group needs.  Groups beyond ``window`` go through ``_large_drafts``.
     """
     by = list(by)
-    ranked = stage(df, "ranked")
-    m, a, b = F.count(F.lit(1)), F.col("rank_a"), F.col("rank_b")
-    want = F.greatest(F.lit(1), F.floor(m / 2)).cast("bigint")
-    gaps = F.greatest(F.max(rank_a), F.max(rank_b)) - m
-    zero = F.lit(0).cast("bigint")
-    numbers = ["_want", "_reach", "_taken", "_alpha", "_beta"]
-    state = stage(
-        ranked.groupBy(*by).agg(want.alias("_want"), (want + gaps).cast("bigint").alias("_reach"))
-        .select("*", *[zero.alias(c) for c in numbers[2:]]),
-        "draft",
+    ranked = stage(
+        df.withColumns({"rank_a": F.col(rank_a).cast("bigint"), "rank_b": F.col(rank_b).cast("bigint")}),
+        "ranked",
     )
-    schema = T.StructType(
-        [ranked.schema[c] for c in by] + [T.StructField(c, T.LongType()) for c in numbers]
+    m = F.count(F.lit(1))
+    want = F.greatest(F.lit(1), F.floor(m / 2)).cast("bigint")
+    gaps = F.greatest(F.max("rank_a"), F.max("rank_b")) - m
+    groups = stage(
+        ranked.groupBy(*by).agg(want.alias("_want"), (want + gaps).alias("_reach")), "draft"
     )
+    keys = [ranked.schema[c] for c in by]
+    schema = T.StructType(keys + [T.StructField(c, T.LongType()) for c in ("_alpha", "_beta")])
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([_draft(pdf, by, window, start)], columns=schema.names)
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        key = tuple(pdf[c].iloc[0] for c in by)
+        return pd.DataFrame([(*key, *_small_draft(pdf, start))], columns=schema.names)
+
+    narrow = ranked.select(*by, "rank_a", "rank_b")
+    near = (
+        narrow.join(groups.filter(F.col("_reach") <= window), by)
+        .filter(F.least("rank_a", "rank_b") <= F.col("_reach"))
+    )
+    limits = near.groupBy(*by).applyInPandas(solve, schema)
+    large = groups.filter(F.col("_reach") > window).drop("_reach")
+    if not large.isEmpty():
+        limits = limits.unionByName(_large_drafts(narrow, large, by, keys, start, window))
+    limits = stage(limits, "draft-limits")
+    chosen = (F.col("rank_a") <= F.col("_alpha")) | (F.col("rank_b") <= F.col("_beta"))
+    extra = [c for c in ("rank_a", "rank_b") if c not in df.columns]
+    return ranked.join(limits, by, "left").withColumn(out, chosen).drop("_alpha", "_beta", *extra)
+
+
+def _large_drafts(
+    narrow: DataFrame, groups: DataFrame, by: list[str], keys: list[T.StructField], start: str,
+    limit: int,
+) -> DataFrame:
+    """Thresholds of groups too large for one task, by leaps of bounded detail.
+
+    From (alpha, beta) a leap looks at the next ``_width`` ranks of both lists.
+    Rows in one list's window only need to be counted, which is done by a
+    distributed numbering; rows in both windows are the only ones that can be
+    contested, and the width is chosen so that at most ``limit`` of them exist.
+    For unrelated rankings of m cases the width is near sqrt(limit * m), so the
+    number of leaps stays small however large the group.
+    """
+    numbers = ["_want", "_taken", "_alpha", "_beta"]
+    zero = F.lit(0).cast("bigint")
+    state = stage(groups.select(*by, "_want", *[zero.alias(c) for c in numbers[1:]]), "draft")
+    out_names = ["_picks", "_place_a", "_place_b", "_out"]
+    schema = T.StructType(keys + [T.StructField(c, T.LongType()) for c in out_names])
+
+    def leap(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, r = tuple(pdf[c].iloc[0] for c in by), pdf.iloc[0]
+        shared = pdf[pdf["_pa"].notna()]
+        picks, (pa, pb), ran_out = _race(
+            shared["_pa"].astype(int).tolist(), shared["_pb"].astype(int).tolist(),
+            int(r["_la"]), int(r["_lb"]), int(r["_taken"]), int(r["_want"]), start,
+        )
+        return pd.DataFrame([(*key, picks, pa, pb, ran_out)], columns=schema.names)
 
     done = []
     while True:
-        # No pick lies more than _reach ranks down either list.
-        ahead = F.least(a - F.col("_alpha"), b - F.col("_beta"))
+        a, b = F.col("rank_a") - F.col("_alpha"), F.col("rank_b") - F.col("_beta")
+        live = narrow.join(state, by).filter((a > 0) & (b > 0)).withColumns({"_da": a, "_db": b})
+        # Rows that become contested at width 2^e, for each e; 64 rows per group at most.
+        far = F.greatest("_da", "_db")
+        bits = F.when(far == 1, 0).otherwise(F.length(F.bin(far - 1)))
+        contested = live.groupBy(*by, bits.alias("_e")).agg(F.count(F.lit(1)).alias("_c"))
+        upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_e"))
+        too_wide = contested.withColumn("_upto", upto).filter(F.col("_upto") > limit)
+        widths = too_wide.groupBy(*by).agg(F.min("_e").alias("_e"))
+        state = stage(
+            state.join(widths, by, "left")
+            .withColumn("_width", F.expr("shiftleft(1L, coalesce(cast(_e as int) - 1, 62))"))
+            .drop("_e"),
+            "draft",
+        )
         live = (
-            ranked.select(
-                *by, F.col(rank_a).cast("double").alias("rank_a"),
-                F.col(rank_b).cast("double").alias("rank_b"),
+            narrow.join(state, by).withColumns({"_da": a, "_db": b})
+            .filter((F.col("_da") > 0) & (F.col("_db") > 0))
+        )
+        inside = {}
+        for x in ("a", "b"):
+            window_rows = live.filter(F.col(f"_d{x}") <= F.col("_width")).select(
+                *by, "rank_a", "rank_b", (F.greatest("_da", "_db") <= F.col("_width")).alias("_both")
             )
-            .join(state, by)
-            .filter((a > F.col("_alpha")) & (b > F.col("_beta")))
-            .filter(ahead <= F.least(F.lit(window), F.col("_reach")))
+            inside[x] = stage(positions(window_rows, by, [f"rank_{x}"], f"_p{x}"), "draft-window")
+        lengths = [
+            inside[x].groupBy(*by).agg(F.count(F.lit(1)).alias(f"_l{x}")) for x in ("a", "b")
+        ]
+        facts = state.join(lengths[0], by, "left").join(lengths[1], by, "left")
+        facts = stage(facts.fillna(0, ["_la", "_lb"]), "draft")
+        shared = inside["a"].filter("_both").select(*by, "rank_a", "_pa").join(
+            inside["b"].filter("_both").select(*by, "rank_a", "_pb"), [*by, "rank_a"]
+        )
+        # One blank row per group: a group without contested rows leaps as well.
+        nothing = F.lit(None).cast("double")
+        rows = shared.select(*by, F.col("_pa").cast("double"), F.col("_pb").cast("double"))
+        rows = rows.unionByName(facts.select(*by, nothing.alias("_pa"), nothing.alias("_pb")))
+        result = stage(
+            rows.join(facts, by).groupBy(*by).applyInPandas(leap, schema), "draft"
         )
-        # One blank row per group, so that a group without rows in its windows moves on.
-        blank = state.withColumns({
-            "rank_a": F.lit(None).cast("double"), "rank_b": F.lit(None).cast("double"),
-        })
+        moved = facts.join(result, by)
+        for x, start_col in (("a", "_alpha"), ("b", "_beta")):
+            found = inside[x].join(result, by).filter(F.col(f"_p{x}") == F.col(f"_place_{x}"))
+            found = found.select(*by, F.col(f"rank_{x}").alias(f"_at_{x}"))
+            moved = moved.join(found, by, "left").withColumn(
+                start_col,
+                F.when(F.col("_out") == (0 if x == "a" else 1), F.col(start_col) + F.col("_width"))
+                .otherwise(F.coalesce(F.col(f"_at_{x}"), F.col(start_col))),
+            )
         state = stage(
-            live.unionByName(blank).groupBy(*by).applyInPandas(step, schema), "draft"
+            moved.select(*by, "_want", F.col("_picks").alias("_taken"), "_alpha", "_beta"), "draft"
         )
         done.append(state.filter(F.col("_taken") >= F.col("_want")))
         state = state.filter(F.col("_taken") < F.col("_want"))
         if state.isEmpty():
-            break
-    limits = stage(
-        reduce(DataFrame.unionByName, done).select(*by, "_alpha", "_beta"), "draft-limits"
-    )
-    chosen = (F.col(rank_a) <= F.col("_alpha")) | (F.col(rank_b) <= F.col("_beta"))
-    return ranked.join(limits, by, "left").withColumn(out, chosen).drop("_alpha", "_beta")
+            return reduce(DataFrame.unionByName, done).select(*by, "_alpha", "_beta")
 
 
 def possible_savings(cases: DataFrame, attempt: str = "attempt",
