@@ -250,8 +250,8 @@ GRID = f"""{RANKED},
 gr AS MATERIALIZED (SELECT cntry_round || '~' || response_model || '~' || selected AS gk, * FROM ({_UNION})),
 gcf AS MATERIALIZED (SELECT gk, prio, barrier, seg, site, CAST(count(*) AS DOUBLE) AS n, CAST(sum(val) AS DOUBLE) AS y FROM gr GROUP BY ALL),
 gcd AS MATERIALIZED (SELECT gk, prio, barrier, sum(n) AS n, sum(y) AS y FROM gcf GROUP BY ALL),
-{sql.indicator("gd", "gcd", "gk", DEM)},
-{sql.indicator("gf", "gcf", "gk", FULL)},
+{sql.indicator("gd", "gcd", "gk", DEM, 8)},
+{sql.indicator("gf", "gcf", "gk", FULL, 8)},
 grid AS MATERIALIZED ({_grid_part("gd", "Dem")} UNION ALL {_grid_part("gf", "Full")})"""
 
 GRID_SQL = f"""{GRID}

@@ -11,6 +11,7 @@ from ..operators.cells import covariate_cells
 from ..operators.ordering import positions
 from ..operators.progress import previous_available_period
 from ..plans.scenarios import SAVED_FLAGS, late_scores
+from ..sources.contacts import union_rounds
 from ..specs import ModelSpec
 from ..stages import stage
 from . import sql
@@ -89,12 +90,11 @@ def logit_iterative(spark, d):
     ])
 
 
-def _loglik(name: str) -> str:
-    spec = FULL
+def _loglik(name: str, spec: ModelSpec = FULL, digits: int = 5) -> str:
     p = sql.predicted(name, spec)
     return f"""SELECT cntry_round, CAST(sum(n) AS BIGINT) AS n_obs,
-  round(sum(y * ln(p) + (n - y) * ln(1 - p)), 6) AS log_lik,
-  round({2 * len(sql.columns(spec))} - 2 * sum(y * ln(p) + (n - y) * ln(1 - p)), 6) AS aic
+  round(sum(y * ln(p) + (n - y) * ln(1 - p)), {digits}) AS log_lik,
+  round({2 * len(sql.columns(spec))} - 2 * sum(y * ln(p) + (n - y) * ln(1 - p)), {digits}) AS aic
 FROM (SELECT *, {p} AS p FROM {name}_x JOIN {name} USING (cntry_round)) GROUP BY cntry_round"""
 
 
@@ -106,7 +106,7 @@ STATS_SQL = f"""WITH {sql.CASES}, {ALL_CELLS}, {sql.newton("m", "ac", "cntry_rou
 def fit_stats(spark, d):
     fit = P.fit_grouped(all_cells(spark, d, FULL.factors), FULL, ["cntry_round"])
     return P.model_fit_stats(fit, ["cntry_round"]).select(
-        "cntry_round", "n_obs", r6("log_lik"), r6("aic")
+        "cntry_round", "n_obs", r6("log_lik", 5), r6("aic", 5)
     )
 
 
@@ -140,6 +140,52 @@ def coef_table(spark, d):
     return S.coefficient_report(P.fit_terms(fit, FULL, ["cntry_round"]))
 
 
+STUDY_MODELS = {
+    "Model 1": ("d1", "dem_sim1", DEM), "Model 2": ("f1", "full_sim1", FULL),
+    "Model 3": ("d2", "dem_sim2", DEM2), "Model 4": ("f2", "full_sim2", FULL2),
+}
+STUDY_FITS = f"""WITH {sql.CASES}, {EARLY_CELLS}, {LATE_CELLS},
+{sql.newton("d1", "ec", "cntry_round", DEM, 8)},
+{sql.newton("f1", "ec", "cntry_round", FULL, 8)},
+{sql.newton("d2", "lc", "cntry_round", DEM2, 8)},
+{sql.newton("f2", "lc", "cntry_round", FULL2, 8)}"""
+SUMMARIES_SQL = STUDY_FITS + "\n" + "\nUNION ALL ".join(
+    f"SELECT '{label}' AS model, * FROM ({_loglik(name, spec)})"
+    for label, (name, _, spec) in STUDY_MODELS.items()
+)
+
+
+@query("model_summaries", SUMMARIES_SQL)
+def model_summaries(spark, d):
+    """Size, log likelihood and AIC of the study's four models in every group."""
+    parts = [
+        P.model_fit_stats(fits(spark, d)[key], ["cntry_round"]).withColumn("model", F.lit(label))
+        for label, (_, key, _) in STUDY_MODELS.items()
+    ]
+    return union_rounds(*parts).select(
+        "model", "cntry_round", "n_obs", r6("log_lik", 5), r6("aic", 5)
+    )
+
+
+COEFS_SQL = STUDY_FITS + ",\nt AS (" + "\nUNION ALL ".join(
+    f"SELECT '{label}' AS model, * FROM ({_terms(name, spec)})"
+    for label, (name, _, spec) in STUDY_MODELS.items()
+) + """)
+SELECT model, cntry_round, term, round(estimate, 4) AS estimate, round(std_error, 4) AS std_error FROM t"""
+
+
+@query("model_coefficients", COEFS_SQL)
+def model_coefficients(spark, d):
+    """Every coefficient of the study's four models, stacked."""
+    parts = [
+        P.fit_terms(fits(spark, d)[key], spec, ["cntry_round"]).withColumn("model", F.lit(label))
+        for label, (_, key, spec) in STUDY_MODELS.items()
+    ]
+    return union_rounds(*parts).select(
+        "model", "cntry_round", "term", r6("estimate", 4), r6("std_error", 4)
+    )
+
+
 # --- scores ------------------------------------------------------------------
 
 
@@ -308,10 +354,10 @@ def bins(spark, d):
 # --- the full targeting study -------------------------------------------------
 
 RANKED = f"""WITH RECURSIVE {sql.CASES}, {sql.PREVIOUS}, {EARLY_CELLS}, {LATE_CELLS},
-{sql.newton("d1", "ec", "cntry_round", DEM, 10)},
-{sql.newton("f1", "ec", "cntry_round", FULL, 10)},
-{sql.newton("d2", "lc", "cntry_round", DEM2, 10)},
-{sql.newton("f2", "lc", "cntry_round", FULL2, 10)},
+{sql.newton("d1", "ec", "cntry_round", DEM, 8)},
+{sql.newton("f1", "ec", "cntry_round", FULL, 8)},
+{sql.newton("d2", "lc", "cntry_round", DEM2, 8)},
+{sql.newton("f2", "lc", "cntry_round", FULL2, 8)},
 scored AS MATERIALIZED (
   SELECT cases.*, {_eta("d1", DEM)} AS s_d1, {_eta("f1", FULL)} AS s_f1,
     {_eta("d2", DEM2)} AS s_d2, {_eta("f2", FULL2)} AS s_f2
@@ -420,11 +466,11 @@ SELECT cntry_round, round(min(CASE WHEN f2_top THEN s_f2 END), 6) AS min_top,
 FROM study WHERE NOT attempt_first70pct GROUP BY cntry_round"""
 
 
-def thresholds_table(spark, d):
+def thresholds_table(spark, d, m="full"):
     late = scenarios(spark, d).filter("NOT attempt_first70pct")
     return T.selection_thresholds(
-        late, ["cntry_round"], "score_full_sim2", "full_sim2_top50selected",
-        "score_full_sim1", "full_sim1_bottom50selected",
+        late, ["cntry_round"], f"score_{m}_sim2", f"{m}_sim2_top50selected",
+        f"score_{m}_sim1", f"{m}_sim1_bottom50selected",
     )
 
 
@@ -433,33 +479,43 @@ def thresholds(spark, d):
     return rounded(thresholds_table(spark, d), ["cntry_round"], ["min_top", "max_bottom"])
 
 
-SCATTER_SQL = f"""{RANKED},
-lim AS (SELECT cntry_round, min(CASE WHEN f2_top THEN s_f2 END) AS min_top,
-  max(CASE WHEN f1_bottom THEN s_f1 END) AS max_bottom FROM study WHERE NOT attempt_first70pct GROUP BY cntry_round)
-SELECT cntry_round, case_id, round(s_f1, 6) AS early_score, round(s_f2, 6) AS late_score,
-  CASE WHEN k_full THEN 'Selected' ELSE 'Not selected' END AS sim3,
+def _scatter_sql(m: str, k: str) -> str:
+    return f"""{RANKED},
+lim AS (SELECT cntry_round, min(CASE WHEN {m}2_top THEN s_{m}2 END) AS min_top,
+  max(CASE WHEN {m}1_bottom THEN s_{m}1 END) AS max_bottom FROM study WHERE NOT attempt_first70pct GROUP BY cntry_round)
+SELECT cntry_round, case_id, round(s_{m}1, 6) AS early_score, round(s_{m}2, 6) AS late_score,
+  CASE WHEN {k} THEN 'Selected' ELSE 'Not selected' END AS sim3,
   CASE WHEN r1 THEN 'Selected' ELSE 'Not selected' END AS sim4,
   round(min_top, 6) AS min_top, round(max_bottom, 6) AS max_bottom
 FROM study JOIN lim USING (cntry_round) WHERE NOT attempt_first70pct"""
 
 
-@query("selection_scatter", SCATTER_SQL)
-def selection_scatter(spark, d):
+def _scatter(spark, d, m):
     late = scenarios(spark, d).filter("NOT attempt_first70pct")
-    limits = stage(thresholds_table(spark, d), "thresholds")
+    limits = stage(thresholds_table(spark, d, m), "thresholds")
 
     def label(c):
         return F.when(F.col(c), "Selected").otherwise("Not selected")
 
     return late.join(limits, "cntry_round").select(
         "cntry_round", "case_id",
-        F.round("score_full_sim1", 6).alias("early_score"),
-        F.round("score_full_sim2", 6).alias("late_score"),
-        label("rank_selected_full").alias("sim3"), label("rand_selected").alias("sim4"),
+        F.round(f"score_{m}_sim1", 6).alias("early_score"),
+        F.round(f"score_{m}_sim2", 6).alias("late_score"),
+        label(f"rank_selected_{m}").alias("sim3"), label("rand_selected").alias("sim4"),
         r6("min_top"), r6("max_bottom"),
     )
 
 
+@query("selection_scatter", _scatter_sql("f", "k_full"))
+def selection_scatter(spark, d):
+    return _scatter(spark, d, "full")
+
+
+@query("selection_scatter_dem", _scatter_sql("d", "k_dem"))
+def selection_scatter_dem(spark, d):
+    return _scatter(spark, d, "dem")
+
+
 _LABELS = [
     ("dem_bottom", "Demographics only", "Sim1 Bottom"), ("dem_top", "Demographics only", "Sim2 Top"),
     ("full_bottom", "Demographics + Interviewer obs.", "Sim1 Bottom"),

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.recode import (
     bin_numeric, build_timestamp, code_flag, collapse_levels, complete_cases, decode_map,
-    filter_domain, format_percent, group_key, lump_rare_levels, parse_attempt_no, parse_percent,
-    recode, score_classes, score_flags, split_group_key,
+    drop_by_prefix, filter_domain, format_percent, group_key, lump_rare_levels, parse_attempt_no,
+    parse_percent, recode, rename_by_pattern, score_classes, score_flags, select_by_prefix,
+    split_group_key,
 )
 from ..operators import history, progress
 from ..operators.ordering import positions
 from ..operators.summaries import crosstab, crosstab_wide
 from ..plans.scenarios import case_table
-from ..sources.contacts import decode_labels, read_contact_forms, sample_rows, union_rounds
+from ..sources.contacts import (
+    decode_labels, read_contact_forms, read_stage, sample_rows, union_rounds, write_stage,
+)
+from ..stages import shared_dir
 from . import sql
 from .registry import query, r6
 from .views import PRIO, STUDY, attempts, cases, table
@@ -351,6 +357,33 @@ def unpivot(spark, d):
     return history.unpivot_measures(t, ["cntry_round"], ["cases", "attempts"], "measure", "value")
 
 
+PREFIX_SQL = """SELECT l_orderkey, l_linenumber, l_partkey AS item_partkey, l_suppkey AS item_suppkey,
+  coalesce(CASE WHEN l_returnflag = 'R' THEN l_quantity END, 0.0) AS returned FROM lineitem"""
+
+
+@query("prefix_columns", PREFIX_SQL)
+def prefix_columns(spark, d):
+    """Columns picked, dropped and renamed by their names; NULL filled."""
+    line = table(spark, d, "lineitem").withColumn(
+        "returned", F.coalesce(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")), F.lit(0.0))
+    )
+    line = drop_by_prefix(line, "l_ship", "l_return", "l_linestatus", "l_tax", "l_discount", "l_ext", "l_quan")
+    line = rename_by_pattern(rename_by_pattern(line, "l_part", "item_part"), "l_supp", "item_supp")
+    return line.select("l_orderkey", "l_linenumber", *select_by_prefix(line, "item_"), "returned")
+
+
+STAGE_SQL = f"WITH {sql.CASES} SELECT case_id, cntry, round, interview FROM cases"
+
+
+@query("stage_round_trip", STAGE_SQL)
+def stage_round_trip(spark, d):
+    """Cases written one directory per round and read back."""
+    c = cases(spark, d).select("case_id", "cntry", "round", "interview")
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/rounds-{uuid.uuid4().hex}"
+    write_stage(c, path)
+    return read_stage(spark, path, c.schema)
+
+
 # --- sequencing --------------------------------------------------------------
 
 SEQUENCE_SQL = f"""WITH {sql.PROGRESS}

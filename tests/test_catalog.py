@@ -20,7 +20,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="test tables not
 # Queries without fitted logistic models: at this scale a group has some ten
 # cases, fits lie on the boundary and have no value two engines would share.
 EXACT = [
-    "read_forms", "decode_labels", "union_rounds", "sample_rows", "recode_case", "collapse_lump",
+    "read_forms", "prefix_columns", "stage_round_trip", "decode_labels", "union_rounds", "sample_rows", "recode_case", "collapse_lump",
     "score_flags", "build_timestamp", "year_rules", "complete_cases", "filter_domain",
     "group_keys", "level_order", "unpivot_attempts", "success_attempt", "long_histories",
     "scenario_pivot", "unpivot_measures", "attempt_sequence", "progress_flags", "last_attempt",
