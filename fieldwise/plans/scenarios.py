@@ -50,7 +50,9 @@ def case_table(attempts: DataFrame, s: Scenario, cutoffs=CUTOFFS) -> DataFrame:
     """Sequence, cut into phases and reduce to the last attempt of each case."""
     order = ["time", s.case, "attempt"]
     progress = fieldwork_progress(sequence_attempts(attempts, s.group, order), cutoffs)
-    return last_attempt(progress, [*s.group_cols, s.case], early=s.early)
+    # The case number leads the key: the aggregation sorts on it, and a number
+    # compares faster than the group's name.
+    return last_attempt(progress, [s.case, s.group], early=s.early)
 
 
 # Model name -> which phase it is fitted on, and which period's model scores a case.
