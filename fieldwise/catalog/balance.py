@@ -80,7 +80,7 @@ sw AS (SELECT cntry_round, count(*) / sum({weight}) AS scale FROM wc GROUP BY cn
 wcell AS MATERIALIZED (SELECT cntry_round, prio, barrier, sum({weight}) AS w, sum({weight}) * max(scale) AS n,
   sum({weight} * y) * max(scale) AS y FROM wc JOIN sw USING (cntry_round) GROUP BY cntry_round, prio, barrier),
 {sql.indicator("m", "wcell", "cntry_round", DEM, total="tot")}
-SELECT cntry_round, round(pop, 4) AS population, {sql.indicator_columns()} FROM m_ind"""
+SELECT cntry_round, round(pop, 6) AS population, {sql.indicator_columns()} FROM m_ind"""
     totals = f"""pcase AS MATERIALIZED (SELECT wc.cntry_round, wc.status, wc.{weight} AS wt, p, (p - pm) * (p - pm) AS q
   FROM wc JOIN m_q ON wc.cntry_round = m_q.cntry_round AND wc.prio = m_q.prio AND wc.barrier = m_q.barrier),
 tot AS MATERIALIZED ({variance}),
@@ -103,9 +103,7 @@ FROM pcase GROUP BY cntry_round""")
 def stsi(spark, d):
     """Weights constant per stratum; the strata are read off the weights."""
     i = indicator_by_group(weighted_cases(spark, d), DEM, ["y"], ["cntry_round"], weight="w")
-    return rounded(i.overall, ["cntry_round", "n_obs"], ["population", *IND]).withColumn(
-        "population", F.round("population", 4)
-    )
+    return rounded(i.overall, ["cntry_round", "n_obs"], ["population", *IND])
 
 
 @query("r_indicator_pps", PPSI_SQL)
@@ -114,9 +112,7 @@ def pps(spark, d):
     i = indicator_by_group(
         weighted_cases(spark, d), DEM, ["y"], ["cntry_round"], weight="v", stratum="status"
     )
-    return rounded(i.overall, ["cntry_round", "n_obs"], ["population", *IND]).withColumn(
-        "population", F.round("population", 4)
-    )
+    return rounded(i.overall, ["cntry_round", "n_obs"], ["population", *IND])
 
 
 LINEAR_IND = f"""WITH {sql.CASES},

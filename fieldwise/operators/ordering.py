@@ -20,6 +20,7 @@ from ..stages import stage
 # Rows a group may have and still be ordered inside one task, unless the
 # session sets spark.fieldwise.hotRows.
 HOT_ROWS = 2_000_000
+HOT_SAMPLE = 10_000
 
 
 def hot_limit(df: DataFrame, hot_rows: int | None) -> int:
@@ -39,14 +40,21 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 def split_hot(
     df: DataFrame, by: Sequence[str], hot_rows: int, keys: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of groups up to ``hot_rows`` and rows of the groups above it (or None).
-
-    The table of hot groups has at most rows / hot_rows rows.  ``keys`` is a
-    cheaper frame holding the same group columns row for row (a bare scan, say).
+    """Rows of ordinary groups, and rows of groups above ``hot_rows`` (None if there are none).
+
+    Sizes are judged on a sample in which a hot group still has some ten
+    thousand rows, so that a table of very many small groups is not shuffled
+    just to find out that they are small.  The judgement only chooses the way a
+    group is ordered: both ways are exact and every row takes one of them.
+    The written table of hot groups has at most about rows / hot_rows rows.
+    ``keys`` is a cheaper frame holding the same group columns row for row.
     """
-    source = df if keys is None else keys
+    source = (df if keys is None else keys).select(*by)
+    share = min(1.0, HOT_SAMPLE / hot_rows)
+    if share < 1:
+        source = source.sample(share, seed=7)
     sizes = source.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
-    hot = stage(sizes.filter(F.col("_size") > hot_rows), "hot-groups")
+    hot = stage(sizes.filter(F.col("_size") > hot_rows * share), "hot-groups")
     if hot.isEmpty():
         return df, None
     same = _same(df, hot, by)
