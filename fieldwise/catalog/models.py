@@ -252,7 +252,8 @@ SELECT *, rank > (ranked + 1) / 2.0 AS top, rank <= (ranked + 1) / 2.0 AS bottom
 
 @query("rank_split", RANK_SQL)
 def rank_split(spark, d):
-    late = cases(spark, d).filter("NOT attempt_first70pct").select("cntry_round", "case_id", "attempt")
+    _, late = T.split_early_late(cases(spark, d), "attempt_first70pct")
+    late = late.select("cntry_round", "case_id", "attempt")
     return T.split_at_median(late, ["cntry_round"], "case_id", F.col("attempt"), "rank")
 
 

@@ -115,8 +115,3 @@ def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(
         scenario_cases(cases(spark, sf_dir), STUDY, fits(spark, sf_dir)), "scenarios"
     )
-
-
-def forget() -> None:
-    """Drop the record of built stages (a benchmark measures each query cold)."""
-    _built.clear()

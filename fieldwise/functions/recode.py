@@ -50,10 +50,9 @@ def collapse_levels(col: str | Column, groups: Mapping[str, Sequence]) -> Column
 
 
 def decode_map(col: str | Column, labels: Mapping, keep_unmatched: bool = False) -> Column:
-    """Code to label by a short literal dictionary."""
+    """Code to label by a short literal dictionary; unlisted codes give NULL or stay."""
     c = _col(col)
-    pairs = [F.lit(x) for kv in labels.items() for x in kv]
-    found = F.element_at(F.create_map(*pairs), c)
+    found = recode([(c == code, F.lit(label)) for code, label in labels.items()])
     return F.coalesce(found, c.cast("string")) if keep_unmatched else found
 
 
