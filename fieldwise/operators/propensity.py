@@ -200,23 +200,29 @@ def _by_schema(df: DataFrame, by: Sequence[str]) -> list[T.StructField]:
     return [df.schema[c] for c in by]
 
 
-def prepare_cells(
-    cells: DataFrame, spec: ModelSpec, by: Sequence[str]
-) -> tuple[DataFrame, int]:
-    """Cells with their design row, and the size of the largest group.
+def prepare_cells(cells: DataFrame, spec: ModelSpec, by: Sequence[str]) -> DataFrame:
+    """Cells with their design row."""
+    return cells.select(*by, "n", "w", "y", "yy", "answered", design_array(spec).alias("x"))
+
+
+def largest_groups(ready: dict[str, DataFrame], by: Sequence[str]) -> dict[str, int]:
+    """Cells in the largest group of each prepared table, in one job.
 
     Refuses incomplete cases: they would have to be dropped from model and
     indicator alike, which ``complete_cases`` does.
     """
-    ready = cells.select(*by, "n", "w", "y", "yy", "answered", design_array(spec).alias("x"))
     bad = F.exists("x", lambda v: v.isNull()) | (F.col("answered") < F.col("n"))
-    check = (
-        ready.groupBy(*by).agg(F.count(F.lit(1)).alias("cells"), F.count_if(bad).alias("bad"))
-        .agg(F.max("cells"), F.sum("bad")).first()
-    )
-    if check[1]:
+    counts = [
+        r.groupBy(*by).agg(F.count(F.lit(1)).alias("cells"), F.count_if(bad).alias("bad"))
+        .select(F.lit(name).alias("name"), "cells", "bad")
+        for name, r in ready.items()
+    ]
+    found = reduce(DataFrame.unionByName, counts).groupBy("name").agg(
+        F.max("cells").alias("cells"), F.sum("bad").alias("bad")
+    ).collect()
+    if any(r.bad for r in found):
         raise ValueError("covariates and responses must be complete: use complete_cases first")
-    return ready.drop("answered"), check[0] or 0
+    return {name: 0 for name in ready} | {r.name: r.cells for r in found}
 
 
 def spread(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -251,11 +257,7 @@ def fit_grouped(
     way: cells that fit in one task are solved there, otherwise each Newton
     step is a distributed aggregation.
     """
-    by = list(by)
-    ready, largest = prepare_cells(cells, spec, by)
-    if largest > max_cells:
-        return _fit_iterative(ready, spec, by, family)
-    return stage(fit_in_tasks(ready, spec, by, family), "fits")
+    return fit_models({"": (cells, spec)}, by, family, max_cells).drop("model")
 
 
 def fit_models(
@@ -267,12 +269,14 @@ def fit_models(
     Models that fit in tasks are solved together in one job.
     """
     by, parts = list(by), []
-    for name, (cells, spec) in models.items():
-        ready, largest = prepare_cells(cells, spec, by)
-        if largest > max_cells:
-            fits = _fit_iterative(ready, spec, by, family)
+    ready = {name: prepare_cells(cells, spec, by) for name, (cells, spec) in models.items()}
+    largest = largest_groups(ready, by)
+    for name, (_, spec) in models.items():
+        cells = ready[name].drop("answered")
+        if largest[name] > max_cells:
+            fits = _fit_iterative(cells, spec, by, family)
         else:
-            fits = fit_in_tasks(ready, spec, by, family)
+            fits = fit_in_tasks(cells, spec, by, family)
         parts.append(fits.withColumn("model", F.lit(name)))
     return stage(reduce(DataFrame.unionByName, parts), "fits")
 

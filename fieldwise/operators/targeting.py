@@ -9,7 +9,6 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..stages import stage
 from .ordering import positions
@@ -169,13 +168,24 @@ def _race(a: list[int], b: list[int], len_a: int, len_b: int, taken: int, want:
     return picks, stands, ran_out
 
 
-def _small_draft(pdf: pd.DataFrame, start: str) -> tuple[int, int]:
+def _small_draft(pdf: pd.DataFrame, start: str) -> pd.DataFrame:
     """Both thresholds of a group whose relevant rows fit in one task."""
     ranks = [sorted(pdf[c]) for c in ("rank_a", "rank_b")]
     places = [pdf[c].rank().astype(int).tolist() for c in ("rank_a", "rank_b")]
     _, stands, _ = _race(*places, len(pdf), len(pdf), 0, int(pdf["_want"].iloc[0]), start)
-    alpha, beta = (r[k - 1] if k else 0 for r, k in zip(ranks, stands))
-    return int(alpha), int(beta)
+    limits = [int(r[k - 1]) if k else 0 for r, k in zip(ranks, stands)]
+    return pd.DataFrame([(pdf["_gid"].iloc[0], *limits)], columns=["_gid", "_alpha", "_beta"])
+
+
+def _leap(pdf: pd.DataFrame, start: str) -> pd.DataFrame:
+    """One leap of a large group's draft over its contested rows."""
+    r, shared = pdf.iloc[0], pdf[pdf["_pa"].notna()]
+    picks, places, ran_out = _race(
+        shared["_pa"].astype(int).tolist(), shared["_pb"].astype(int).tolist(),
+        int(r["_la"]), int(r["_lb"]), int(r["_taken"]), int(r["_want"]), start,
+    )
+    names = ["_gid", "_picks", "_place_a", "_place_b", "_out"]
+    return pd.DataFrame([(r["_gid"], picks, *places, ran_out)], columns=names).astype("int64")
 
 
 def alternating_picks(
@@ -195,42 +205,40 @@ def alternating_picks(
     group needs.  Groups beyond ``window`` go through ``_large_drafts``.
     """
     by = list(by)
-    ranked = stage(
-        df.withColumns({"rank_a": F.col(rank_a).cast("bigint"), "rank_b": F.col(rank_b).cast("bigint")}),
-        "ranked",
-    )
+    ranked = stage(df, "ranked")
+    a, b = F.col(rank_a).cast("bigint"), F.col(rank_b).cast("bigint")
     m = F.count(F.lit(1))
     want = F.greatest(F.lit(1), F.floor(m / 2)).cast("bigint")
-    gaps = F.greatest(F.max("rank_a"), F.max("rank_b")) - m
+    gaps = F.greatest(F.max(a), F.max(b)) - m
+    # A number stands for the group from here on: it is all a task needs to carry.
     groups = stage(
-        ranked.groupBy(*by).agg(want.alias("_want"), (want + gaps).alias("_reach")), "draft"
+        ranked.groupBy(*by).agg(want.alias("_want"), (want + gaps).alias("_reach"))
+        .withColumn("_gid", F.monotonically_increasing_id()),
+        "draft-groups",
     )
-    keys = [ranked.schema[c] for c in by]
-    schema = T.StructType(keys + [T.StructField(c, T.LongType()) for c in ("_alpha", "_beta")])
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = tuple(pdf[c].iloc[0] for c in by)
-        return pd.DataFrame([(*key, *_small_draft(pdf, start))], columns=schema.names)
-
-    narrow = ranked.select(*by, "rank_a", "rank_b")
-    near = (
-        narrow.join(groups.filter(F.col("_reach") <= window), by)
-        .filter(F.least("rank_a", "rank_b") <= F.col("_reach"))
+    narrow = ranked.join(groups, by).select(
+        "_gid", "_want", "_reach", a.alias("rank_a"), b.alias("rank_b")
+    )
+    near = narrow.filter(
+        (F.col("_reach") <= window) & (F.least("rank_a", "rank_b") <= F.col("_reach"))
+    )
+    limits = near.drop("_reach").groupBy("_gid").applyInPandas(
+        lambda pdf: _small_draft(pdf, start), "_gid bigint, _alpha bigint, _beta bigint"
     )
-    limits = near.groupBy(*by).applyInPandas(solve, schema)
-    large = groups.filter(F.col("_reach") > window).drop("_reach")
+    large = groups.filter(F.col("_reach") > window)
     if not large.isEmpty():
-        limits = limits.unionByName(_large_drafts(narrow, large, by, keys, start, window))
-    limits = stage(limits, "draft-limits")
-    chosen = (F.col("rank_a") <= F.col("_alpha")) | (F.col("rank_b") <= F.col("_beta"))
-    extra = [c for c in ("rank_a", "rank_b") if c not in df.columns]
-    return ranked.join(limits, by, "left").withColumn(out, chosen).drop("_alpha", "_beta", *extra)
+        rest = stage(
+            narrow.filter(F.col("_reach") > window).select("_gid", "rank_a", "rank_b"), "draft-rows"
+        )
+        limits = limits.unionByName(
+            _large_drafts(rest, large.select("_gid", "_want"), start, window)
+        )
+    limits = stage(limits.join(groups, "_gid").select(*by, "_alpha", "_beta"), "draft-limits")
+    chosen = (a <= F.col("_alpha")) | (b <= F.col("_beta"))
+    return ranked.join(limits, by, "left").withColumn(out, chosen).drop("_alpha", "_beta")
 
 
-def _large_drafts(
-    narrow: DataFrame, groups: DataFrame, by: list[str], keys: list[T.StructField], start: str,
-    limit: int,
-) -> DataFrame:
+def _large_drafts(rows: DataFrame, groups: DataFrame, start: str, limit: int) -> DataFrame:
     """Thresholds of groups too large for one task, by leaps of bounded detail.
 
     From (alpha, beta) a leap looks at the next ``_width`` ranks of both lists.
@@ -240,79 +248,74 @@ def _large_drafts(
     For unrelated rankings of m cases the width is near sqrt(limit * m), so the
     number of leaps stays small however large the group.
     """
-    numbers = ["_want", "_taken", "_alpha", "_beta"]
-    zero = F.lit(0).cast("bigint")
-    state = stage(groups.select(*by, "_want", *[zero.alias(c) for c in numbers[1:]]), "draft")
-    out_names = ["_picks", "_place_a", "_place_b", "_out"]
-    schema = T.StructType(keys + [T.StructField(c, T.LongType()) for c in out_names])
-
-    def leap(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, r = tuple(pdf[c].iloc[0] for c in by), pdf.iloc[0]
-        shared = pdf[pdf["_pa"].notna()]
-        picks, (pa, pb), ran_out = _race(
-            shared["_pa"].astype(int).tolist(), shared["_pb"].astype(int).tolist(),
-            int(r["_la"]), int(r["_lb"]), int(r["_taken"]), int(r["_want"]), start,
-        )
-        return pd.DataFrame([(*key, picks, pa, pb, ran_out)], columns=schema.names)
-
+    zero, nothing = F.lit(0).cast("bigint"), F.lit(None).cast("double")
+    state = stage(
+        groups.select("_gid", "_want", *[zero.alias(c) for c in ("_taken", "_alpha", "_beta")]),
+        "draft",
+    )
+    ahead = {
+        "_da": F.col("rank_a") - F.col("_alpha"), "_db": F.col("rank_b") - F.col("_beta"),
+    }
     done = []
     while True:
-        a, b = F.col("rank_a") - F.col("_alpha"), F.col("rank_b") - F.col("_beta")
-        live = narrow.join(state, by).filter((a > 0) & (b > 0)).withColumns({"_da": a, "_db": b})
-        # Rows that become contested at width 2^e, for each e; 64 rows per group at most.
+        # Rows that become contested at width 2^e, for each e: 64 rows per group at most.
+        live = rows.join(state, "_gid").withColumns(ahead).filter("_da > 0 AND _db > 0")
         far = F.greatest("_da", "_db")
         bits = F.when(far == 1, 0).otherwise(F.length(F.bin(far - 1)))
-        contested = live.groupBy(*by, bits.alias("_e")).agg(F.count(F.lit(1)).alias("_c"))
-        upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_e"))
-        too_wide = contested.withColumn("_upto", upto).filter(F.col("_upto") > limit)
-        widths = too_wide.groupBy(*by).agg(F.min("_e").alias("_e"))
-        state = stage(
-            state.join(widths, by, "left")
-            .withColumn("_width", F.expr("shiftleft(1L, coalesce(cast(_e as int) - 1, 62))"))
-            .drop("_e"),
-            "draft",
+        contested = live.groupBy("_gid", bits.alias("_e")).agg(F.count(F.lit(1)).alias("_c"))
+        upto = F.sum("_c").over(Window.partitionBy("_gid").orderBy("_e"))
+        widths = (
+            contested.withColumn("_upto", upto).filter(F.col("_upto") > limit)
+            .groupBy("_gid").agg(F.min("_e").cast("int").alias("_e"))
         )
-        live = (
-            narrow.join(state, by).withColumns({"_da": a, "_db": b})
-            .filter((F.col("_da") > 0) & (F.col("_db") > 0))
+        width = F.expr("shiftleft(1L, coalesce(_e - 1, 62))")
+        state = stage(
+            state.join(widths, "_gid", "left").withColumn("_width", width).drop("_e"), "draft"
         )
+        live = rows.join(state, "_gid").withColumns(ahead).filter("_da > 0 AND _db > 0")
         inside = {}
         for x in ("a", "b"):
-            window_rows = live.filter(F.col(f"_d{x}") <= F.col("_width")).select(
-                *by, "rank_a", "rank_b", (F.greatest("_da", "_db") <= F.col("_width")).alias("_both")
+            seen = live.filter(F.col(f"_d{x}") <= F.col("_width")).select(
+                "_gid", "rank_a", "rank_b", (F.greatest("_da", "_db") <= F.col("_width")).alias("_both")
             )
-            inside[x] = stage(positions(window_rows, by, [f"rank_{x}"], f"_p{x}"), "draft-window")
-        lengths = [
-            inside[x].groupBy(*by).agg(F.count(F.lit(1)).alias(f"_l{x}")) for x in ("a", "b")
-        ]
-        facts = state.join(lengths[0], by, "left").join(lengths[1], by, "left")
+            inside[x] = stage(positions(seen, ["_gid"], [f"rank_{x}"], f"_p{x}"), "draft-window")
+        facts = state
+        for x in ("a", "b"):
+            length = inside[x].groupBy("_gid").agg(F.count(F.lit(1)).alias(f"_l{x}"))
+            facts = facts.join(length, "_gid", "left")
         facts = stage(facts.fillna(0, ["_la", "_lb"]), "draft")
-        shared = inside["a"].filter("_both").select(*by, "rank_a", "_pa").join(
-            inside["b"].filter("_both").select(*by, "rank_a", "_pb"), [*by, "rank_a"]
+        shared = inside["a"].filter("_both").select("_gid", "rank_a", "_pa").join(
+            inside["b"].filter("_both").select("_gid", "rank_a", "_pb"), ["_gid", "rank_a"]
         )
         # One blank row per group: a group without contested rows leaps as well.
-        nothing = F.lit(None).cast("double")
-        rows = shared.select(*by, F.col("_pa").cast("double"), F.col("_pb").cast("double"))
-        rows = rows.unionByName(facts.select(*by, nothing.alias("_pa"), nothing.alias("_pb")))
+        played = shared.select("_gid", F.col("_pa").cast("double"), F.col("_pb").cast("double"))
+        played = played.unionByName(
+            facts.select("_gid", nothing.alias("_pa"), nothing.alias("_pb"))
+        )
         result = stage(
-            rows.join(facts, by).groupBy(*by).applyInPandas(leap, schema), "draft"
+            played.join(facts, "_gid").groupBy("_gid").applyInPandas(
+                lambda pdf: _leap(pdf, start),
+                "_gid bigint, _picks bigint, _place_a bigint, _place_b bigint, _out bigint",
+            ),
+            "draft",
         )
-        moved = facts.join(result, by)
-        for x, start_col in (("a", "_alpha"), ("b", "_beta")):
-            found = inside[x].join(result, by).filter(F.col(f"_p{x}") == F.col(f"_place_{x}"))
-            found = found.select(*by, F.col(f"rank_{x}").alias(f"_at_{x}"))
-            moved = moved.join(found, by, "left").withColumn(
-                start_col,
-                F.when(F.col("_out") == (0 if x == "a" else 1), F.col(start_col) + F.col("_width"))
-                .otherwise(F.coalesce(F.col(f"_at_{x}"), F.col(start_col))),
+        moved = facts.join(result, "_gid")
+        for side, (x, limit_col) in enumerate((("a", "_alpha"), ("b", "_beta"))):
+            found = inside[x].join(result, "_gid").filter(F.col(f"_p{x}") == F.col(f"_place_{x}"))
+            moved = moved.join(
+                found.select("_gid", F.col(f"rank_{x}").alias(f"_at_{x}")), "_gid", "left"
+            ).withColumn(
+                limit_col,
+                F.when(F.col("_out") == side, F.col(limit_col) + F.col("_width"))
+                .otherwise(F.coalesce(F.col(f"_at_{x}"), F.col(limit_col))),
             )
         state = stage(
-            moved.select(*by, "_want", F.col("_picks").alias("_taken"), "_alpha", "_beta"), "draft"
+            moved.select("_gid", "_want", F.col("_picks").alias("_taken"), "_alpha", "_beta"), "draft"
         )
         done.append(state.filter(F.col("_taken") >= F.col("_want")))
         state = state.filter(F.col("_taken") < F.col("_want"))
         if state.isEmpty():
-            return reduce(DataFrame.unionByName, done).select(*by, "_alpha", "_beta")
+            return reduce(DataFrame.unionByName, done).select("_gid", "_alpha", "_beta")
 
 
 def possible_savings(cases: DataFrame, attempt: str = "attempt",
