@@ -79,3 +79,14 @@ SAVED_LABELS = {
     "prop_rand": ("Demographics only", "Sim4 Rand"),
     "prop_rand2": ("Demographics + Interviewer obs.", "Sim4 Rand"),
 }
+
+# Survey outcomes compared by interviewer observation.
+OUTCOME_LABELS = {
+    "hinctnta_n": "HH income", "eduyrs_n": "Education (yrs)", "happy_n": "Happy",
+    "ppltrst_n": "Trust",
+}
+OUTCOME_FACTORS = {
+    "neighb": ("Neighbourhood characteristics", NEIGHBOURHOOD),
+    "multi_unit": ("Type of building", MULTI_UNIT),
+    "no_access": ("Barriers to access", ACCESS),
+}

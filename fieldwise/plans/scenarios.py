@@ -56,7 +56,7 @@ def case_table(attempts: DataFrame, s: Scenario, cutoffs=CUTOFFS) -> DataFrame:
 
 
 # Model name -> which phase it is fitted on, and which period's model scores a case.
-def _models(s: Scenario) -> dict[str, tuple[ModelSpec, bool]]:
+def model_specs(s: Scenario) -> dict[str, tuple[ModelSpec, bool]]:
     return {
         "dem_sim1": (s.dem, True),
         "full_sim1": (s.full, True),
@@ -77,7 +77,7 @@ def propensity_fits(cases: DataFrame, s: Scenario) -> dict[str, DataFrame]:
             ),
             spec,
         )
-        for name, (spec, early) in _models(s).items()
+        for name, (spec, early) in model_specs(s).items()
     }
     fits = fit_models(models, by)
     return {name: fits.filter(F.col("model") == name) for name in models}
@@ -106,7 +106,7 @@ def late_scores(cases: DataFrame, fits: dict[str, DataFrame], s: Scenario) -> Da
         *s.group_cols, s.case,
         *[
             score_column(spec, F.col(f"_m_{name}")).alias(f"score_{name}")
-            for name, (spec, _) in _models(s).items()
+            for name, (spec, _) in model_specs(s).items()
         ],
     )
 
@@ -114,7 +114,7 @@ def late_scores(cases: DataFrame, fits: dict[str, DataFrame], s: Scenario) -> Da
 def targeting_flags(scores: DataFrame, s: Scenario) -> DataFrame:
     """Rank, halve and draft the late cases; one row per late case."""
     rankings = {
-        name: (F.col(f"score_{name}"), f"{s.seed}-{name}") for name in _models(s)
+        name: (F.col(f"score_{name}"), f"{s.seed}-{name}") for name in model_specs(s)
     }
     rankings["rand"] = (None, f"{s.seed}-rand")
     rankings["rand2"] = (None, f"{s.seed}-rand2")
@@ -145,9 +145,9 @@ def targeting_flags(scores: DataFrame, s: Scenario) -> DataFrame:
 
     flags = ranks.select(
         *keys,
-        *[f"rank_{n}" for n in _models(s)],
-        *[half(top_half, n).alias(f"{n}_top50") for n in _models(s)],
-        *[half(bottom_half, n).alias(f"{n}_bottom50") for n in _models(s)],
+        *[f"rank_{n}" for n in model_specs(s)],
+        *[half(top_half, n).alias(f"{n}_top50") for n in model_specs(s)],
+        *[half(bottom_half, n).alias(f"{n}_bottom50") for n in model_specs(s)],
         half(bottom_half, "rand").alias("rand_selected"),
         half(bottom_half, "rand2").alias("rand2_selected"),
     )
@@ -157,7 +157,10 @@ def targeting_flags(scores: DataFrame, s: Scenario) -> DataFrame:
 def scenario_cases(
     cases: DataFrame, s: Scenario, fits: dict[str, DataFrame] | None = None
 ) -> DataFrame:
-    """Cases of evaluated groups with every selection flag and resulting response."""
+    """Cases of evaluated groups with every selection flag and resulting response.
+
+    ``cases`` is read several times: pass a written table.
+    """
     fits = fits or propensity_fits(cases, s)
     scores = stage(late_scores(cases, fits, s), "late-scores")
     flags = targeting_flags(scores, s)
@@ -169,12 +172,12 @@ def scenario_cases(
     df = cases.join(evaluated, s.group_cols, "left_semi").join(flags, keys, "left")
     response, early = F.col(s.response), F.col(s.early)
     pursued = ["rand_selected", "rand2_selected", "rank_selected_dem", "rank_selected_full"]
-    halves = [f"{n}_{h}" for n in _models(s) for h in ("top50", "bottom50")]
+    halves = [f"{n}_{h}" for n in model_specs(s) for h in ("top50", "bottom50")]
     resp = {
         # Computed before the missing flags are filled below.
         **{
             f"{n}_resp_{h}": counterfactual_response(response, F.col(f"{n}_{h}"))
-            for n in _models(s) for h in ("top50", "bottom50")
+            for n in model_specs(s) for h in ("top50", "bottom50")
         },
         "rand_resp": counterfactual_response(response, F.col("rand_selected")),
         "rand2_resp": counterfactual_response(response, F.col("rand2_selected")),
