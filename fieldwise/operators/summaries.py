@@ -103,23 +103,32 @@ def effect_table(
 ) -> DataFrame:
     """Effect sizes of every value by every factor, stacked and labelled.
 
-    All moments come from one aggregation: the (value, factor) combinations are
-    rows of a narrow exploded table that is combined map-side.
+    All moments come from one aggregation.  A row is repeated once per factor,
+    inside the map task; the values ride along as columns and become rows only
+    when there is one row per group, factor and level.
     """
-    combos = F.explode(F.array(*[
-        F.struct(
-            F.lit(v).alias("variable"), F.lit(label).alias("y_lab"), F.lit(f).alias("factor"),
-            F.lit(text).alias("text"),
-            F.col(v).cast("double").alias("x"), F.col(f).cast("string").alias("level"),
-        )
-        for v, label in values.items() for f, (text, _) in factors.items()
+    each = F.explode(F.array(*[
+        F.struct(F.lit(f).alias("factor"), F.lit(text).alias("text"),
+                 F.col(f).cast("string").alias("level"))
+        for f, (text, _) in factors.items()
     ]))
+    sums = (
+        df.select(*by, *[F.col(v).cast("double").alias(v) for v in values], each.alias("_f"))
+        .select(*by, *values, "_f.*")
+        .filter(F.col("level").isNotNull())
+        .groupBy(*by, "factor", "text", "level")
+        .agg(*[
+            F.struct(F.lit(v).alias("variable"), F.lit(label).alias("y_lab"),
+                     F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("var"))
+            .alias(f"_{v}")
+            for v, label in values.items()
+        ])
+    )
+    stats = F.explode(F.array(*[F.col(f"_{v}") for v in values]))
     key = [*by, "variable", "y_lab", "factor", "text"]
     moments = (
-        df.select(*by, combos.alias("_c")).select(*by, "_c.*")
-        .filter(F.col("x").isNotNull() & F.col("level").isNotNull())
-        .groupBy(*key, "level")
-        .agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_samp("x").alias("var"))
+        sums.select(*by, "factor", "text", "level", stats.alias("_s"))
+        .select(*by, "factor", "text", "level", "_s.*").filter(F.col("n") > 0)
     )
 
     def side(i: int) -> Column:
