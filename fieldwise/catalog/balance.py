@@ -200,10 +200,18 @@ def partial_cv(spark, d):
     return rounded(v, ["cntry_round", "variable"], names)
 
 
-# Partials under weights and strata: SQL text would repeat the whole matrix
-# algebra with design variances; checked row by row in the tests instead.
-@query("partial_weighted")
+_Z = ", ".join(f"z{i}" for i in range(len(sql.columns(DEM))))
+WPART_SQL = STSI_SQL[: STSI_SQL.rindex("\nSELECT")] + f""",
+wcase AS MATERIALIZED (SELECT wc.cntry_round, wc.status, wc.w AS wt, wc.prio, wc.barrier, wc.seg, p, pm, {_Z}
+  FROM wc JOIN m_q ON wc.cntry_round = m_q.cntry_round AND wc.prio = m_q.prio AND wc.barrier = m_q.barrier),
+{sql.weighted_partials("m", "cntry_round", DEM, ["prio", "barrier", "seg"], "wcase")}
+SELECT cntry_round, variable, category, round(pu, 6) AS pu_unadj, round(pu_se, 6) AS pu_unadj_se,
+  round(pc, 6) AS pc_unadj, round(pc_se, 6) AS pc_unadj_se FROM m_wp"""
+
+
+@query("partial_weighted", WPART_SQL)
 def partial_weighted(spark, d):
+    """Partials by category under stratified sampling, one variable outside the model."""
     i = indicator_by_group(
         weighted_cases(spark, d), DEM, ["y"], ["cntry_round"], weight="w", stratum="status",
         partials=True, other_variables=["seg"],

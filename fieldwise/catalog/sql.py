@@ -300,3 +300,42 @@ def unconditional(name: str, by: str, variables: list[str]) -> str:
   FROM (SELECT {name}_pu.*, i.prop_mean, 0.5 * sqrt(o.r_var) AS se FROM {name}_pu
     JOIN {name}_ind i USING ({by}) JOIN {name}_of_ind o ON o.bv = {by} || '~' || variable)
   GROUP BY {by}, variable)"""
+
+
+def weighted_partials(name: str, by: str, spec: ModelSpec, variables: list[str], cases: str) -> str:
+    """CTEs after a weighted ``indicator(name, ...)`` under stratified sampling.
+
+    ``cases`` has one row per case: by, status (stratum), wt, the variables and
+    the cell's p, pm and z<i>.  Leaves ``<name>_wp``, one row per category.
+    """
+    k = len(columns(spec))
+    parts = []
+    for t, v in enumerate(variables):
+        others = ", ".join(o for o in spec.factors if o != v)
+        peers = f"(PARTITION BY {by}, {others})"
+        centred = ", ".join(
+            f"z{i} - sum(wt * z{i}) OVER {peers} / sum(wt) OVER {peers} AS dz{i}" for i in range(k)
+        )
+        sums = [f"sum(wt * d * dz{i}) AS da{i}" for i in range(k)]
+        sums += [f"sum(wt * dz{i} * dz{j}) AS db{i}_{j}" for i in range(k) for j in range(i, k)]
+        ref = f"{name}_w{t}"
+        here = f"{v} = category"
+        parts.append(f"""
+{ref}_d AS MATERIALIZED (SELECT {by}, status, {v}, wt, p, pm,
+  p - sum(wt * p) OVER {peers} / sum(wt) OVER {peers} AS d, {centred} FROM {cases}),
+{ref}_h AS (SELECT {by}, category, sum(nn * nn * (1 - n / nn) * v1 / n) AS t1,
+    sum(nn * nn * (1 - n / nn) * v2 / n) AS t2, sum(nn * nn * (1 - n / nn) * v3 / n) AS t3
+  FROM (SELECT {by}, category, status, sum(wt) AS nn, count(*) AS n,
+      var_samp(CASE WHEN {here} THEN p ELSE 0 END) AS v1, var_samp(CASE WHEN {here} THEN 0 ELSE p END) AS v2,
+      var_samp(CASE WHEN {here} THEN d * d ELSE 0 END) AS v3
+    FROM {ref}_d, (SELECT DISTINCT {v} AS category FROM {ref}_d) GROUP BY {by}, category, status)
+  GROUP BY {by}, category),
+{ref}_a AS MATERIALIZED (SELECT {by}, {v} AS category, sum(wt) AS nk, sum(wt * p) / sum(wt) AS pk, max(pm) AS pm,
+  sum(wt * d * d) AS ss, {', '.join(sums)} FROM {ref}_d GROUP BY {by}, {v}),
+{ref}_b AS MATERIALIZED (SELECT *, {bv(k, 'db')} FROM {ref}_a JOIN {name} USING ({by})),
+{ref} AS (SELECT {by}, '{v}' AS variable, category, sign(pk - pm) * sqrt(nk * pow(pk - pm, 2) / pop) AS pu,
+    sqrt(nk / pop * (t1 * pow(1 / nk - 1 / pop, 2) + t2 / pow(pop, 2))) AS pu_se, sqrt(ss / pop) AS pc,
+    CASE WHEN ss = 0 THEN 0.0 ELSE sqrt(0.25 * (4 * ({quad(k, 'da')}) + 2 * ({square(k, 'db')}) + t3) / (pop * ss)) END AS pc_se
+  FROM {ref}_b JOIN {ref}_h USING ({by}, category) JOIN {name}_ind USING ({by}))""")
+    union = " UNION ALL ".join(f"SELECT * FROM {name}_w{t}" for t in range(len(variables)))
+    return ",".join(parts) + f",\n{name}_wp AS ({union})"

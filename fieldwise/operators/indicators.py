@@ -323,7 +323,8 @@ def conditional_partials(
     """(by variable: pc_unadj), (by category: pc_unadj, pc_unadj_se).
 
     Each cell is compared with the mean of the cells that share all *other*
-    model variables; without other variables that is the grand mean.
+    model variables; without other variables that is the grand mean.  A
+    variable outside the model adds nothing beyond it: zero, with error zero.
     """
     key = [*by, "variable"]
     size = len(spec.coordinates())
@@ -331,8 +332,11 @@ def conditional_partials(
     w = F.col("w")
     peers = Window.partitionBy(*key, "others")
 
+    inside = F.col("variable").isin(spec.factors)
+
     def centre(v: Column) -> Column:
-        return v - F.sum(w * v).over(peers) / F.sum(w).over(peers)
+        mean = F.sum(w * v).over(peers) / F.sum(w).over(peers)
+        return F.when(inside, v - mean).otherwise(F.lit(0.0))
 
     centred = stage(
         long.select(
@@ -367,6 +371,7 @@ def conditional_partials(
         0.25 * (4 * F.col("f.quad") + 2 * F.col("f.square") + F.col("var_total")),
         F.col("pop") * F.col("_ss"),
     )
+    var = F.when((F.col("_ss") == 0) & F.col("sigma").isNotNull(), F.lit(0.0)).otherwise(var)
     return by_variable, r.select(*cat_key, pc, F.sqrt(var).alias("pc_unadj_se"))
 
 

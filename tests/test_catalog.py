@@ -69,8 +69,7 @@ def test_query(spark, duck, name):
 
 
 def test_registry():
-    assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"partial_weighted"}
+    assert set(ORACLES) == set(QUERIES)
 
 
 def test_hot_cases_take_the_other_way(spark):
