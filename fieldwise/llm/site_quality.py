@@ -16,21 +16,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..stages import stage
-from .common import text_buffer
+from .common import slices, text_buffer
 from .shrink import mean, posteriors
+from .words import batch_words
 
 SYMBOLS = b"!#$%&*+<=>@\\^_`{|}~"
+#: Values of the shares of symbols, capitals and repeated words, which form one joint feature,
+#: as bad texts often have just one of them.
+JOINT = (7, 7, 6)
 #: Bins of each feature; a model holds one ratio per bin.
-BINS = (21, 21, 11, 21, 32, 11)
+BINS = (7 * 7 * 6, 7, 21, 32, 8)
+#: Added to the count of every bin.
+SMOOTH = 0.25
 _CLASS = np.zeros(256, np.int8)
 for _c in SYMBOLS:
     _CLASS[_c] = 1
 _CLASS[65:91], _CLASS[48:58], _CLASS[10], _CLASS[32] = 2, 3, 4, 5
 
 
+def _bits(x: np.ndarray) -> np.ndarray:
+    """Bit length: 0, 1, 2, 2, 3, 3, 3, 3, 4, ..."""
+    return np.frexp(x.astype(float))[1].astype(np.int64)
+
+
 def text_bins(texts: pa.Array) -> pa.Array:
-    """Bin numbers of every text: shares of symbols, capitals and digits, bytes per word,
-    bits of the length, lines per hundred bytes.  NULL and empty texts have all zero."""
+    """Bin numbers of every text: the joint shares of symbols, capitals and words that repeat
+    the one before, the share of digits, bytes per word, the length, lines per hundred bytes
+    (all but bytes per word by powers of two).  NULL and empty texts have all zero."""
     data, at = text_buffer(texts)
     kind, n = _CLASS[data], np.diff(at)
     counts = np.zeros((6, len(n)), np.int64)
@@ -38,11 +50,20 @@ def text_bins(texts: pa.Array) -> pa.Array:
     for c in range(1, 6):
         if len(full):
             counts[c, full] = np.add.reduceat(kind == c, at[:-1][full], dtype=np.int64)
+    words = batch_words(texts)
+    again = np.zeros(max(2, len(words.hashes) + 1), np.int64)
+    again[2:] = np.cumsum(words.hashes[1:] == words.hashes[:-1])
+    per_text = np.diff(words.first)
+    # words first + 1 .. of a text have one before them in it
+    repeats = again[words.first[1:]] - again[np.minimum(words.first[:-1] + 1, words.first[1:])]
     size = np.maximum(n, 1)
+    shares = 40 * counts[1] // size, 40 * counts[2] // size, 20 * repeats // np.maximum(per_text, 1)
+    joint = np.zeros(len(n), np.int64)
+    for share, values in zip(shares, JOINT):
+        joint = joint * values + np.minimum(_bits(share), values - 1)
     raw = (
-        40 * counts[1] // size, 40 * counts[2] // size, 40 * counts[3] // size,
-        n // (counts[4] + counts[5] + 1), np.frexp(n.astype(float))[1].astype(np.int64),
-        100 * counts[4] // size,
+        joint, _bits(40 * counts[3] // size), n // (counts[4] + counts[5] + 1), _bits(n),
+        _bits(100 * counts[4] // size),
     )
     bins = np.stack([np.minimum(r, b - 1) for r, b in zip(raw, BINS)], axis=1).astype(np.int32)
     at = pa.array(np.arange(len(n) + 1) * len(BINS), pa.int32())
@@ -51,7 +72,9 @@ def text_bins(texts: pa.Array) -> pa.Array:
 
 def bins_of(text: str = "text") -> Column:
     def bins(texts: pa.Array) -> pa.Array:
-        return text_bins(texts)
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        parts = [text_bins(piece.column(0)) for piece in slices(batch)]
+        return pa.concat_arrays(parts) if parts else text_bins(texts)
 
     return F.arrow_udf(bins, "array<int>")(F.col(text))
 
@@ -88,7 +111,10 @@ def fit(docs: DataFrame, labels: DataFrame, site: str = "source", path: str = "l
     for r in table.collect():  # at most sum(BINS) rows
         good[r.feature][r.bin], bad[r.feature][r.bin] = r.good, r.n - r.good
     ratios = [
-        [math.log((g + 1) / (sum(gs) + len(gs))) - math.log((b + 1) / (sum(bs) + len(bs))) for g, b in zip(gs, bs)]
+        [
+            math.log((g + SMOOTH) / (sum(gs) + SMOOTH * len(gs))) - math.log((b + SMOOTH) / (sum(bs) + SMOOTH * len(bs)))
+            for g, b in zip(gs, bs)
+        ]
         for gs, bs in zip(good, bad)
     ]
     counts = stage(

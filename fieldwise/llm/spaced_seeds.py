@@ -138,13 +138,16 @@ def best_overlap(agree: np.ndarray) -> tuple[int, int, int]:
     """(first, words, agreeing) of the longest stretch that agrees in at least AGREE of its
     words; it begins and ends with agreeing words."""
     level = np.concatenate([[0], np.cumsum(np.where(agree, 1 - AGREE, -AGREE))]).round(6)
-    low = np.minimum.accumulate(level)
-    first = np.searchsorted(-low, -level, "left")  # earliest place that is not above
-    end = int(np.argmax(np.arange(len(level)) - first))
-    inside = np.flatnonzero(agree[first[end] : end])
-    if not len(inside):
+    low = np.minimum.accumulate(np.where(agree, level[:-1], np.inf))  # of possible beginnings
+    ends = np.flatnonzero(agree) + 1
+    if not len(ends):
         return 0, 0, 0
-    return int(first[end] + inside[0]), int(inside[-1] - inside[0] + 1), len(inside)
+    first = np.searchsorted(-low, -level[ends], "left")  # the earliest that is not above
+    best = int(np.argmax(ends - first))
+    begin, end = int(first[best]), int(ends[best])
+    if end <= begin:
+        return 0, 0, 0
+    return begin, end - begin, int(agree[begin:end].sum())
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

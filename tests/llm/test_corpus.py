@@ -329,7 +329,7 @@ def test_planted_passages_are_found(spark, benchmark):
             continue
         for i in rng.choice(len(w), len(w) // 12, replace=False):
             w[i] = f"changed{k}"
-        made.append((k, prose(100 + k, 60) + " " + " ".join(w).upper() + ". " + prose(200 + k, 60)))
+        made.append((k, prose(100 + k, 60) + " " + re.sub("[a-z]", lambda m: m[0].upper(), " ".join(w)) + ". " + prose(200 + k, 60)))
         truth.add((k, item))
         made.append((1000 + k, prose(300 + k, 200) + " " + " ".join(words_of(text)[:7])))
     made += [(5000, None), (5001, ""), (None, items[0][1]), (5002, items[1][1]), (5002, items[1][1])]
@@ -401,8 +401,11 @@ def test_quality_bins_and_edge_cases(spark, odd):
     text = "AB! 12\nx y" + "é"
     (bins,) = site_quality.text_bins(pa.array([text, None])).to_pylist()[:1]
     n = len(text.encode())
-    assert bins == [40 // n, 80 // n, min(80 // n, 10), n // 4, n.bit_length(), min(100 // n, 10)]
-    assert site_quality.text_bins(pa.array([None, ""], pa.string())).to_pylist() == [[0] * 6] * 2
+    symbols, capitals = (40 // n).bit_length(), (80 // n).bit_length()
+    assert bins == [(symbols * 7 + capitals) * 6, (80 // n).bit_length(), n // 4, n.bit_length(), (100 // n).bit_length()]
+    repeats = site_quality.text_bins(pa.array(["a", "a a", "b B b, b", "", "b a"])).to_pylist()
+    assert [b[0] % 6 for b in repeats] == [0, 4, 4, 0, 0]
+    assert site_quality.text_bins(pa.array([None, ""], pa.string())).to_pylist() == [[0] * 5] * 2
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert Counter(map(tuple, site_quality.keep_good(odd, none).collect())) == Counter(map(tuple, odd_rows()))
     some = spark.createDataFrame([(3, 1), (4, 0), (4, 0), (5, None), (None, 1)], "doc_id long, quality int")
