@@ -19,13 +19,17 @@ def range_bounds(docs: DataFrame, ranges: int) -> list[int]:
     return sorted(set(seen.q or [])) if ranges > 1 else []
 
 
+def range_numbers(bounds: list[int], ids: pa.Array) -> pa.Array:
+    """Number of the range of each doc_id; NULL ids are in range 0."""
+    lowest = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+    return pa.array(np.searchsorted(np.array(bounds, np.int64), lowest, "left"), pa.int32())
+
+
 def range_of(bounds: list[int], doc_id: str = "doc_id") -> Column:
-    """Number of the range of a doc_id; NULL ids are in range 0."""
-    upto = np.array(bounds, np.int64)
+    """range_numbers of a column."""
 
     def find(ids: pa.Array) -> pa.Array:
-        lowest = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-        return pa.array(np.searchsorted(upto, lowest, "left"), pa.int32())
+        return range_numbers(bounds, ids)
 
     return F.arrow_udf(find, "int")(F.col(doc_id).cast("bigint"))
 

@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 
 from ..stages import shared_dir, stage
 from .common import slices
-from .ordered import range_bounds, range_of, ranges_for
-from .units import Codes, latin_pieces
+from .ordered import range_bounds, range_numbers, ranges_for
+from .units import WORD, Codes, latin_pieces
 
 #: Longest code in bits: the decoding table has 2 ** LIMIT entries.
 LIMIT = 18
 #: Tokens between checkpoints, and tokens from which on a block is closed.
-EVERY, BLOCK = 128, 1 << 17
+EVERY, BLOCK = 128, 1 << 19
+#: Words that the tokenizer gets as one text.
+LOT = 500
 _BLOCKS = "bucket int, number int, before long, n_tokens long, payload binary"
 
 
@@ -142,9 +144,10 @@ def unpack(payload: bytes, table: tuple[np.ndarray, np.ndarray]):
 class Encoder:
     """The tokenizers library in one process; what short pieces gave is remembered."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, wide: str = "<u4"):
         from tokenizers import Tokenizer
 
+        self.wide = np.dtype(wide)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path) as f:
@@ -160,35 +163,46 @@ class Encoder:
         return [text] if pieces is None else pieces
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        """Ids of each piece; plain words are encoded as one text, and told apart by word."""
+        words = [u for u in pieces if WORD.fullmatch(u)] if self.by_piece else []
+        out = {}
+        lots = [words[i : i + LOT] for i in range(0, len(words), LOT)]
+        for lot, found in zip(lots, self.tokenizer.encode_batch(["".join(x) for x in lots], add_special_tokens=False)):
+            ends = np.cumsum(np.bincount(found.word_ids, minlength=len(lot))) * self.wide.itemsize
+            raw = np.array(found.ids, self.wide).tobytes()
+            out.update(zip(lot, [raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]))
+        rest = [u for u in pieces if u not in out]
+        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        out.update(zip(rest, [np.array(e.ids, self.wide).tobytes() for e in found]))
+        return [out[u] for u in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [b"".join(codes) for codes in self.codes.of(texts)]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def _encoder(path: str, wide: str) -> Encoder:
+    if (path, wide) not in _encoders:
+        _encoders[path, wide] = Encoder(path, wide)
+    return _encoders[path, wide]
 
 
-def _encode(path: str, end_id: int, wide: str):
+def _encode(path: str, end_id: int, wide: str, bounds: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
-        encoder = _encoder(path)
+        encoder = _encoder(path, wide)
         end = np.array([end_id], wide).tobytes()
         for batch in batches:
             for piece in slices(batch):
                 coded = encoder.encode([t or "" for t in piece.column(1).to_pylist()])
-                ids = [np.frombuffer(c, "<u4").astype(wide).tobytes() + end for c in coded]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), piece.column(2), pa.array(ids, pa.binary())], ["doc_id", "bucket", "ids"]
+                    [piece.column(0), range_numbers(bounds, piece.column(0)),
+                     pa.array([c + end for c in coded], pa.binary())],
+                    ["doc_id", "bucket", "ids"],
                 )
 
     return run
@@ -198,11 +212,9 @@ def _count(vocabulary: int, wide: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for raw in batch.column(0):
-                found = np.frombuffer(raw.as_buffer(), wide)
-                if len(found):
-                    some = np.bincount(found)
-                    total[: len(some)] += some
+            for begin in range(0, batch.num_rows, 500):
+                raws = [r.as_buffer() for r in batch.column(0).slice(begin, 500)]
+                total += np.bincount(np.frombuffer(b"".join(raws), wide), minlength=vocabulary)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(total[hit])], ["id", "n"])
 
@@ -277,9 +289,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, vo
     Ids are written once before the code is known; what is shuffled into order are the coded bits.
     """
     wide = "<u2" if vocabulary <= 65_536 else "<u4"
-    bucket = range_of(range_bounds(docs, ranges_for(docs)))
-    rows = docs.select("doc_id", "text", bucket.alias("bucket"))
-    coded = stage(rows.mapInArrow(_encode(tokenizer, end_id, wide), "doc_id long, bucket int, ids binary"), "token-ids")
+    bounds = range_bounds(docs, ranges_for(docs))
+    rows = docs.select("doc_id", "text")
+    coded = stage(rows.mapInArrow(_encode(tokenizer, end_id, wide, bounds), "doc_id long, bucket int, ids binary"), "token-ids")
     counts = np.zeros(vocabulary, np.int64)
     parts = coded.select("ids").mapInArrow(_count(vocabulary, wide), "id int, n long")
     for r in parts.groupBy("id").agg(F.sum("n").alias("n")).collect():

@@ -11,12 +11,16 @@ _LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 #: Characters on which SIMPLE is the same as the pattern of the public byte-level vocabularies.
 _OTHER = re.compile(f"[^\t\n\r -~{_LATIN}]")
 _SIMPLE = re.compile(
-    rf" ?[{_LATIN}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s0-9{_LATIN}]+|\s+(?!\S)|\s+"
+    rf" ?[{_LATIN}]++| ?[0-9]++|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s0-9{_LATIN}]++|\s+(?!\S)|\s+"
 )
 #: The pattern that SIMPLE stands for; any other pattern is used as it is.
 _KNOWN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Pieces that, one after the other, are cut into themselves.
+WORD = re.compile(f" [{_LATIN}]+")
+
+
 def latin_pieces(text: str) -> list[str] | None:
     """Pieces of a text that SIMPLE can cut, else None."""
     return None if _OTHER.search(text) else _SIMPLE.findall(text)
@@ -41,21 +45,20 @@ class Codes:
     The memory is bounded: past ``most`` pieces it starts over, which costs time, not results.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable], most: int = 600_000):
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable], most: int = 1_000_000):
         self.split, self.encode, self.most, self.known = split, encode, most, {}
 
     def of(self, texts: list[str]) -> list[list]:
         """The codes of each text's pieces, in order."""
         if len(self.known) > self.most:
             self.known.clear()
-        get = self.known.get
-        cut = [self.split(t) for t in texts]
-        out = [list(map(get, c)) for c in cut]
-        holes = [i for i, codes in enumerate(out) if None in codes]
-        new = list({u for i in holes for u, code in zip(cut[i], out[i]) if code is None})
+        known, out = self.known, []
+        for text in texts:
+            pieces = self.split(text)
+            out.append(list(map(known.get, pieces, pieces)))  # a new piece stands for itself
+        new = list({c for codes in out for c in codes if c.__class__ is str})
         if new:
             fresh = dict(zip(new, self.encode(new)))
-            for i in holes:
-                out[i] = [fresh[u] if code is None else code for u, code in zip(cut[i], out[i])]
-            self.known.update((u, code) for u, code in fresh.items() if len(u) <= SHORT)
+            out = [[fresh[c] if c.__class__ is str else c for c in codes] for codes in out]
+            known.update((u, code) for u, code in fresh.items() if len(u) <= SHORT)
         return out
