@@ -156,6 +156,9 @@ class Encoder:
         own = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         # where the library itself cuts by the pattern, pieces may be encoded one by one
         self.by_piece = bool(own and not kind.get("normalizer"))
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose bytes begin with a space
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.codes = Codes(self._split, self._encode)
 
     def _split(self, text: str) -> list[str]:
@@ -166,11 +169,15 @@ class Encoder:
         """Ids of each piece; plain words are encoded as one text, and told apart by word."""
         words = [u for u in pieces if WORD.fullmatch(u)] if self.by_piece else []
         out = {}
-        lots = [words[i : i + LOT] for i in range(0, len(words), LOT)]
-        for lot, found in zip(lots, self.tokenizer.encode_batch(["".join(x) for x in lots], add_special_tokens=False)):
-            ends = np.cumsum(np.bincount(found.word_ids, minlength=len(lot))) * self.wide.itemsize
-            raw = np.array(found.ids, self.wide).tobytes()
-            out.update(zip(lot, [raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]))
+        for i in range(0, len(words), LOT):
+            lot = words[i : i + LOT]
+            (found,) = self.tokenizer.encode_batch_fast(["".join(lot)], add_special_tokens=False)
+            ids = np.array(found.ids, self.wide)
+            ends = (np.flatnonzero(self.spaced[ids]) * self.wide.itemsize).tolist()[1:] + [ids.nbytes]
+            if len(ends) != len(lot):
+                raise ValueError("the tokenizer does not begin each word with a space of its own")
+            raw = ids.tobytes()
+            out.update(zip(lot, [raw[a:b] for a, b in zip([0, *ends], ends)]))
         rest = [u for u in pieces if u not in out]
         found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
         out.update(zip(rest, [np.array(e.ids, self.wide).tobytes() for e in found]))
