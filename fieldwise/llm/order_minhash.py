@@ -34,8 +34,10 @@ LIKENESS = 0.8
 #: 20 with about 3e-5; a pair of likeness 0.2 shares one of 20 with about 0.03.
 SKETCHES = 20
 PICKS = 4
-#: Rounds in which one member of a bucket stands for it, before all open pairs are taken.
-LEADERS = 3
+#: Rounds in which one member of a bucket stands for it, before open buckets are gone through.
+LEADERS = 2
+#: Members of a block: two blocks of a bucket meet in one task.
+BLOCK = 256
 _SEEDS = random_words(SKETCHES, 3)
 _STEP = U64(0xD6E8FEB86659FD93)
 
@@ -136,6 +138,61 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many elements each two of the sets have in common."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.cumsum(times > 1) - 1
+    keep = times[element] > 1
+    owner, element = owner[keep], common[element[keep]]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for begin in range(0, int(element.max(initial=-1)) + 1, columns):
+        now = (element >= begin) & (element < begin + columns)
+        part = np.zeros((len(sets), columns), np.float32)
+        part[owner[now], element[now] - begin] = 1
+        out += part @ part.T
+    return out
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between members of two blocks of a bucket that are not in one class yet."""
+    nodes, blocks = table["node"].to_pylist(), np.array(table["block"].to_pylist())
+    label = np.unique(np.array([x.hex() for x in table["label"].to_pylist()]), return_inverse=True)[1]
+    sets = [_labelled(t or "") for t in table["text"].to_pylist()]
+    n = np.array([len(x) for x in sets])
+    need = LIKENESS / (1 + LIKENESS) * (n[:, None] + n[None, :]) - 1e-3
+    maybe = (shared_counts(sets) >= need) & (label[:, None] != label[None, :])
+    if blocks.min() != blocks.max():  # pairs inside a block meet in a task of their own
+        maybe &= blocks[:, None] != blocks[None, :]
+    found = []
+    for i, j in zip(*np.nonzero(np.triu(maybe, 1))):
+        likeness = alignment(sets[i], sets[j])
+        if likeness >= LIKENESS:
+            found.append((nodes[i], nodes[j], likeness))
+    a, b, like = zip(*found) if found else ((), (), ())
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "likeness": pa.array(like, pa.float64())})
+
+
+def _open_links(live: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Written links between classes inside buckets that hold several classes.
+
+    A bucket's members are dealt into blocks of about BLOCK, and every two blocks meet in one
+    task, so that no task sees a whole bucket and no pair is a row.
+    """
+    named = live.join(labels, "node").select("bucket", "node", "label")
+    several = named.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")
+    ).filter("low != high").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    rows = named.join(several, "bucket")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(
+        "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label"
+    )
+    met = rows.join(texts, "node").groupBy("bucket", "lo", "hi")
+    return stage(met.applyInArrow(_block_links, "a binary, b binary, likeness double"), "links")
+
+
 def _buckets(nodes: DataFrame) -> DataFrame:
     """(bucket, node, crowd) of buckets with several texts; ``crowd``: the node's company in all."""
     rows = nodes.select(F.explode("keys").alias("bucket"), "node").distinct()
@@ -165,8 +222,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
     Buckets of texts with one sketch in common are not expanded into pairs at first: in a few
     rounds the text with the most company stands for its bucket and meets the others; pairs
-    that are already in one class are settled.  What is left open is then paired and verified
-    in full, so no link between classes is lost.  Copies meet in one node before any of this.
+    that are already in one class are settled.  What is left open is then compared in full, in
+    blocks, so no link between classes is lost.  Copies meet in one node before any of this.
     """
     made = docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, node binary, keys array<long>")
     made = stage(made, "sketches")
@@ -183,13 +240,10 @@ def classes(docs: DataFrame) -> DataFrame:
     labels = live.groupBy("node").agg(F.lit(1).alias("one")).select("node", F.col("node").alias("label"))
     found = None
     for last in [False] * LEADERS + [True]:
-        named = live.join(labels, "node")
         if last:
-            other = named.select("bucket", F.col("node").alias("node2"), F.col("label").alias("label2"))
-            pairs = named.join(other, "bucket").filter("node < node2 and label != label2")
-            pairs = pairs.select(F.col("node").alias("a"), F.col("node2").alias("b"))
+            more = _open_links(live, labels, texts)
         else:
-            named = stage(named, "named")
+            named = stage(live.join(labels, "node"), "named")
             open_ = named.groupBy("bucket").agg(
                 F.max(F.struct("crowd", "node", "label")).alias("top"),
                 F.min("label").alias("low"), F.max("label").alias("high"),
@@ -200,7 +254,7 @@ def classes(docs: DataFrame) -> DataFrame:
                 F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")
             )
             live = stage(named.select("bucket", "node", "crowd"), "buckets")
-        more = _links(stage(pairs.distinct(), "pairs"), texts)
+            more = _links(stage(pairs.distinct(), "pairs"), texts)
         if more.isEmpty():
             continue
         found = more if found is None else found.unionByName(more)

@@ -192,6 +192,25 @@ def test_near_duplicates_are_those_of_all_pairs(spark, docs, odd):
         assert sum(r.kept for r in got) == n_classes
 
 
+def test_shared_counts_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 300, int(rng.integers(1, 90)))).astype(np.uint64) for _ in range(30)]
+    counts = order_minhash.shared_counts(sets, columns=64)
+    assert all(i == j or counts[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(30) for j in range(30))
+    # copies of one text that differ too much from each other, but for three pairs
+    rows = []
+    for k in range(40):
+        w = prose(50, 100).split()
+        for i in range(6):
+            w[(17 * i + 5 * k) % 100] = f"own{k}x{i}"
+        rows.append((k, " ".join(w)))
+    rows += [(100 + k, rows[k][1] + " more") for k in range(3)]
+    monkeypatch.setattr(order_minhash, "BLOCK", 8)
+    monkeypatch.setattr(order_minhash, "LEADERS", 0)
+    got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.class_id) for r in got) == brute_classes(rows)[0]
+
+
 def test_keep_one_keeps_whole_rows(odd):
     kept = order_minhash.keep_one(odd)
     assert kept.columns == odd.columns
