@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 from fieldwise.catalog import balance, views
@@ -30,8 +32,11 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    builder = SparkSession.builder.master(f"local[{cpus}]").appName("bench")
+    if not SparkConf().contains("spark.checkpoint.dir"):
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]").appName("bench")
+        builder
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")

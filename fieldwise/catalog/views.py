@@ -13,7 +13,7 @@ from ..operators.history import success_aggregates
 from ..operators.ordering import positions
 from ..plans.scenarios import Scenario, case_table, propensity_fits, scenario_cases
 from ..specs import Levels, ModelSpec
-from ..stages import stage
+from ..stages import stage, times_dropped
 
 PRIO = Levels("prio", ("Low", "Medium", "High"))
 BARRIER = Levels("barrier", ("No barriers", "Barriers"))
@@ -25,7 +25,7 @@ FULL = ModelSpec((SEG, SITE, BARRIER, PRIO), (("seg", "site"),))
 STUDY = Scenario(dem=DEM, full=FULL)
 SEED = STUDY.seed
 
-_built: dict[tuple[str, str, str], object] = {}
+_built: dict[tuple, object] = {}
 
 
 def once(name: str):
@@ -33,7 +33,7 @@ def once(name: str):
 
     def wrap(build: Callable):
         def read(spark: SparkSession, sf_dir: str):
-            key = (spark.sparkContext.applicationId, sf_dir, name)
+            key = (spark.sparkContext.applicationId, times_dropped(spark), sf_dir, name)
             if key not in _built:
                 _built[key] = build(spark, sf_dir)
             return _built[key]

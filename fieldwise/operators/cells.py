@@ -28,8 +28,12 @@ def covariate_cells(
     times response, yy = sum of weight times squared response, and the range of
     the weights.  All responses come from one aggregation over ``df``, and the
     cells are written once: everything after this step reads them, not ``df``.
+    Refuses weights that are NULL, NaN, zero or negative, and NULL strata.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    unfit = w.isNull() | F.isnan(w) | (w <= 0)
+    if stratum:
+        unfit = unfit | F.col(stratum).isNull()
     value = {r: F.col(r).cast("double") for r in responses}
     keys = [*by, *covariates, *([stratum] if stratum else [])]
     sums = df.groupBy(*keys).agg(
@@ -38,6 +42,7 @@ def covariate_cells(
         F.sum(w * w).alias("w2"),
         F.min(w).alias("wmin"),
         F.max(w).alias("wmax"),
+        F.count_if(unfit).alias("_unfit"),
         *[F.sum(w * value[r]).alias(f"_y_{r}") for r in responses],
         *[F.sum(w * value[r] * value[r]).alias(f"_yy_{r}") for r in responses],
         *[F.count(value[r]).alias(f"_k_{r}") for r in responses],
@@ -49,11 +54,14 @@ def covariate_cells(
         )
         for r in responses
     ]))
-    carried = ["n", "w", "w2", "wmin", "wmax"]
+    carried = ["n", "w", "w2", "wmin", "wmax", "_unfit"]
     cells = sums.select(*keys, *carried, per_response.alias("_r")).select(
         *by, "_r.response", *keys[len(by):], *carried, "_r.y", "_r.yy", "_r.answered"
     )
-    return stage(cells, "cells")
+    written = stage(cells, "cells")
+    if (weight or stratum) and not written.filter("_unfit > 0").isEmpty():
+        raise ValueError("weights must be positive numbers and strata must not be NULL")
+    return written.drop("_unfit")
 
 
 def rollup_cells(cells: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -167,12 +167,21 @@ def _irls(x: np.ndarray, w: np.ndarray, y: np.ndarray):
         mu = 1 / (1 + np.exp(-eta))
         log_lik = float(np.sum(y * eta - w * np.logaddexp(0, eta)))
         weight = w * mu * (1 - mu)
-        if np.abs(change).max() < 1e-9 or step > 2 * MAX_ITERATIONS:
+        if np.abs(change).max() < 1e-9 or step >= 2 * MAX_ITERATIONS:
             inverse = _inverse((x * weight[:, None]).T @ x)
             break
     return beta, inverse, log_lik, step, converged
 
 
+def _residuals(rss: float, scale: float, n: float, rank: int) -> tuple[float, float]:
+    """Dispersion and log likelihood of a linear fit; a perfect fit has none of the latter, a
+    saturated one none of the former.  ``scale``: a residual this small against it is rounding."""
+    if rss <= 1e-12 * scale:
+        rss = 0.0
+    disp = rss / (n - rank) if n > rank else math.nan
+    return disp, -n / 2 * (math.log(2 * math.pi * rss / n) + 1) if rss > 0 else math.nan
+
+
 def _solve_cells(pdf: pd.DataFrame, coords: Sequence[Coordinate], family: str) -> dict:
     x_all = np.stack(pdf["x"].to_numpy())
     n = pdf["n"].to_numpy(float)
@@ -186,9 +195,8 @@ def _solve_cells(pdf: pd.DataFrame, coords: Sequence[Coordinate], family: str) -
         inverse = np.linalg.inv((x * w[:, None]).T @ x)
         beta = inverse @ (x.T @ y)
         mu = x @ beta
-        rss = max(float(np.sum(yy - 2 * mu * y + w * mu * mu)), 0.0)
-        disp = rss / (n.sum() - rank) if n.sum() > rank else math.nan
-        log_lik = -n.sum() / 2 * (math.log(2 * math.pi * rss / n.sum()) + 1) if rss > 0 else math.nan
+        rss = float(np.sum(yy - 2 * mu * y + w * mu * mu))
+        disp, log_lik = _residuals(rss, float(np.sum(y * y / w)), n.sum(), rank)
         return _fit_row(coords, roles, fitted, beta, inverse * disp, rank, n.sum(), log_lik,
                         disp, 1, True, family)
     beta, inverse, log_lik, steps, converged = _irls(x, w, y)
@@ -399,27 +407,27 @@ def _advance_row(r: dict, coords: Sequence[Coordinate], family: str, by: Sequenc
     inverse = _inverse(info[np.ix_(fitted, fitted)])
     beta = inverse @ score[fitted]
     log_lik, disp, done, polish, converged = r["_log_lik"], 1.0, False, bool(r["_polish"]), False
+    steps = before + 1
     old = None
     if before:
         old = np.array([np.nan if e is None else e for e in r["effects"]], float)[fitted]
     if family == "gaussian":
         done = converged = before >= 1  # the second pass has the residuals
         if done:
-            disp = r["_rss"] / (n - len(fitted))
-            log_lik = -n / 2 * (math.log(2 * math.pi * r["_rss"] / n) + 1)
+            disp, log_lik = _residuals(r["_rss"], float(m[size, size]), n, len(fitted))
     elif before:
         settled = abs(-2 * log_lik - r["_last"]) / (abs(2 * log_lik) + 0.1) < TOLERANCE
         converged = polish or settled
-        if polish:
-            done = bool(np.abs(beta - old).max() < 1e-9)
-        elif settled and r["_reach"] >= BOUNDARY:
-            # On the boundary: keep the effects and the information they came from.
-            done, beta = True, old
+        if converged and r["_reach"] >= BOUNDARY or not converged and before >= MAX_ITERATIONS:
+            # On the boundary, or out of steps: keep the effects and the information they came from.
+            done, beta, steps = True, old, before
             inverse = np.array(r["sigma"], float).reshape(size, size)[np.ix_(fitted, fitted)]
+        elif polish:
+            done = bool(np.abs(beta - old).max() < 1e-9)
         polish = converged
         done = done or before + 1 >= 2 * MAX_ITERATIONS
     out = _fit_row(coords, roles, fitted, beta, inverse * disp, len(fitted), n, log_lik, disp,
-                   before + 1, converged, family)
+                   steps, converged, family)
     return {**{c: r[c] for c in by}, "_n": n, "_sw": r["_sw"],
             "_last": -2 * log_lik if before else r["_last"], "_done": done, "_polish": polish, **out}
 

@@ -10,25 +10,24 @@ real byte size of the result, so that a small table is broadcast by
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
+_drops: dict[str, int] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for staged tables; a local folder is made up only in local mode."""
+    """Folder for staged tables: all executors must share it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="fieldwise-")
-    return _local_dirs[app]
+    return named.rstrip("/")
+
+
+def times_dropped(spark: SparkSession) -> int:
+    """How often the application has dropped its stages: what was staged before is gone."""
+    return _drops.get(spark.sparkContext.applicationId, 0)
 
 
 def stage(df: DataFrame, name: str = "table") -> DataFrame:
@@ -44,3 +43,4 @@ def drop_stages(spark: SparkSession) -> None:
     sc = spark.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{sc.applicationId}")
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    _drops[sc.applicationId] = times_dropped(spark) + 1

@@ -138,3 +138,63 @@ def test_previous_fits(spark, data):
     moved = P.previous_fits(fit, periods, "e", "r").collect()
     own = {r.r: r.effects for r in fit.collect()}
     assert [(m.r, m.effects) for m in moved] == [(9, own[6])]
+
+
+def cell_rows(spark, rows_):
+    """Cells straight from (g, a, n, y, yy)."""
+    data = [(g, "y", a, n, float(n), float(n), 1.0, 1.0, float(y), float(yy), n) for g, a, n, y, yy in rows_]
+    return spark.createDataFrame(
+        data, "g string, response string, a string, n long, w double, w2 double, wmin double, wmax double, "
+        "y double, yy double, answered long",
+    )
+
+
+def both_ways(cells, family):
+    spec = ModelSpec((A,))
+    return [
+        {r.g: r.asDict() for r in P.fit_grouped(cells, spec, ["g"], family, limit).collect()} for limit in (100_000, 0)
+    ]
+
+
+def agree(one, two, tol=1e-9):
+    assert one.keys() == two.keys()
+    for k, v in one.items():
+        w = two[k]
+        if isinstance(v, list) and v and not isinstance(v[0], str):
+            assert [x is None for x in v] == [x is None for x in w]
+            assert np.allclose([x or 0 for x in v], [x or 0 for x in w], rtol=tol, atol=tol, equal_nan=True), k
+        elif isinstance(v, float):
+            assert w is not None and (v == pytest.approx(w, rel=tol, abs=tol, nan_ok=True)), k
+        else:
+            assert v == w, k
+
+
+def test_number_of_cells_does_not_change_a_fit(spark):
+    many = 5_000_000
+    cells = cell_rows(spark, [
+        ("separated", "a0", many, many, many), ("separated", "a1", many, 0, 0),
+        ("usual", "a0", 40, 10, 10), ("usual", "a1", 30, 20, 20),
+        ("one side", "a0", 40, 40, 40), ("one side", "a1", 30, 20, 20),
+    ])
+    one, two = both_ways(cells, "binomial")
+    for g in one:
+        # in the separated group weights vanish, and rounding shows in the seventh digit
+        agree(one[g], two[g], 1e-5 if g == "separated" else 1e-7)
+    assert not one["separated"]["converged"] and one["usual"]["converged"]
+    cells = cell_rows(spark, [
+        ("saturated", "a0", 1, 3, 9), ("saturated", "a1", 1, 5, 25),
+        ("perfect", "a0", 4, 12, 36), ("perfect", "a1", 3, 15, 75),
+        ("usual", "a0", 4, 13, 50), ("usual", "a1", 3, 15, 80),
+    ])
+    one, two = both_ways(cells, "gaussian")
+    for g in one:
+        agree(one[g], two[g])
+
+
+@pytest.mark.parametrize("bad", [None, 0.0, -1.0, float("nan")])
+def test_bad_weights_and_strata_are_refused(spark, bad):
+    kind = "g string, a string, s int, y int, w double"
+    with pytest.raises(ValueError):
+        covariate_cells(spark.createDataFrame([("g", "a0", 1, 1, 1.0), ("g", "a0", 1, 0, bad)], kind), ["g"], ["a"], ["y"], "w")
+    with pytest.raises(ValueError):
+        covariate_cells(spark.createDataFrame([("g", "a0", None, 1, 1.0)], kind), ["g"], ["a"], ["y"], "w", "s")
