@@ -414,6 +414,7 @@ def _advance_row(r: dict, coords: Sequence[Coordinate], family: str, by: Sequenc
     if family == "gaussian":
         done = converged = before >= 1  # the second pass has the residuals
         if done:
+            steps = 1
             disp, log_lik = _residuals(r["_rss"], float(m[size, size]), n, len(fitted))
     elif before:
         settled = abs(-2 * log_lik - r["_last"]) / (abs(2 * log_lik) + 0.1) < TOLERANCE
@@ -422,7 +423,7 @@ def _advance_row(r: dict, coords: Sequence[Coordinate], family: str, by: Sequenc
             # On the boundary, or out of steps: keep the effects and the information they came from.
             done, beta, steps = True, old, before
             inverse = np.array(r["sigma"], float).reshape(size, size)[np.ix_(fitted, fitted)]
-        elif polish:
+        elif converged:
             done = bool(np.abs(beta - old).max() < 1e-9)
         polish = converged
         done = done or before + 1 >= 2 * MAX_ITERATIONS
