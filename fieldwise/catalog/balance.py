@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import SCENARIO_ORDER
 from ..operators import summaries as S
 from ..operators.indicators import indicator_by_group
 from ..plans.scenarios import GRID_RESPONSES, indicator_grid
@@ -304,12 +303,7 @@ SELECT cntry_round, selected, response_model, round(cv, 3) AS cv, round(cv_se, 3
 
 @query("scenario_by_group", BY_GROUP_SQL)
 def scenario_by_group(spark, d):
-    g = grid(spark, d).filter("r_indicator = 'Full'")
-    order = Levels("selected", SCENARIO_ORDER).sort_key()
-    return g.orderBy("cntry_round", order, "response_model").select(
-        "cntry_round", "selected", "response_model", r6("cv", 3), r6("cv_se", 3),
-        r6("response_rate", 3),
-    )
+    return S.scenario_by_group(grid(spark, d), "cntry_round", "Full")
 
 
 DIFF_SQL = f"""{GRID}

@@ -494,18 +494,13 @@ FROM study JOIN lim USING (cntry_round) WHERE NOT attempt_first70pct"""
 
 def _scatter(spark, d, m):
     late = scenarios(spark, d).filter("NOT attempt_first70pct")
-    limits = stage(thresholds_table(spark, d, m), "thresholds")
-
-    def label(c):
-        return F.when(F.col(c), "Selected").otherwise("Not selected")
-
-    return late.join(limits, "cntry_round").select(
-        "cntry_round", "case_id",
-        F.round(f"score_{m}_sim1", 6).alias("early_score"),
-        F.round(f"score_{m}_sim2", 6).alias("late_score"),
-        label(f"rank_selected_{m}").alias("sim3"), label("rand_selected").alias("sim4"),
-        r6("min_top"), r6("max_bottom"),
+    t = T.selection_scatter(
+        late, ["cntry_round"], ["case_id"], f"score_{m}_sim1", f"score_{m}_sim2",
+        {"sim3": f"rank_selected_{m}", "sim4": "rand_selected"},
+        f"{m}_sim2_top50selected", f"{m}_sim1_bottom50selected",
     )
+    scores = ["early_score", "late_score", "min_top", "max_bottom"]
+    return rounded(t, [c for c in t.columns if c not in scores], scores)
 
 
 @query("selection_scatter", _scatter_sql("f", "k_full"))

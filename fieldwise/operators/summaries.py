@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import EFFECT_CLASSES, SAVED_LABELS, STARS
+from ..constants import EFFECT_CLASSES, SAVED_LABELS, SCENARIO_ORDER, STARS
+from ..specs import Levels
 from ..stages import stage
 from .ordering import running_sum
 
@@ -167,10 +168,14 @@ def quantile_breaks(
         "score-counts",
     )
     upto = running_sum(counts, by, ["_s"], "_c", "_upto", "_m", hot_rows)
-    # Rank h = (m - 1) i / bins, from 0; a score covers ranks [upto - c, upto - 1].
+    # Rank h = (m - 1) i / bins, from 0; a score covers ranks [upto - c, upto - 1].  Edge i needs
+    # it where from - 1 < h < upto, so a score is repeated only for the edges it helps to make.
+    upto = upto.withColumn("_from", F.col("_upto") - F.col("_c"))
+    first = F.expr(f"if(_from = 0, 0, (_from - 1) * {bins} div (_m - 1) + 1)")
+    last = F.expr(f"if(_m = 1, {bins}, least({bins}, (_upto * {bins} - 1) div (_m - 1)))")
     edges = upto.select(
-        *by, "_s", "_upto", (F.col("_upto") - F.col("_c")).alias("_from"), "_m",
-        F.explode(F.sequence(F.lit(0), F.lit(bins))).alias("_i"),
+        *by, "_s", "_upto", "_from", "_m",
+        F.explode(F.when(first <= last, F.sequence(first, last))).alias("_i"),
     )
     h = (F.col("_m") - 1) * F.col("_i") / F.lit(float(bins))
     low, high = F.floor(h), F.ceil(h)
@@ -248,6 +253,20 @@ def scenario_means(grid: DataFrame, r_indicator: str, digits: int = 3) -> DataFr
     )
 
 
+def scenario_by_group(
+    grid: DataFrame, group: str, r_indicator: str, selections: Sequence[str] = SCENARIO_ORDER,
+    digits: int = 3,
+) -> DataFrame:
+    """Rounded CV, its error and response rate per group, in the order of ``selections``."""
+    order = Levels("selected", selections).sort_key()
+    return grid.filter(F.col("r_indicator") == r_indicator).orderBy(
+        group, order, "response_model"
+    ).select(
+        group, "selected", "response_model",
+        *[F.round(c, digits).alias(c) for c in ("cv", "cv_se", "response_rate")],
+    )
+
+
 def scenario_diff(
     grid: DataFrame, group: str, first: str, second: str, value: str = "cv"
 ) -> DataFrame:

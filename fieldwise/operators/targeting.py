@@ -364,6 +364,27 @@ def selection_thresholds(
     )
 
 
+def selection_scatter(
+    late: DataFrame, by: Sequence[str], keep: Sequence[str], early_score: str, late_score: str,
+    flags: Mapping[str, str], top_flag: str, bottom_flag: str,
+) -> DataFrame:
+    """Both scores of every late case, its selections in words and its group's thresholds.
+
+    ``flags`` maps an output column to the boolean column it spells out.
+    """
+    limits = stage(
+        selection_thresholds(late, by, late_score, top_flag, early_score, bottom_flag), "thresholds"
+    )
+    words = [
+        F.when(F.col(c), "Selected").otherwise("Not selected").alias(name)
+        for name, c in flags.items()
+    ]
+    return late.join(limits, list(by)).select(
+        *by, *keep, F.col(early_score).alias("early_score"), F.col(late_score).alias("late_score"),
+        *words, "min_top", "max_bottom",
+    )
+
+
 def anti_selected(df: DataFrame, picked: DataFrame, key: Sequence[str]) -> DataFrame:
     """Cases not yet selected."""
     return df.join(picked, list(key), "left_anti")

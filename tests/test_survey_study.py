@@ -4,7 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldwise.constants import ACCESS, AGE_CATEGORY, GENDER, MULTI_UNIT, NEIGHBOURHOOD
-from fieldwise.plans.survey_study import analysis_attempts, outcome_effects, run_study
+from fieldwise.plans import survey_study
+from fieldwise.plans.scenarios import Scenario
+from fieldwise.plans.survey_study import (
+    analysis_attempts, levels_without_model, outcome_effects, run_study,
+)
+from fieldwise.specs import Levels, ModelSpec
 
 
 @pytest.fixture(scope="module")
@@ -64,6 +69,40 @@ def test_run_study(history):
     assert out.coefficients.filter("p_value >= 0.05").isEmpty()
     for table in out.calibration.values():
         assert table.filter("rr < 0 OR rr > 1").isEmpty()
+    assert out.unseen_levels.isEmpty()
+    assert out.by_group.count() == 3 * 10 and out.wide_rates.count() == out.wide["Full"].count()
+    assert {r.response_model for r in out.means["Dem"].collect()} == {
+        r.response_model for r in out.grid.collect()}
+    for m, table in out.differences.items():
+        mean = {r.response_model: r.mean_diff for r in out.difference_summary[m].collect()}
+        for name, part in table.toPandas().groupby("response_model"):
+            assert mean[name] == pytest.approx(part["diff"].mean())
+    late = out.scenarios.filter("NOT attempt_first70pct").count()
+    assert out.scatter["dem"].count() == out.scatter["full"].count() == late
+
+
+def test_history_is_read_once(history, monkeypatch):
+    seen = []
+
+    def table(attempts, s):
+        seen.append(attempts.inputFiles())
+        raise InterruptedError
+
+    monkeypatch.setattr(survey_study, "case_table", table)
+    with pytest.raises(InterruptedError):
+        run_study(history)
+    assert seen[0] and all("/attempts-" in path for path in seen[0])
+
+
+def test_levels_without_model(spark):
+    cases = spark.createDataFrame(
+        [("BE", p, early, v) for p, early, v in (
+            (6, True, "a"), (6, False, "a"), (7, True, "a"), (7, True, "b"), (7, False, "a"), (7, False, "b"))],
+        "cntry string, round int, attempt_first70pct boolean, v string",
+    )
+    s = Scenario(ModelSpec((Levels("v", ("a", "b")),)), ModelSpec((Levels("v", ("a", "b")),)))
+    got = levels_without_model(cases, s).select("training", "round", "variable", "level").collect()
+    assert [tuple(r) for r in got] == [("previous", 7, "v", "b")]
 
 
 def test_outcome_effects(history):
