@@ -316,6 +316,23 @@ def pair_sums(df: DataFrame, by: Sequence[str], vector: str, weight: Column) ->
     return sums.groupBy(*by).agg(F.collect_list(F.struct("i", "j", "v")).alias("sums"))
 
 
+def pair_columns(size: int, vector: str, weight: str) -> list[Column]:
+    """Aggregates ``_s<i>_<j>`` = sum of weight * v_i * v_j (i <= j) of an array of known length."""
+    w = F.col(weight)
+    v = [F.get(vector, F.lit(i)) for i in range(size)]
+    return [
+        F.sum(w * v[i] * v[j]).alias(f"_s{i}_{j}") for i in range(size) for j in range(i, size)
+    ]
+
+
+def pair_list(size: int) -> Column:
+    """The columns of ``pair_columns`` as the list that ``to_matrix`` reads."""
+    return F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"_s{i}_{j}").alias("v"))
+        for i in range(size) for j in range(i, size)
+    ])
+
+
 def to_matrix(sums, size: int) -> np.ndarray:
     m = np.zeros((size, size))
     for e in sums:
@@ -326,7 +343,7 @@ def to_matrix(sums, size: int) -> np.ndarray:
 def _fit_iterative(ready: DataFrame, spec: ModelSpec, by: list[str], family: str) -> DataFrame:
     """The same fit by aggregations over all cells; state is one row per group.
 
-    A step sums W x x' with the working response as one more column.  The state
+    A step sums W x x' with the working response as one more column, in one aggregation.  The state
     is written after each step, which also cuts the lineage.
     """
     coords = spec.coordinates()
@@ -378,12 +395,11 @@ def _fit_iterative(ready: DataFrame, spec: ModelSpec, by: list[str], family: str
             *by, weight.alias("_weight"), F.concat("x", F.array(response)).alias("_v"),
             log_lik.alias("_ll"), rss.alias("_r"), reach.alias("_eta"),
         )
-        sums = pair_sums(live, by, "_v", F.col("_weight")).join(
-            live.groupBy(*by).agg(
-                F.sum("_ll").alias("_log_lik"), F.sum("_r").alias("_rss"),
-                F.max("_eta").alias("_reach"),
-            ),
-            by,
+        totals = [
+            F.sum("_ll").alias("_log_lik"), F.sum("_r").alias("_rss"), F.max("_eta").alias("_reach"),
+        ]
+        sums = live.groupBy(*by).agg(*pair_columns(size + 1, "_v", "_weight"), *totals).select(
+            *by, pair_list(size + 1).alias("sums"), "_log_lik", "_rss", "_reach"
         )
         state = stage(sums.join(state, by).mapInPandas(advance, schema), "newton")
         finished.append(state.filter("_done").select(*by, *[f.name for f in _FIT_FIELDS]))
