@@ -2,15 +2,23 @@
 
 Inside a task DuckDB holds the merge table (in memory) and encodes the distinct pieces of the
 task's texts: a table of (piece, position, token) is joined to the merges, every piece
-contracts its leftmost minimum-rank pair, and the query recurses until no pair is left.  Long
-pieces contract all places of that pair in one step, which is what repeating the step would
-do, as a pair made by a merge ranks after it.  Decoding joins
-tokens to their bytes and concatenates them by an ordered aggregate.
+contracts its leftmost minimum-rank pair, and the query recurses until no pair is left.
+Decoding joins tokens to their bytes and concatenates them by an ordered aggregate.
+
+The recursion keeps the rows of every step, so lots are sized by rows, and a long piece is
+encoded in overlapping windows.  Tokens are the encoding of their bytes whenever every two
+neighbours are the encoding of theirs: the first merge across a border between two tokens
+would also happen in those two alone.  Two encodings that have a token in common, at the same
+place, may therefore be joined at it.  Where windows have none in common, a new one begins at
+a token of the part already joined, further back each time.  Such a window may grow long; it
+contracts all places of its pair in one step, which is what repeating the step would do, as a
+pair made by a merge ranks after it.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -23,8 +31,13 @@ from .units import Codes, splitter
 
 #: Bytes of pieces that one recursive query takes.
 LOT_BYTES = 1 << 19
-#: Pieces of more bytes contract all places of their pair in a step, at most STEPS steps a query.
-LONG, STEPS = 256, 64
+#: Pieces of more bytes are cut into windows of LONG bytes that share OVERLAP bytes; longer
+#: windows contract all places of their pair in a step, at most STEPS steps a query.
+LONG, OVERLAP, STEPS = 256, 64, 64
+#: Rows that the steps of one recursive query may add up to (16 bytes each, of 300 MB).
+LOT_ROWS = 1 << 22
+#: Tokens that one decoding query takes.
+LOT_TOKENS = 1 << 18
 
 #: One contraction per piece and step: at the smallest (merged token, position).
 CONTRACT = """
@@ -96,6 +109,8 @@ class Merges:
         self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
         self.ids = {token: rank.to_bytes(4, "little") for token, rank in self.ranks.items()}
         self.all_ids = np.array(list(self.ranks.values()))
+        self.sizes = np.zeros(self.all_ids.max() + 1, np.int64)
+        self.sizes[self.all_ids] = [len(token) for token in self.ranks]
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         lhs, rhs, merged = [], [], []
         for token, rank in self.ranks.items():
@@ -132,19 +147,55 @@ class Merges:
 
     def _contract(self, pieces: list[bytes]) -> list[bytes]:
         """Ids (little-endian, four bytes) of each piece."""
-        out = [b""] * len(pieces)
-        short = [i for i, p in enumerate(pieces) if len(p) <= LONG]
-        if short:
-            tokens = [self.single[np.frombuffer(pieces[i], np.uint8)] for i in short]
-            for i, (ids, _) in zip(short, self._recurse(tokens, CONTRACT)):
-                out[i] = ids
-        for i, p in enumerate(pieces):
-            if len(p) > LONG:
-                tokens, step = self.single[np.frombuffer(p, np.uint8)], STEPS
-                while step == STEPS:
-                    ((out[i], step),) = self._recurse([tokens], CONTRACT_ALL, steps=STEPS)
-                    tokens = np.frombuffer(out[i], "<u4").astype(np.int32)
-        return out
+        cut = [range(0, max(1, len(p) - OVERLAP) if len(p) > LONG else 1, LONG - OVERLAP) for p in pieces]
+        done = {p[b : b + LONG]: b"" for p, begins in zip(pieces, cut) for b in begins}
+        lot, rows = [], 0
+        for i, window in enumerate(done, 1):
+            lot.append(window)
+            rows += len(window) * (len(window) + 1) // 2
+            if rows + LONG * LONG > LOT_ROWS or i == len(done):
+                tokens = [self.single[np.frombuffer(w, np.uint8)] for w in lot]
+                done.update((w, ids) for w, (ids, _) in zip(lot, self._recurse(tokens, CONTRACT)))
+                lot, rows = [], 0
+        return [done[p] if len(p) <= LONG else self._joined(p, begins, done) for p, begins in zip(pieces, cut)]
+
+    def _joined(self, piece: bytes, begins: range, done: dict[bytes, bytes]) -> bytes:
+        """Ids of a long piece from those of its windows."""
+        ids, starts = self._placed(done[piece[:LONG]], 0)
+        for begin in begins[1:]:
+            end, back = begin + LONG, 8
+            while True:
+                new, places = self._placed(self._window(piece[begin:end], done), begin)
+                at = bisect.bisect_left(starts, begin)
+                held = dict(zip(zip(starts[at:], ids[at:]), range(at, len(ids))))
+                common = next((j for j, token in enumerate(zip(places, new)) if token in held), None)
+                if common is not None or begin == 0:
+                    break
+                back *= 2
+                begin = starts[-back] if back < len(starts) else 0
+            common = common or 0
+            keep = held.get((places[common], new[common]), 0)
+            ids[keep:], starts[keep:] = new[common:], places[common:]
+        return np.array(ids, "<u4").tobytes()
+
+    def _placed(self, ids: bytes, begin: int) -> tuple[list[int], list[int]]:
+        """Ids and the byte at which each begins."""
+        flat = np.frombuffer(ids, "<u4")
+        sizes = self.sizes[flat]
+        return flat.tolist(), (begin + np.cumsum(sizes) - sizes).tolist()
+
+    def _window(self, window: bytes, done: dict[bytes, bytes]) -> bytes:
+        """Ids of a window of any length; what short ones gave is remembered."""
+        if window not in done:
+            tokens = self.single[np.frombuffer(window, np.uint8)]
+            most = step = max(1, min(STEPS, LOT_ROWS // len(tokens)))
+            while step == most:
+                ((ids, step),) = self._recurse([tokens], CONTRACT_ALL, steps=most)
+                tokens = np.frombuffer(ids, "<u4").astype(np.int32)
+            if len(window) > 4 * LONG:
+                return ids
+            done[window] = ids
+        return done[window]
 
     def _encode_pieces(self, pieces: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids, decoded ids) of each piece; a piece in the vocabulary needs no contraction."""
@@ -174,18 +225,33 @@ class Merges:
         flat = np.frombuffer(b"".join(ids), "<u4")
         if len(flat) and not self._known(flat):
             raise ValueError("an id is not in the vocabulary")
-        sizes = np.array([len(i) // 4 for i in ids], np.int64)
+        out = [b""] * len(ids)
+        lot, size = [], 0  # (sequence, some of its ids)
+        for i, raw in enumerate(ids):
+            for at in range(0, len(raw), 4 * LOT_TOKENS):
+                part = raw[at : at + 4 * LOT_TOKENS]
+                if size + len(part) // 4 > LOT_TOKENS:
+                    self._decode_lot(lot, out)
+                    lot, size = [], 0
+                lot.append((i, part))
+                size += len(part) // 4
+        if lot:
+            self._decode_lot(lot, out)
+        return out
+
+    def _decode_lot(self, lot: list[tuple[int, bytes]], out: list[bytes]) -> None:
+        """Adds the bytes of each part to its sequence's."""
+        flat = np.frombuffer(b"".join(part for _, part in lot), "<u4")
+        sizes = np.array([len(part) // 4 for _, part in lot], np.int64)
         tokens = pa.table({
-            "piece": pa.array(np.repeat(np.arange(len(ids)), sizes), pa.int32()),
+            "piece": pa.array(np.repeat([i for i, _ in lot], sizes), pa.int32()),
             "pos": pa.array(np.arange(len(flat)), pa.int64()),
             "token": pa.array(flat, pa.int32()),
         })
         self.db.register("tokens", tokens)
         found = self.db.execute(DECODE).fetchnumpy()
-        out = [b""] * len(ids)
         for piece, hexed in zip(found["piece"].tolist(), found["hexed"].tolist()):
-            out[piece] = bytes.fromhex(hexed)
-        return out
+            out[piece] += bytes.fromhex(hexed)
 
     def _known(self, ids: np.ndarray) -> bool:
         return bool(np.isin(np.unique(ids), self.all_ids).all())

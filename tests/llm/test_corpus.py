@@ -504,6 +504,33 @@ def test_bpe_of_long_pieces_and_the_memory():
         bpe.decode([np.array([50_256], "<u4").tobytes()])
 
 
+def test_bpe_of_pieces_and_lots_of_a_megabyte():
+    import tiktoken
+
+    bpe = sql_bpe.Merges(vocab.path("byte_bpe_50k.tiktoken"), vocab.PATTERN)
+    lib = tiktoken.Encoding("own", pat_str=vocab.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    rng = np.random.default_rng(11)
+    many = " ".join("".join(w) for w in rng.choice(list("abcdefghij"), (2_200, 250)))
+    for text in ("".join(rng.choice(list("ACGT"), 1_000_000)), "a" * 4_000_000, many):
+        ((ids, plain),) = bpe.encode([text])
+        assert ids == np.array(lib.encode_ordinary(text), "<u4").tobytes() and plain == text.encode()
+
+
+def test_bpe_windows_without_a_common_token(monkeypatch):
+    import tiktoken
+
+    monkeypatch.setattr(sql_bpe, "LONG", 16)
+    monkeypatch.setattr(sql_bpe, "OVERLAP", 2)
+    monkeypatch.setattr(sql_bpe, "LOT_TOKENS", 7)
+    bpe = sql_bpe.Merges(vocab.path("byte_bpe_50k.tiktoken"), vocab.PATTERN)
+    lib = tiktoken.Encoding("own", pat_str=vocab.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    rng = np.random.default_rng(12)
+    parts = ["the", "tion", "inter", "nation", "a", "qu", "é"]
+    for text in ("".join(rng.choice(parts, 150)), "".join(rng.choice(list("ab"), 400)), "abc" * 200, "a" * 301):
+        ((ids, plain),) = bpe.encode([text])
+        assert ids == np.array(lib.encode_ordinary(text), "<u4").tobytes() and plain == text.encode()
+
+
 # all
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES])
 def test_empty_tables(spark, name, tmp_path):
