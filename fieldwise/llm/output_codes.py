@@ -63,12 +63,22 @@ def gram_counts(texts: list[str | None]) -> np.ndarray:
 
 
 def codewords(n: int) -> np.ndarray:
-    """n x bits of +1 / -1: all dichotomies for up to 6 languages, else fixed random codes."""
+    """n x bits of +1 / -1: all dichotomies for up to 6 languages, else fixed random codes.
+
+    Both sides of every bit hold a language, and all codewords differ.
+    """
     if n <= 6:
         cuts = [c for c in itertools.product((1, -1), repeat=n) if c[:1] == (1,) and -1 in c]
         return np.array(cuts, np.int8).T.reshape(n, len(cuts))
-    bits = random_words(n * LONG_CODE, 7).reshape(n, LONG_CODE)
-    return np.where(bits & np.uint64(1 << 20), 1, -1).astype(np.int8)
+    code = np.zeros((n, LONG_CODE), np.int8)
+    for seed in itertools.count(7):
+        again = np.abs(code.sum(axis=0, dtype=np.int64)) == n  # the same for all languages
+        if seed == 7 or len(np.unique(code, axis=0)) < n:
+            again[:] = True
+        if not again.any():
+            return code
+        bits = random_words(n * LONG_CODE, seed).reshape(n, LONG_CODE)
+        code[:, again] = np.where(bits & np.uint64(1 << 20), 1, -1)[:, again]
 
 
 @dataclass

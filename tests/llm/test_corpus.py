@@ -337,6 +337,23 @@ def test_language_edge_cases(spark, docs, odd):
     assert len({tuple(c) for c in code}) == 8 and code.shape == (8, output_codes.LONG_CODE)
 
 
+def test_seven_languages(spark):
+    for n in (7, 8, 20, 100):
+        code = output_codes.codewords(n)
+        assert code.shape == (n, output_codes.LONG_CODE) and len(np.unique(code, axis=0)) == n
+        assert (code.min(axis=0) == -1).all() and (code.max(axis=0) == 1).all()
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(7):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrst"[2 * k : 2 * k + 8]), 4)) for _ in range(30)]
+        rows += [(40 * k + i, " ".join(rng.choice(words, 30)), f"l{k}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = output_codes.identify(docs, docs).filter("held_out").collect()
+    truth = {i: lang for i, _, lang in rows}
+    assert {r.lang_pred for r in got} == set(truth.values()) and all(np.isfinite(r.score) for r in got)
+    assert sum(r.lang_pred == truth[r.doc_id] for r in got) / len(got) > 0.95
+
+
 # 6 decontamination
 def test_planted_passages_are_found(spark, benchmark):
     items = [(r.item_id, r.text) for r in benchmark.collect()]
