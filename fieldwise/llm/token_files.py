@@ -149,28 +149,34 @@ class Encoder:
 
         self.wide = np.dtype(wide)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path) as f:
             kind = json.load(f)
         pre = kind.get("pre_tokenizer") or {}
         own = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         # where the library itself cuts by the pattern, pieces may be encoded one by one
         self.by_piece = bool(own and not kind.get("normalizer"))
+        # the library finds added tokens before it cuts: a text with one is left whole
+        self.added = [t["content"] for t in kind.get("added_tokens") or ()]
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose bytes begin with a space
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.codes = Codes(self._split, self._encode)
 
     def _split(self, text: str) -> list[str]:
-        pieces = latin_pieces(text) if self.by_piece else None
+        pieces = latin_pieces(text) if self.by_piece and not self._has_added(text) else None
         return [text] if pieces is None else pieces
 
+    def _has_added(self, text: str) -> bool:
+        return any(token in text for token in self.added)
+
     def _encode(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece; plain words are encoded as one text, and told apart by word."""
         words = [u for u in pieces if WORD.fullmatch(u)] if self.by_piece else []
         out = {}
         for i in range(0, len(words), LOT):
             lot = words[i : i + LOT]
+            if self._has_added("".join(lot)):
+                continue
             (found,) = self.tokenizer.encode_batch_fast(["".join(lot)], add_special_tokens=False)
             ids = np.array(found.ids, self.wide)
             ends = (np.flatnonzero(self.spaced[ids]) * self.wide.itemsize).tolist()[1:] + [ids.nbytes]

@@ -271,6 +271,28 @@ def test_token_files_give_back_the_ids(spark, docs, odd):
         assert [r.start for r in got] == (np.cumsum([r.n_tokens for r in got]) - [r.n_tokens for r in got]).tolist()
 
 
+def test_added_tokens_are_the_librarys(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(vocab.path("byte_bpe_50k.json")) as f:
+        kind = json.load(f)
+    flags = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False}
+    kind["added_tokens"] += [{"id": 50_257, "content": "we go", **flags}, {"id": 50_258, "content": " sun", **flags}]
+    (tmp_path / "more.json").write_text(json.dumps(kind))
+    texts = [
+        "a<|endoftext|>b", "a <|endoftext|> b", "<|endoftext|>", "plain words", "<|endoftext|><|endoftext|> plain words",
+        "<|endoftext", "日本<|endoftext|>語", "then we", " go", "here we go on", " sun", "the sun and sunny days", None,
+    ]
+    source = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for path in (vocab.path("byte_bpe_50k.json"), str(tmp_path / "more.json")):
+        tok = Tokenizer.from_file(path)
+        coded = [np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for t in texts]
+        got = token_files.token_digests(source, path).orderBy("doc_id").collect()
+        assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(ids), zlib.crc32(ids.tobytes())) for ids in coded]
+
+
 # 4 URL filter
 def test_hosts_paths_and_rules(spark):
     urls = [
