@@ -3,7 +3,11 @@
 A text's shingles (five words) are labelled with their occurrence number, so that all are
 different.  Each of SKETCHES sketches takes the PICKS labelled shingles with the smallest
 hashes and keeps them in the order of the text: two texts share a sketch with a chance that
-falls with lost shingles and with changed order.  Texts that share a sketch are candidates;
+falls with lost shingles and with changed order.  Short texts have exact keys instead: of the
+labelled shingles that two linked texts have in common in one order, the PICKS with the
+smallest hashes are among the first n - ceil(0.8 n) + PICKS of either text, as it has at most
+n - ceil(0.8 n) others.  Every PICKS of those, in the order of the text, are a key.
+Texts that share a sketch or key are candidates;
 the verdict is a banded alignment of their labelled shingles:
     likeness = a / (n1 + n2 - a),  a = longest common subsequence within the band.
 A likeness of 0.8 needs a >= (n1 + n2) * 4/9, so aligned shingles are at most (n1 + n2) / 9
@@ -15,6 +19,8 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,15 +36,20 @@ from .words import batch_words, grams
 
 WORDS = 5
 LIKENESS = 0.8
-#: With PICKS = 4 a pair of likeness 0.8 shares one sketch with a chance of about 0.4, none of
-#: 20 with about 3e-5; a pair of likeness 0.2 shares one of 20 with about 0.03.
+#: A pair with ``a`` of ``u`` different labelled shingles in common shares one sketch with a
+#: chance of C(a, 4) / C(u, 4): at likeness 0.8 none of 20 with 6e-5 for u = 25, falling to 3e-5
+#: for long texts; a pair of likeness 0.2 shares one of 20 with about 0.03.
 SKETCHES = 20
 PICKS = 4
+#: Texts of up to so many labelled shingles have exact keys (at most 70): no link between two
+#: such texts is lost.
+EXACT = 24
 #: Rounds in which one member of a bucket stands for it, before open buckets are gone through.
 LEADERS = 2
 #: Members of a block: two blocks of a bucket meet in one task.
 BLOCK = 256
 _SEEDS = random_words(SKETCHES, 3)
+_EXACT_SEED = random_words(1, 13)[0]
 _STEP = U64(0xD6E8FEB86659FD93)
 
 
@@ -76,6 +87,31 @@ def sketches(labelled: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=None)
+def _choices(n: int, picks: int) -> np.ndarray:
+    return np.array(list(itertools.combinations(range(n), picks)))
+
+
+def exact_keys(labelled: np.ndarray) -> np.ndarray:
+    """Keys of which two texts of likeness LIKENESS or more always share one."""
+    n = len(labelled)
+    picks = min(PICKS, n)
+    some = n - math.ceil(LIKENESS * n - 1e-9) + picks
+    first = labelled[np.sort(np.argsort(mix(labelled ^ _EXACT_SEED))[:some])]
+    chosen = first[_choices(some, picks)]
+    key = np.full(len(chosen), _EXACT_SEED, U64)
+    for j in range(picks):
+        key = key * _STEP + chosen[:, j]
+    return mix(key)
+
+
+def candidate_keys(labelled: np.ndarray) -> np.ndarray:
+    """Exact keys of a short text; sketches where a partner may be too long for exact keys."""
+    n = len(labelled)
+    exact = [exact_keys(labelled)] if n <= EXACT else []
+    return np.concatenate(exact + ([sketches(labelled)] if n > LIKENESS * EXACT else []))
+
+
 def alignment(a: np.ndarray, b: np.ndarray, least: float = LIKENESS) -> float:
     """Likeness of two arrays of labelled shingles; 0.0 where it cannot reach ``least``."""
     n1, n2 = len(a), len(b)
@@ -112,8 +148,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 labelled = labelled_shingles(words.of(d)) if marks[-1] not in seen else ()
                 if len(labelled):
                     seen.add(marks[-1])
-                    keys.append(sketches(labelled).view(np.int64))
-                at.append(at[-1] + (SKETCHES if len(labelled) else 0))
+                    keys.append(candidate_keys(labelled).view(np.int64))
+                at.append(at[-1] + (len(keys[-1]) if len(labelled) else 0))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [piece.column(0), pa.array(marks, pa.binary()),

@@ -192,6 +192,27 @@ def test_near_duplicates_are_those_of_all_pairs(spark, docs, odd):
         assert sum(r.kept for r in got) == n_classes
 
 
+def test_short_near_duplicates_are_never_lost(spark):
+    rng = np.random.default_rng(9)
+    linked = 0
+    for _ in range(4000):
+        n = int(rng.integers(1, 25))
+        a = rng.integers(1, 1 << 62, n).astype(np.uint64)
+        b = a[rng.random(n) > 0.1]
+        for _ in range(int(rng.integers(0, 1 + n // 6))):
+            b = np.insert(b, rng.integers(0, len(b) + 1), rng.integers(1, 1 << 62, dtype=np.uint64))
+        if 0 < len(b) and order_minhash.alignment(a, b) >= 0.8:
+            linked += 1
+            assert set(order_minhash.candidate_keys(a).tolist()) & set(order_minhash.candidate_keys(b).tolist())
+    assert linked > 1000
+    rows = []
+    for k in range(800):
+        text = prose(1000 + k, 8)
+        rows += [(2 * k, text), (2 * k + 1, text + " more")]
+    got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id) for r in got} == {(i, i - i % 2) for i, _ in rows}
+
+
 def test_shared_counts_and_blocks(spark, monkeypatch):
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 300, int(rng.integers(1, 90)))).astype(np.uint64) for _ in range(30)]
