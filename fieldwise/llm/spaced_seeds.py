@@ -150,6 +150,20 @@ def best_overlap(agree: np.ndarray) -> tuple[int, int, int]:
     return begin, end - begin, int(agree[begin:end].sum())
 
 
+def all_overlaps(agree: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """The best overlap of at least ``least`` words, and those left and right of it, in order."""
+    found, todo = [], [(0, len(agree))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < least:
+            continue
+        first, size, n = best_overlap(agree[lo:hi])
+        if size and size >= least:
+            found.append((lo + first, size, n))
+            todo += [(lo, lo + first), (lo + first + size, hi)]
+    return sorted(found)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -158,8 +172,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d, at = diagonal.as_py(), begin.as_py()
             a, b = words.values.to_numpy(), item.values.to_numpy()
             lo, hi = max(at, d), min(at + len(a), d + len(b))
-            first, size, agree = best_overlap(a[lo - at : hi - at] == b[lo - d : hi - d])
-            if size >= min(OVERLAP, len(b)):
+            same_words = a[lo - at : hi - at] == b[lo - d : hi - d]
+            for first, size, agree in all_overlaps(same_words, min(OVERLAP, len(b))):
                 rows.append((doc_id.as_py(), node.as_py(), item_id.as_py(), lo + first, size, agree))
         kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         names = ["doc_id", "node", "item_id", "first_word", "n_words", "agreeing"]

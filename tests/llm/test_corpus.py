@@ -434,6 +434,17 @@ def test_best_overlap_against_all_stretches():
         assert size == best and hits == agree[first : first + size].sum()
 
 
+def test_two_overlaps_on_one_diagonal():
+    item = np.arange(60)
+    words = np.where((item >= 20) & (item < 40), -1 - item, item)
+    kinds = [("doc_id", pa.int64()), ("node", pa.binary()), ("diagonal", pa.int32()), ("begin", pa.int32()),
+             ("item_id", pa.int64()), ("words", pa.list_(pa.int64())), ("item_words", pa.list_(pa.int64()))]
+    row = (1, b"x", 0, 0, 2, words.tolist(), item.tolist())
+    batch = pa.RecordBatch.from_arrays([pa.array([v], k) for v, (_, k) in zip(row, kinds)], [n for n, _ in kinds])
+    (got,) = spaced_seeds._verify(iter([batch]))
+    assert [(r["first_word"], r["n_words"], r["agreeing"]) for r in got.to_pylist()] == [(0, 20, 20), (40, 20, 20)]
+
+
 # 7 fingerprints
 def test_prints_against_a_walk_in_order(spark, docs, odd):
     for source in (docs, odd):
