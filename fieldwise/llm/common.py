@@ -53,6 +53,24 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def collected_bits(slots: DataFrame, size: int) -> np.ndarray:
+    """The bits named by ``slots`` (slot, from 0 to ``size`` - 1) as 64-bit words.
+
+    Slots are packed where they lie; at most ``size`` / 64 rows reach the driver.
+    """
+    packed = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")
+    ).toArrow()
+    bits = np.zeros(size // 64, np.int64)
+    bits[packed["word"].to_numpy()] = packed["bits"].to_numpy()
+    return bits.view(U64)
+
+
+def has_bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bits at the given slots are set."""
+    return ((bits[at >> 6] >> (at & 63).astype(U64)) & U64(1)).astype(bool)
+
+
 def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Pieces of a batch with about SLICE_BYTES of text each."""
     column = batch.column(batch.schema.get_field_index(text))

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_prints, diagonals, host_reputation, order_minhash, output_codes
-from . import sharding, site_quality, spaced_seeds, sql_bpe, token_files
+from . import chunk_prints, diagonals, exact_dedup, host_reputation, oracles, order_minhash, output_codes
+from . import pivot_clusters, sharding, site_quality, spaced_seeds, sql_bpe, stripes, token_files
 from .common import table
 
 SHARDS = 24
@@ -79,11 +79,28 @@ def op10_sql_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_clusters.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stripes.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_hash_tree, op2_order_minhash, op3_token_files, op4_host_reputation, op5_output_codes,
         op6_spaced_seeds, op7_chunk_prints, op8_site_quality, op9_diagonals, op10_sql_bpe,
+        op11_bloom_dedup, op12_pivot_clusters, op13_stripes,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_bloom_dedup": oracles.EXACT_DEDUP,
+    "op12_pivot_clusters": oracles.clusters_sql(),
+    "op13_stripes": oracles.COLLOCATIONS,
+}
