@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..stages import stage
-from .common import U64, digest, mix, random_words, same, slices
+from .common import U64, digest, free_name, mix, own_columns, random_words, same, slices
 from .components import components
 from .words import batch_words, grams
 
@@ -44,8 +44,6 @@ PICKS = 4
 #: Texts of up to so many labelled shingles have exact keys (at most 70): no link between two
 #: such texts is lost.
 EXACT = 24
-#: Rounds in which one member of a bucket stands for it, before open buckets are gone through.
-LEADERS = 2
 #: Members of a block: two blocks of a bucket meet in one task.
 BLOCK = 256
 _SEEDS = random_words(SKETCHES, 3)
@@ -209,19 +207,30 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "likeness": pa.array(like, pa.float64())})
 
 
-def _open_links(live: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Written links between classes inside buckets that hold several classes.
+def _open_links(named: DataFrame, texts: DataFrame) -> DataFrame:
+    """Written links between classes inside buckets (bucket, node, label) that hold several classes.
 
-    A bucket's members are dealt into blocks of about BLOCK, and every two blocks meet in one
-    task, so that no task sees a whole bucket and no pair is a row.
+    The members of a bucket's largest class need not meet each other: only the others are
+    queries.  Both are dealt into blocks of about BLOCK; every block of queries meets every
+    block of the bucket in one task, so that no task sees a whole bucket and no pair is a row.
     """
-    named = live.join(labels, "node").select("bucket", "node", "label")
-    several = named.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")
-    ).filter("low != high").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    kinds = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
+    # min_by of plain columns: the largest class, of equal ones that with the smallest name
+    order = F.concat(F.lpad((F.lit(2**40) - F.col("size")).cast("string"), 13, "0"), F.hex("label"))
+    sizes = kinds.groupBy("bucket").agg(
+        F.min(order).alias("top"), F.sum("size").alias("size"), F.max("size").alias("most")
+    ).filter("size > most")
+    several = stage(sizes.select(
+        "bucket", F.unhex(F.substring("top", 14, 32)).alias("main"),
+        F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("queries"),
+        F.ceil(F.col("most") / BLOCK).cast("int").alias("others"),
+    ), "open")
     rows = named.join(several, "bucket")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    main, hashed = F.col("label") == F.col("main"), F.xxhash64("node")
+    dealt = F.when(main, F.col("queries") + F.pmod(hashed, F.col("others"))).otherwise(F.pmod(hashed, F.col("queries")))
+    rows = rows.withColumn("block", dealt.cast("int"))
+    last = F.when(main, F.col("queries")).otherwise(F.col("queries") + F.col("others")) - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     rows = rows.select(
         "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label"
     )
@@ -230,12 +239,14 @@ def _open_links(live: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFra
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, crowd) of buckets with several texts; ``crowd``: the node's company in all."""
+    """Written (bucket, node, lead) of buckets with several texts; ``lead`` is the smallest of them.
+
+    The smallest digest is the smallest wherever its text is, so that texts of one group meet few leads.
+    """
     rows = nodes.select(F.explode("keys").alias("bucket"), "node").distinct()
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    rows = stage(rows.join(sizes, "bucket"), "buckets")
-    crowds = rows.groupBy("node").agg(F.sum("size").alias("crowd"))
-    return stage(rows.join(crowds, "node").select("bucket", "node", "crowd"), "buckets")
+    leads = rows.groupBy("bucket").agg(F.min(F.hex("node")).alias("lead"), F.count(F.lit(1)).alias("size"))
+    leads = leads.filter("size > 1").select("bucket", F.unhex("lead").alias("lead"))
+    return stage(rows.join(leads, "bucket"), "buckets")
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -256,49 +267,31 @@ def classes(docs: DataFrame) -> DataFrame:
     Classes are the connected components of links between different texts.  Texts without a
     word have only exact copies.
 
-    Buckets of texts with one sketch in common are not expanded into pairs at first: in a few
-    rounds the text with the most company stands for its bucket and meets the others; pairs
-    that are already in one class are settled.  What is left open is then compared in full, in
-    blocks, so no link between classes is lost.  Copies meet in one node before any of this.
+    Buckets of texts with one sketch in common are not expanded into pairs: first every text
+    meets its buckets' leads, and a text that links to one counts as that lead's class.  What is
+    then left open in a bucket is compared in full, in blocks, so no link between classes is
+    lost; texts taken for one class are linked through leads, so nothing between them matters.  Copies meet
+    in one node before any of this.
     """
     made = docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, node binary, keys array<long>")
     made = stage(made, "sketches")
-    firsts = made.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    firsts = stage(made.groupBy("node").agg(F.min("doc_id").alias("first_id")), "firsts")
     live = _buckets(made.filter(F.size("keys") > 0))
 
-    wanted = live.groupBy("node").agg(F.lit(1).alias("one")).join(firsts, "node").select(
-        F.col("node").alias("w_node"), "first_id"
-    )
+    wanted = live.select("node").distinct().join(firsts, "node").select(F.col("node").alias("w_node"), "first_id")
     rows = docs.select("doc_id", "text", digest().alias("node"))
     rows = rows.join(wanted, same(rows, wanted, {"node": "w_node", "doc_id": "first_id"}))
     texts = stage(rows.groupBy("node").agg(F.any_value("text").alias("text")), "texts")
 
-    labels = live.groupBy("node").agg(F.lit(1).alias("one")).select("node", F.col("node").alias("label"))
-    found = None
-    for last in [False] * LEADERS + [True]:
-        if last:
-            more = _open_links(live, labels, texts)
-        else:
-            named = stage(live.join(labels, "node"), "named")
-            open_ = named.groupBy("bucket").agg(
-                F.max(F.struct("crowd", "node", "label")).alias("top"),
-                F.min("label").alias("low"), F.max("label").alias("high"),
-            ).filter("low != high").select("bucket", "top.node", "top.label")
-            open_ = stage(open_.withColumnsRenamed({"node": "lead", "label": "lead_label"}), "leaders")
-            named = named.join(open_, "bucket").filter("node != lead")
-            pairs = named.filter("label != lead_label").select(
-                F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")
-            )
-            live = stage(named.select("bucket", "node", "crowd"), "buckets")
-            more = _links(stage(pairs.distinct(), "pairs"), texts)
-        if more.isEmpty():
-            continue
-        found = more if found is None else found.unionByName(more)
-        linked = components(found)
-        labels = labels.select("node").join(linked, "node", "left").select(
-            "node", F.coalesce("label", "node").alias("label")
-        )
-        labels = stage(labels, "labels")
+    pairs = live.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    to_leads = _links(pairs, texts)
+    chosen = stage(to_leads.groupBy(F.col("b").alias("n_node")).agg(F.min("a").alias("near")), "chosen")
+    further = chosen.select(F.col("n_node").alias("near"), F.col("near").alias("next"))
+    chosen = chosen.join(further, "near", "left").select("n_node", F.coalesce("next", "near").alias("near"))
+    label = F.coalesce("near", "node").alias("label")
+    named = stage(live.join(chosen, F.col("node") == F.col("n_node"), "left").select("bucket", "node", label), "named")
+    found = to_leads.unionByName(_open_links(named, texts))
+    labels = components(found)
     named = firsts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = stage(named, "named")
     first = F.min(F.struct(F.col("first_id").isNull(), F.col("first_id"), F.col("node"))).alias("k")
@@ -332,9 +325,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     The row with the class's smallest doc_id stays; of rows with equal ids and texts one.
     """
-    own, node, copy = docs.columns, "text_digest", "copy_number"
-    while {node, copy} & set(own):
-        node, copy = node + "_", copy + "_"
+    own, node, copy = own_columns(docs), free_name(docs, "text_digest"), free_name(docs, "copy_number")
     keepers = classes(docs).filter(_STAYS).select(F.col("doc_id").alias("k_id"), F.col("node").alias("keeper"))
     rows = docs.withColumn(node, digest())
     kept = rows.join(keepers, same(rows, keepers, {"doc_id": "k_id", node: "keeper"}), "left_semi")

@@ -227,7 +227,6 @@ def test_shared_counts_and_blocks(spark, monkeypatch):
         rows.append((k, " ".join(w)))
     rows += [(100 + k, rows[k][1] + " more") for k in range(3)]
     monkeypatch.setattr(order_minhash, "BLOCK", 8)
-    monkeypatch.setattr(order_minhash, "LEADERS", 0)
     got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, r.class_id) for r in got) == brute_classes(rows)[0]
 

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldwise.llm import exact_dedup, pivot_clusters, stripes
+from fieldwise.llm import exact_dedup, order_minhash, output_codes, pivot_clusters, site_quality, spaced_seeds, stripes
+from fieldwise.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, row string, digest string, Length int, keep_id int, `a.b` int"
 
@@ -210,3 +211,44 @@ def test_stretches_end_with_pieces():
 def test_collocations_of_nothing(spark):
     assert stripes.collocations(documents(spark, [])).collect() == []
     assert stripes.collocations(documents(spark, [(1, None, None), (2, " . ", "en")])).collect() == []
+
+
+CLASHES = "Q_SCORE int, q_Site int, TEXT_DIGEST int, Copy_Number int, LANGUAGE_FOUND int, `a.b` int, `c``d` int, K_ID int, Bad_Text int"
+
+
+def test_stages_leave_the_users_columns_alone(spark):
+    """Names that differ from inner ones by case, dotted and quoted names."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    extra = CLASHES.split(", ")
+    names = [c.rsplit(" ", 1)[0] for c in extra]
+    docs = docs.select("*", *[F.lit(i).alias(n.strip("`").replace("``", "`")) for i, n in enumerate(names)])
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    stages = {
+        "good": lambda d: site_quality.keep_good(d, labels), "known": lambda d: output_codes.keep_known(d, d),
+        "one": order_minhash.keep_one, "clean": lambda d: spaced_seeds.keep_clean(d, bench),
+    }
+    for name, run in stages.items():
+        out = run(docs)
+        assert out.columns == docs.columns, name
+        found = out.select(*[F.col(n) for n in names]).distinct().collect()
+        assert [tuple(r) for r in found] == [tuple(range(len(names)))], name
+
+
+@pytest.mark.parametrize("in_task", [500_000, 3])
+def test_components(spark, in_task):
+    rng = np.random.default_rng(3)
+    name = lambda i: hashlib.md5(str(i).encode()).digest()
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2)) if a != b]
+    links += [(400 + i, 401 + i) for i in range(60)] + [(500, 501 + i) for i in range(40)] + links[:5]
+    frame = spark.createDataFrame([(name(a), name(b)) for a, b in links], "a binary, b binary")
+    got = {bytes(r.node): bytes(r.label) for r in components(frame, in_task).collect()}
+    group = {}
+    for a, b in links:
+        group.setdefault(a, {a}), group.setdefault(b, {b})
+        whole = group[a] | group[b]
+        for x in whole:
+            group[x] = whole
+    assert set(got) == {name(x) for x in group}
+    assert all((got[name(x)] == got[name(y)]) == (y in group[x]) for x in group for y in group)
+    assert components(frame.limit(0), in_task).collect() == []
