@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, random_words, slices, text_buffer
+from .common import SLICE_BYTES, free_name, own_columns, random_words, slices, text_buffer
 
 FEATURES = 1 << 13
 #: Texts counted at once: a dense block of ROWS x FEATURES counts.
@@ -227,10 +227,11 @@ def identify(docs: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose language is found and not ambiguous, with their own columns."""
+    """Rows of ``docs`` whose language is found and not ambiguous, with their own columns.
+
+    NULL texts, empty ones and texts without a letter have no language: they go.
+    """
     found = predicted(fit(train.filter(~held_out())))
-    own, p = docs.columns, "language_found"
-    while p in own:
-        p += "_"
+    own, p = own_columns(docs), free_name(docs, "language_found")
     rows = docs.withColumn(p, found)
     return rows.filter((F.col(f"{p}.lang") != UND) & ~F.col(f"{p}.ambiguous")).select(*own)

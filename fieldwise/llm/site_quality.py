@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..stages import stage
-from .common import slices, text_buffer
+from .common import own_columns, slices, text_buffer
 from .shrink import mean, posteriors
 from .words import batch_words
 
@@ -150,8 +150,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFra
 
     Without labels every document is kept.
     """
-    own = docs.columns
-    renamed = docs.withColumnsRenamed({c: f"d_{i}" for i, c in enumerate(own) if c.startswith("q_")})
-    scored = score(renamed, fit(renamed, labels))
-    kept = scored.filter(F.col("q_score") >= least - 1e-12)
-    return kept.select(*[F.col(f"d_{i}" if c.startswith("q_") else c).alias(c) for i, c in enumerate(own)])
+    own, kept_names = own_columns(docs), [f"d_{i}" if _inner(c) else c for i, c in enumerate(docs.columns)]
+    renamed = docs.select(*[c.alias(n) for c, n in zip(own, kept_names)])
+    kept = score(renamed, fit(renamed, labels)).filter(F.col("q_score") >= least - 1e-12)
+    return kept.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(kept_names, docs.columns)])
+
+
+def _inner(name: str) -> bool:
+    """Whether a column may clash with those added here, or must be quoted."""
+    return name not in ("doc_id", "text", "source", "lang")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..stages import stage
-from .common import U64, digest, mix, random_words, same, slices
+from .common import U64, digest, free_name, mix, own_columns, random_words, same, slices
 from .words import batch_words
 
 #: 1: the word counts; 0: it is ignored.
@@ -221,10 +221,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs`` without any overlap, with their own columns."""
-    own, node = docs.columns, "text_digest"
-    while node in own:
-        node += "_"
+    """Rows of ``docs`` without any overlap, with their own columns; NULL and empty texts stay."""
+    own, node = own_columns(docs), free_name(docs, "text_digest")
     bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("bad_id"), F.col("node").alias("bad_text")).distinct()
     bad = stage(bad, "contaminated")
     rows = docs.withColumn(node, digest())
