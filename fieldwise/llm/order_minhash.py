@@ -156,17 +156,26 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-@lru_cache(maxsize=64)
-def _labelled(text: str) -> np.ndarray:
-    return labelled_shingles(batch_words(pa.array([text], pa.large_string())).hashes)
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shingles): the labelled shingles of each text, computed once for all comparisons."""
+    for batch in batches:
+        for piece in slices(batch):
+            words = batch_words(piece.column(1))
+            found = [labelled_shingles(words.of(d)).view(np.int64) for d in range(piece.num_rows)]
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+
+
+def _sets(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat, at = column.flatten().to_numpy().view(U64), column.offsets.to_numpy()
+    at = at - at[0] if len(at) else at
+    return [flat[x:y] for x, y in zip(at, at[1:])]
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        like = [
-            alignment(_labelled(x or ""), _labelled(y or ""))
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-        ]
+        like = [alignment(x, y) for x, y in zip(_sets(batch.column(2)), _sets(batch.column(3)))]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(like, pa.float64())], ["a", "b", "likeness"]
         )
@@ -192,7 +201,7 @@ def _block_links(table: pa.Table) -> pa.Table:
     """Links between members of two blocks of a bucket that are not in one class yet."""
     nodes, blocks = table["node"].to_pylist(), np.array(table["block"].to_pylist())
     label = np.unique(np.array([x.hex() for x in table["label"].to_pylist()]), return_inverse=True)[1]
-    sets = [_labelled(t or "") for t in table["text"].to_pylist()]
+    sets = _sets(table["shingles"])
     n = np.array([len(x) for x in sets])
     need = LIKENESS / (1 + LIKENESS) * (n[:, None] + n[None, :]) - 1e-3
     maybe = (shared_counts(sets) >= need) & (label[:, None] != label[None, :])
@@ -251,8 +260,8 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Written (a, b, likeness) of those ``pairs`` that the alignment confirms."""
-    x = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
-    y = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    x = texts.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    y = texts.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
     found = both.mapInArrow(_verify, "a binary, b binary, likeness double")
     return stage(found.filter(F.col("likeness") >= LIKENESS), "links")
@@ -268,10 +277,9 @@ def classes(docs: DataFrame) -> DataFrame:
     word have only exact copies.
 
     Buckets of texts with one sketch in common are not expanded into pairs: first every text
-    meets its buckets' leads, and a text that links to one counts as that lead's class.  What is
-    then left open in a bucket is compared in full, in blocks, so no link between classes is
-    lost; texts taken for one class are linked through leads, so nothing between them matters.  Copies meet
-    in one node before any of this.
+    meets its buckets' leads, and texts linked through leads are one class.  What is then left open
+    in a bucket is compared in full, in blocks, so no link between classes is lost.  Copies meet in
+    one node before any of this.
     """
     made = docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, node binary, keys array<long>")
     made = stage(made, "sketches")
@@ -281,15 +289,14 @@ def classes(docs: DataFrame) -> DataFrame:
     wanted = live.select("node").distinct().join(firsts, "node").select(F.col("node").alias("w_node"), "first_id")
     rows = docs.select("doc_id", "text", digest().alias("node"))
     rows = rows.join(wanted, same(rows, wanted, {"node": "w_node", "doc_id": "first_id"}))
-    texts = stage(rows.groupBy("node").agg(F.any_value("text").alias("text")), "texts")
+    rows = rows.groupBy("node").agg(F.any_value("text").alias("text"))
+    texts = stage(rows.mapInArrow(_shingles, "node binary, shingles array<long>"), "shingles")
 
     pairs = live.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     to_leads = _links(pairs, texts)
-    chosen = stage(to_leads.groupBy(F.col("b").alias("n_node")).agg(F.min("a").alias("near")), "chosen")
-    further = chosen.select(F.col("n_node").alias("near"), F.col("near").alias("next"))
-    chosen = chosen.join(further, "near", "left").select("n_node", F.coalesce("next", "near").alias("near"))
+    near = components(to_leads).select(F.col("node").alias("n_node"), F.col("label").alias("near"))
     label = F.coalesce("near", "node").alias("label")
-    named = stage(live.join(chosen, F.col("node") == F.col("n_node"), "left").select("bucket", "node", label), "named")
+    named = stage(live.join(near, F.col("node") == F.col("n_node"), "left").select("bucket", "node", label), "named")
     found = to_leads.unionByName(_open_links(named, texts))
     labels = components(found)
     named = firsts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
