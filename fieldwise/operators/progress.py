@@ -40,10 +40,39 @@ def fieldwork_progress(
     )
 
 
-def _latest(time: str, attempt: str, ties: str) -> Column:
-    """Ordering value whose maximum is the last attempt of a case."""
+def _micros(df: DataFrame, time: str) -> Column:
+    """Microseconds of a moment as a long (whole numbers as they are); the clock's own reading, without zones."""
+    t, kind = F.col(time), df.schema[time].dataType.simpleString()
+    if kind == "timestamp":
+        return F.unix_micros(t)
+    if kind in ("date", "timestamp_ntz"):
+        days = F.unix_date(t.cast("date")).cast("bigint") * 86_400_000_000
+        if kind == "date":
+            return days
+        second = (F.expr(f"extract(SECOND FROM `{time}`)") * 1_000_000).cast("bigint")
+        return days + (F.hour(t) * 60 + F.minute(t)).cast("bigint") * 60_000_000 + second
+    return t.cast("bigint")
+
+
+def _latest(df: DataFrame, time: str, attempt: str, ties: str) -> Column:
+    """One number per attempt whose maximum is the last attempt of a case.
+
+    The moment and, below it, the attempt number: 32 bits more than a long, so a decimal, which
+    is a fixed-width value and stays in hash aggregates.  NULL times and numbers come first.
+    """
     tie = F.col(attempt) if ties == "last" else -F.col(attempt)
-    return F.struct(F.col(time), tie)
+    moment = F.coalesce(_micros(df, time), F.lit(-(2**62))).cast("decimal(20,0)")
+    low = F.coalesce(tie.cast("bigint"), F.lit(-(2**31))).cast("decimal(11,0)")
+    return moment * F.lit(2**32).cast("decimal(10,0)") + low
+
+
+def _reached(latest: str, early: str, attempt: str) -> Column:
+    reached = F.max_by(F.when(F.col(early), F.col(attempt)), F.when(F.col(early), F.col(latest)))
+    return F.coalesce(reached, F.lit(0)).cast("int").alias(cutoff_name(early))
+
+
+def cutoff_name(early: str) -> str:
+    return f"attempt_number_{early.removeprefix('attempt_first')}"
 
 
 def last_attempt(
@@ -55,19 +84,21 @@ def last_attempt(
     Among attempts at the same last moment the first recorded one is kept
     (``ties="first"``).  With ``early`` (a boolean column) the same pass also
     yields ``attempt_number_<cutoff>``: the attempt number the case had reached
-    before the cutoff, 0 when it had not been contacted.  One aggregation with
-    map-side combine, so a case with very many attempts does no harm.
+    before the cutoff, 0 when it had not been contacted.
+
+    Only key, time and attempt are aggregated, by hash and with map-side combine;
+    the case's other columns are joined to the one row that is left.  Keys are not
+    NULL, and attempts of a case are told apart by time and number (``sequence_attempts``
+    gives such numbers); of rows that are equal in both one is kept.
     """
+    key = list(key)
+    latest = _latest(df, time, attempt, ties)
+    extra = [_reached("_latest", early, attempt)] if early else []
+    narrow = df.select(*key, latest.alias("_latest"), *dict.fromkeys([attempt, *([early] if early else [])]))
+    winners = narrow.groupBy(*key).agg(F.max("_latest").alias("_latest"), *extra)
+    rows = df.withColumn("_latest", latest).join(winners, [*key, "_latest"])
     others = [c for c in df.columns if c not in key]
-    latest = _latest(time, attempt, ties)
-    aggs = [F.max_by(F.struct(*others), latest).alias("_row")]
-    extra = []
-    if early:
-        name = f"attempt_number_{early.removeprefix('attempt_first')}"
-        reached = F.max_by(F.when(F.col(early), F.col(attempt)), F.when(F.col(early), latest))
-        aggs.append(F.coalesce(reached, F.lit(0)).cast("int").alias(name))
-        extra.append(name)
-    return df.groupBy(*key).agg(*aggs).select(*key, "_row.*", *extra)
+    return rows.select(*key, *others, *([cutoff_name(early)] if early else []))
 
 
 def attempts_at_cutoff(
@@ -75,10 +106,8 @@ def attempts_at_cutoff(
     ties: str = "first",
 ) -> DataFrame:
     """Per case: attempt number reached before the cutoff, 0 if none."""
-    latest = _latest(time, attempt, ties)
-    reached = F.max_by(F.when(F.col(early), F.col(attempt)), F.when(F.col(early), latest))
-    name = f"attempt_number_{early.removeprefix('attempt_first')}"
-    return df.groupBy(*key).agg(F.coalesce(reached, F.lit(0)).cast("int").alias(name))
+    narrow = df.select(*key, _latest(df, time, attempt, ties).alias("_latest"), attempt, early)
+    return narrow.groupBy(*key).agg(_reached("_latest", early, attempt))
 
 
 def periods(df: DataFrame, entity: str, period: str) -> DataFrame:
