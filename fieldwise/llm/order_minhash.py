@@ -198,7 +198,7 @@ def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
 
 
 def _block_links(table: pa.Table) -> pa.Table:
-    """Links between members of two blocks of a bucket that are not in one class yet."""
+    """Links that join the classes of two blocks of a bucket: fewer than they have members."""
     nodes, blocks = table["node"].to_pylist(), np.array(table["block"].to_pylist())
     label = np.unique(np.array([x.hex() for x in table["label"].to_pylist()]), return_inverse=True)[1]
     sets = _sets(table["shingles"])
@@ -207,10 +207,20 @@ def _block_links(table: pa.Table) -> pa.Table:
     maybe = (shared_counts(sets) >= need) & (label[:, None] != label[None, :])
     if blocks.min() != blocks.max():  # pairs inside a block meet in a task of their own
         maybe &= blocks[:, None] != blocks[None, :]
-    found = []
+    root, found = list(range(int(label.max()) + 1)), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
     for i, j in zip(*np.nonzero(np.triu(maybe, 1))):
+        x, y = find(label[i]), find(label[j])
+        if x == y:  # joined by an earlier pair
+            continue
         likeness = alignment(sets[i], sets[j])
         if likeness >= LIKENESS:
+            root[x] = y
             found.append((nodes[i], nodes[j], likeness))
     a, b, like = zip(*found) if found else ((), (), ())
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "likeness": pa.array(like, pa.float64())})
