@@ -196,13 +196,18 @@ def group_mean_broadcast(
 def infer_strata(
     df: DataFrame, by: Sequence[str], weight: str, max_strata: int = 20, out: str = "stratum"
 ) -> DataFrame:
-    """Number strata by distinct weight when a group has few, else one stratum."""
+    """Number strata by distinct weight when a group has few, else one stratum.
+
+    Refuses NULL weights: they would be a stratum of their own and move the others up.
+    """
     few = (
         df.groupBy(*by).agg(F.count_distinct(weight).alias("_k"))
         .filter(F.col("_k") <= max_strata)
     )
     # At most max_strata rows per group from here on.
-    distinct = df.select(*by, weight).distinct().join(few, list(by))
+    distinct = stage(df.select(*by, weight).distinct().join(few, list(by)), "weights")
+    if not distinct.filter(F.col(weight).isNull()).isEmpty():
+        raise ValueError("weights must be positive numbers and strata must not be NULL")
     numbered = stage(
         distinct.select(
             *by, weight,

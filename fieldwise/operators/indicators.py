@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..specs import ModelSpec
 from ..stages import stage
 from .cells import covariate_cells, design_array, infer_strata
-from .propensity import fit_grouped, fit_models, linear_part, pair_sums, to_matrix
+from .propensity import fit_grouped, fit_models, linear_part
 
 _FORMS = "trace double, quad double, square double"
 
@@ -42,7 +42,11 @@ def _forms(centred: bool):
                 continue
             size = int(round(len(g) ** 0.5))
             cov = np.asarray(g, float).reshape(size, size)
-            m = to_matrix(s, size + 2)
+            whole = int(round((8 * len(s) + 1) ** 0.5 - 1)) // 2  # of the widest model in the table
+            m = np.zeros((whole, whole))
+            m[np.triu_indices(whole)] = s
+            m = np.maximum(m, m.T) + np.minimum(m, m.T) - np.diag(np.diag(m))
+            m = m[: size + 2, : size + 2]
             zz, a = m[2:, 2:], m[1, 2:]
             b = zz
             if centred:
@@ -81,10 +85,7 @@ def scored_cells(cells: DataFrame, fits: DataFrame, by: Sequence[str], family: s
     a group with very many cells is combined map-side.
     """
     by = list(by)
-    models = fits.select(
-        *by, "effects", F.when(F.col("complete"), F.col("sigma")).alias("sigma")
-    )
-    c = cells.join(models, by)
+    c = cells.join(fits.select(*by, "effects"), by)
     eta = linear_part(F.col("x"), F.col("effects"))
     c = c.withColumn("p", eta if family == "gaussian" else 1 / (1 + F.exp(-eta)))
     strata = c.groupBy(*by, "stratum").agg(
@@ -144,23 +145,40 @@ def var_totals(
     ])
 
 
-def r_indicator(c: DataFrame, by: Sequence[str]) -> DataFrame:
-    """R, CV, their unadjusted versions and standard errors; one row per group."""
+def covariances(fits: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Each group's covariance of the effects; NULL where the design is incomplete."""
+    return fits.select(*by, F.when(F.col("complete"), F.col("sigma")).alias("sigma"))
+
+
+def moment_columns(c: DataFrame, by: Sequence[str], value: Column, gradient: str, size: int) -> DataFrame:
+    """``sums``: sums of w v_i v_j (i <= j, by rows) of v = (1, value, gradient), one row per group.
+
+    The number of sums is fixed by the model, so they are plain columns of one aggregation.
+    """
+    parts = [F.coalesce(F.get(gradient, F.lit(i)), F.lit(0.0)) for i in range(size)]
+    entries = c.select(*by, "w", value.alias("_v1"), *[p.alias(f"_v{i + 2}") for i, p in enumerate(parts)])
+    v = [F.lit(1.0), *[F.col(f"_v{i}") for i in range(1, size + 2)]]
+    pairs = [(i, j) for i in range(size + 2) for j in range(i, size + 2)]
+    sums = entries.groupBy(*by).agg(*[F.sum(F.col("w") * v[i] * v[j]).alias(f"_m{i}_{j}") for i, j in pairs])
+    return sums.select(*by, F.array(*[F.col(f"_m{i}_{j}") for i, j in pairs]).alias("sums"))
+
+
+def r_indicator(c: DataFrame, by: Sequence[str], sigma: DataFrame, size: int) -> DataFrame:
+    """R, CV, their unadjusted versions and standard errors; one row per group.
+
+    ``sigma`` comes from ``covariances``; ``size`` is the length of the (longest) design row.
+    """
     by = list(by)
     q = F.col("p") - F.col("p_mean")
     const = [*by, "pop", "rows", "p_mean"]
     spread = c.groupBy(*const).agg(
         F.sum(F.col("w") * q * q).alias("_ss"),
-        F.first("sigma").alias("sigma"),
         F.first("constant_weights").alias("_flat"),
         F.first("n_strata").alias("n_strata"),
     )
-    vector = c.select(
-        *by, "w", F.concat(F.array(F.lit(1.0), q), F.col("z")).alias("_v")
-    )
-    sums = pair_sums(vector, by, "_v", F.col("w"))
+    sums = moment_columns(c, by, q, "z", size)
     v = var_totals(c, by, {"_vp": F.col("p"), "_vq": q * q})
-    r = spread.join(sums, by).join(v, by)
+    r = spread.join(sums, by).join(v, by).join(sigma, by)
     r = r.withColumn("f", _forms(True)("sums", "sigma", "pop"))
     n, s2 = F.col("pop"), F.try_divide("_ss", F.col("pop") - 1)
     bias = (F.col("f.trace") - F.col("_vp") / n) / n
@@ -318,33 +336,39 @@ def unconditional_partials(
 
 def conditional_partials(
     c: DataFrame, spec: ModelSpec, by: Sequence[str], variables: Sequence[str],
-    with_se: bool = True,
+    sigma: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(by variable: pc_unadj), (by category: pc_unadj, pc_unadj_se).
 
     Each cell is compared with the mean of the cells that share all *other*
     model variables; without other variables that is the grand mean.  A
     variable outside the model adds nothing beyond it: zero, with error zero.
+    The means are aggregated and joined back: no task holds a group's cells.  Standard errors
+    need ``sigma`` (``covariances``).
     """
     key = [*by, "variable"]
     size = len(spec.coordinates())
     long = _by_variable(c, variables, spec.covariates)
     w = F.col("w")
-    peers = Window.partitionBy(*key, "others")
-
     inside = F.col("variable").isin(spec.factors)
+    z = [F.get("z", F.lit(i)) for i in range(size)] if sigma is not None else []
+    means = stage(
+        long.filter(inside).groupBy(*key, "others").agg(
+            *[(F.sum(w * v) / F.sum(w)).alias(f"_mean{i}") for i, v in enumerate([F.col("p"), *z])]
+        ),
+        "peers",
+    )
+    long = long.join(means, [*key, "others"], "left")
 
-    def centre(v: Column) -> Column:
-        mean = F.sum(w * v).over(peers) / F.sum(w).over(peers)
-        return F.when(inside, v - mean).otherwise(F.lit(0.0))
+    def centre(v: Column, i: int) -> Column:
+        return F.when(inside, v - F.col(f"_mean{i}")).otherwise(F.lit(0.0))
 
     centred = stage(
         long.select(
             *key, "category", "stratum", "st_pop", "st_rows", "constant_weights", "rows",
-            "n", "w", "w2", "pop", "sigma",
-            centre(F.col("p")).alias("d"),
-            *([F.array(*[centre(F.get("z", F.lit(i))) for i in range(size)]).alias("dz")]
-              if with_se else []),
+            "n", "w", "w2", "pop",
+            centre(F.col("p"), 0).alias("d"),
+            *([F.array(*[centre(v, i + 1) for i, v in enumerate(z)]).alias("dz")] if z else []),
         ),
         "centred",
     )
@@ -354,18 +378,12 @@ def conditional_partials(
         F.sqrt(F.sum("_ss") / F.col("pop")).alias("pc_unadj")
     ).drop("pop")
     pc = F.sqrt(F.col("_ss") / F.col("pop")).alias("pc_unadj")
-    if not with_se:
+    if sigma is None:
         return by_variable, by_cat.select(*key, "category", pc)
     cat_key = [*key, "category"]
-    sums = pair_sums(
-        centred.select(
-            *cat_key, "w", F.concat(F.array(F.lit(1.0), d), F.col("dz")).alias("_v")
-        ),
-        cat_key, "_v", w,
-    )
+    sums = moment_columns(centred, cat_key, d, "dz", size)
     v = category_var_totals(centred, key, d * d)
-    sigma = centred.groupBy(*cat_key).agg(F.first("sigma").alias("sigma"))
-    r = by_cat.join(sums, cat_key).join(v, cat_key).join(sigma, cat_key)
+    r = by_cat.join(sums, cat_key).join(v, cat_key).join(sigma, list(by))
     r = r.withColumn("f", _forms(False)("sums", "sigma", "pop"))
     var = F.try_divide(
         0.25 * (4 * F.col("f.quad") + 2 * F.col("f.square") + F.col("var_total")),
@@ -426,7 +444,8 @@ def overall_indicators(
         )
         for name, (cells, spec) in models.items()
     ])
-    return r_indicator(scored_cells(stacked, fits, [*by, "model"], family), [*by, "model"])
+    key, widest = [*by, "model"], max(len(spec.coordinates()) for _, spec in models.values())
+    return r_indicator(scored_cells(stacked, fits, key, family), key, covariances(fits, key), widest)
 
 
 def cell_indicators(
@@ -438,13 +457,14 @@ def cell_indicators(
     fits = fit_grouped(cells, spec, by, family)
     ready = cells.select("*", design_array(spec).alias("x"))
     c = scored_cells(ready, fits, by, family)
-    overall = r_indicator(c, by)
+    sigma = covariances(fits, by)
+    overall = r_indicator(c, by, sigma, len(spec.coordinates()))
     if not partials:
         return Indicators(overall)
     overall = stage(overall, "indicators")
     variables = list(dict.fromkeys([*spec.factors, *other_variables]))
     pu_var, pu_cat = unconditional_partials(c, by, variables, spec.covariates, family)
-    pc_var, pc_cat = conditional_partials(c, spec, by, variables)
+    pc_var, pc_cat = conditional_partials(c, spec, by, variables, sigma)
     factor = overall.select(*by, "bias_factor", "prop_mean")
     v = pu_var.join(pc_var, [*by, "variable"]).join(factor, by)
     root = F.sqrt("bias_factor")
@@ -474,17 +494,17 @@ def cell_indicators(
 def indicator_by_group(
     df: DataFrame, spec: ModelSpec, responses: Sequence[str], by: Sequence[str],
     weight: str | None = None, stratum: str | None = None, family: str = "binomial",
-    partials: bool = False, other_variables: Sequence[str] = (),
+    partials: bool = False, other_variables: Sequence[str] = (), max_strata: int = 20,
 ) -> Indicators:
     """Representativeness of one or more responses in every group of ``df``.
 
-    Without ``stratum`` the strata are read off the weights (few distinct
-    weights: one stratum each; many: one stratum).
+    Without ``stratum`` the strata are read off the weights (up to ``max_strata``
+    distinct weights: one stratum each; more: one stratum).
     """
     if weight is None:
         df, stratum = df.withColumn("stratum", F.lit(1)), "stratum"
     elif stratum is None:
-        df, stratum = infer_strata(df, by, weight), "stratum"
+        df, stratum = infer_strata(df, by, weight, max_strata), "stratum"
     else:
         df, stratum = df.withColumn("stratum", F.col(stratum)), "stratum"
     covariates = list(dict.fromkeys([*spec.covariates, *other_variables]))

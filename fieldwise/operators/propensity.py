@@ -213,24 +213,27 @@ def prepare_cells(cells: DataFrame, spec: ModelSpec, by: Sequence[str]) -> DataF
     return cells.select(*by, "n", "w", "y", "yy", "answered", design_array(spec).alias("x"))
 
 
-def largest_groups(ready: dict[str, DataFrame], by: Sequence[str]) -> dict[str, int]:
-    """Cells in the largest group of each prepared table, in one job.
-
-    Refuses incomplete cases: they would have to be dropped from model and
-    indicator alike, which ``complete_cases`` does.
+def large_groups(
+    ready: dict[str, DataFrame], by: Sequence[str], max_cells: int
+) -> tuple[DataFrame, set[str]]:
+    """Written (name, group) of the groups with more than ``max_cells`` cells, and the names that have any.
+
+    One job for all prepared tables; at most cells / max_cells rows are left.  Refuses incomplete
+    cases: they would have to be dropped from model and indicator alike, which
+    ``complete_cases`` does.
     """
     bad = F.exists("x", lambda v: v.isNull()) | (F.col("answered") < F.col("n"))
     counts = [
-        r.groupBy(*by).agg(F.count(F.lit(1)).alias("cells"), F.count_if(bad).alias("bad"))
-        .select(F.lit(name).alias("name"), "cells", "bad")
+        r.groupBy(*by).agg(F.count(F.lit(1)).alias("_cells"), F.count_if(bad).alias("_bad"))
+        .select(F.lit(name).alias("_name"), *by, "_cells", "_bad")
         for name, r in ready.items()
     ]
-    found = reduce(DataFrame.unionByName, counts).groupBy("name").agg(
-        F.max("cells").alias("cells"), F.sum("bad").alias("bad")
-    ).collect()
-    if any(r.bad for r in found):
+    found = reduce(DataFrame.unionByName, counts).filter((F.col("_cells") > max_cells) | (F.col("_bad") > 0))
+    found = stage(found, "large-groups")
+    names = found.groupBy("_name").agg(F.max("_bad").alias("_bad"), F.max("_cells").alias("_cells")).collect()
+    if any(r._bad for r in names):
         raise ValueError("covariates and responses must be complete: use complete_cases first")
-    return {name: 0 for name in ready} | {r.name: r.cells for r in found}
+    return found, {r._name for r in names}
 
 
 def spread(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -261,9 +264,9 @@ def fit_grouped(
 ) -> DataFrame:
     """Coefficients, their covariance and fit statistics, one row per group.
 
-    ``cells`` comes from ``covariate_cells``.  The largest group decides the
+    ``cells`` comes from ``covariate_cells``.  Each group's own size decides its
     way: cells that fit in one task are solved there, otherwise each Newton
-    step is a distributed aggregation.
+    step is a distributed aggregation over the cells of such groups.
     """
     return fit_models({"": (cells, spec)}, by, family, max_cells).drop("model")
 
@@ -274,18 +277,20 @@ def fit_models(
 ) -> DataFrame:
     """Several models at once: name -> (cells, spec).  Adds the name as ``model``.
 
-    Models that fit in tasks are solved together in one job.
+    Groups that fit in tasks are solved together in one job, whatever the size of the others.
     """
     by, parts = list(by), []
     ready = {name: prepare_cells(cells, spec, by) for name, (cells, spec) in models.items()}
-    largest = largest_groups(ready, by)
+    large, names = large_groups(ready, by, max_cells)
     for name, (_, spec) in models.items():
         cells = ready[name].drop("answered")
-        if largest[name] > max_cells:
-            fits = _fit_iterative(cells, spec, by, family)
-        else:
-            fits = fit_in_tasks(cells, spec, by, family)
-        parts.append(fits.withColumn("model", F.lit(name)))
+        if name in names:
+            own = large.filter(F.col("_name") == name).select(*[F.col(b).alias(f"_l_{b}") for b in by])
+            in_large = reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(f"_l_{b}")) for b in by], F.lit(True))
+            fits = _fit_iterative(cells.join(own, in_large, "left_semi"), spec, by, family)
+            parts.append(fits.withColumn("model", F.lit(name)))
+            cells = cells.join(own, in_large, "left_anti")
+        parts.append(fit_in_tasks(cells, spec, by, family).withColumn("model", F.lit(name)))
     return stage(reduce(DataFrame.unionByName, parts), "fits")
 
 
