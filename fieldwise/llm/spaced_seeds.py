@@ -8,7 +8,9 @@ an overlap counts when it is long enough and most of its words agree.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,22 +23,33 @@ from ..stages import stage
 from .common import U64, digest, free_name, mix, own_columns, random_words, same, slices
 from .words import batch_words
 
-#: 1: the word counts; 0: it is ignored.
-MASKS = ("1111111", "11011011", "110101011", "1100110011")
+#: 1: the word counts; 0: it is ignored.  Any 13 to 25 words of which 80 % agree hold a seed of one
+#: of these (enumerated in the tests), and a longer overlap holds such a stretch.
+MASKS = ("1111111", "11011011", "110101011", "1100110011", "1111000011")
 #: Bits of the filter that spares the corpus the shuffle of hashes the benchmark cannot have.
 FILTER_BITS = 1 << 24
 #: Least words of an overlap, least share of them that agree, and words kept around a hit.
 OVERLAP, AGREE, REACH = 13, 0.8, 48
 _STEP = U64(0xD6E8FEB86659FD93)
-_SALT = random_words(len(MASKS), 5)
+_SALT = random_words(1, 5)
 
 
-def seed_hashes(words: np.ndarray) -> list[np.ndarray]:
+def whole_masks(size: int) -> list[str]:
+    """Masks over a whole item of ``size`` words, below OVERLAP: one for every choice of words that may differ.
+
+    An overlap begins and ends with agreeing words, so only inner words are left out.
+    """
+    left_out = size - math.ceil(AGREE * size - 1e-9)
+    inner = itertools.combinations(range(1, size - 1), left_out)
+    return ["".join("0" if i in gone else "1" for i in range(size)) for gone in inner]
+
+
+def seed_hashes(words: np.ndarray, masks: Sequence[str] = MASKS) -> list[np.ndarray]:
     """Per mask, the hash of the seed that begins at each word."""
     out = []
-    for salt, mask in zip(_SALT, MASKS):
+    for mask in masks:
         n = max(0, len(words) - len(mask) + 1)
-        h = np.full(n, salt, U64)
+        h = np.full(n, mix(_SALT ^ U64(int("1" + mask, 2)))[0], U64)
         for i, bit in enumerate(mask):
             if bit == "1":
                 h = h * _STEP + words[i : i + n]
@@ -50,7 +63,9 @@ def _benchmark_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             words = batch_words(piece.column(1))
             seeds = [], []
             for d in range(piece.num_rows):
-                found = [(p, h) for hashes in seed_hashes(words.of(d)) for p, h in enumerate(hashes.view(np.int64).tolist())]
+                own = words.of(d)
+                masks = [*MASKS, *(whole_masks(len(own)) if 0 < len(own) < OVERLAP else [])]
+                found = [(p, h) for hashes in seed_hashes(own, masks) for p, h in enumerate(hashes.view(np.int64).tolist())]
                 for out, x in zip(seeds, zip(*found) if found else ((), ())):
                     out.append(list(x))
             yield pa.RecordBatch.from_arrays(
@@ -94,7 +109,7 @@ def seed_filter(seeds: DataFrame) -> SeedFilter:
 _SEGMENTS = "row long, doc_id long, node binary, segment int, begin int, words array<long>, places array<int>, seeds array<long>"
 
 
-def _corpus_segments(filter_):
+def _corpus_segments(filter_, masks: Sequence[str]):
     """Stretches of text around words where seeds pass the filter, with those seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +119,7 @@ def _corpus_segments(filter_):
             for piece in slices(batch):
                 words = batch_words(piece.column(1))
                 found = []
-                for hashes, mask in zip(seed_hashes(words.hashes), MASKS):
+                for hashes, mask in zip(seed_hashes(words.hashes, masks), masks):
                     at = np.flatnonzero(seen.has(hashes))
                     doc = np.searchsorted(words.first, at, "right") - 1
                     inside = at + len(mask) <= words.first[doc + 1]  # no seed runs into the next text
@@ -186,8 +201,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     One row per row of ``docs``, item and place: doc_id, node (digest of the text), item_id,
     first_word, n_words, agreeing.  An overlap has at least OVERLAP words (the whole item, if
-    that is shorter), AGREE of which agree.  Items shorter than the shortest mask are not
-    found.  NULL texts have no overlap; repeated rows and repeated items are reported each.
+    that is shorter), AGREE of which agree.  Items of fewer than OVERLAP words are found by masks
+    over the whole item, which the corpus is hashed with only where the benchmark has items of
+    that length.  NULL texts and items without a word have no overlap; repeated rows and
+    repeated items are reported each.
 
     Only stretches of word hashes around places that pass the benchmark's seed filter are
     written; texts do not travel.  A passage that very many documents share adds rows, not
@@ -201,8 +218,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "item", F.col("s.places").alias("item_place"), F.col("s.seeds").alias("seed")
     ).distinct()
     filter_ = spark.sparkContext.broadcast(seed_filter(places))
+    short = items.select(F.size("item_words").alias("n")).filter((F.col("n") > 0) & (F.col("n") < OVERLAP)).distinct()
+    masks = [*MASKS, *(m for r in short.collect() for m in whole_masks(r.n))]  # at most OVERLAP - 1 lengths
     rows = docs.select("doc_id", "text", digest().alias("node"))
-    segments = stage(rows.mapInArrow(_corpus_segments(filter_), _SEGMENTS), "segments")
+    segments = stage(rows.mapInArrow(_corpus_segments(filter_, masks), _SEGMENTS), "segments")
     hits = segments.select("row", "segment", F.explode(F.arrays_zip("places", "seeds")).alias("s"))
     hits = hits.select("row", "segment", F.col("s.places").alias("place"), F.col("s.seeds").alias("seed"))
     met = hits.join(places, "seed").select(

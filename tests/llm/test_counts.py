@@ -1,6 +1,7 @@
 """Exact dedup, pivot clusters and stripes against brute force."""
 
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter, defaultdict
@@ -252,3 +253,46 @@ def test_components(spark, in_task):
     assert set(got) == {name(x) for x in group}
     assert all((got[name(x)] == got[name(y)]) == (y in group[x]) for x in group for y in group)
     assert components(frame.limit(0), in_task).collect() == []
+
+
+def test_every_accepted_overlap_has_a_seed():
+    """All places of differing words: items of 1 to 12 words whole, stretches of 13 to 20 words."""
+    for n in range(1, 21):
+        masks = spaced_seeds.MASKS if n >= spaced_seeds.OVERLAP else spaced_seeds.whole_masks(n)
+        differ = n - math.ceil(0.8 * n - 1e-9)
+        kept = [np.array([c == "1" for c in m]) for m in masks]
+        places = range(n) if n >= spaced_seeds.OVERLAP else range(1, n - 1)
+        for k in range(differ + 1):
+            for gone in itertools.combinations(places, k):
+                agree = np.ones(n, bool)
+                agree[list(gone)] = False
+                assert any(agree[s : s + len(m)][m].all() for m in kept for s in range(n - len(m) + 1)), (n, gone)
+
+
+def test_short_items_and_whole_documents_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(words, int(rng.integers(1, 20))))) for i in range(40)] + [(98, ""), (99, None)]
+    docs = []
+    for d in range(150):
+        text = list(rng.choice(words, int(rng.integers(0, 80))))
+        item = items[int(rng.integers(40))][1].split()
+        if rng.random() < 0.8:
+            for p in rng.choice(len(item), int(rng.integers(0, 1 + len(item) // 5)), replace=False):
+                item[p] = "other"
+            at = int(rng.integers(0, len(text) + 1))
+            text[at:at] = item
+        docs.append((d, " ".join(text)))
+    want = set()
+    for d, text in docs:
+        a = text.split()
+        for i, item in items[:40]:
+            b = item.split()
+            for diagonal in range(-len(b), len(a)):
+                lo, hi = max(0, diagonal), min(len(a), diagonal + len(b))
+                agree = np.array([a[p] == b[p - diagonal] for p in range(lo, hi)], bool)
+                for first, size, n in spaced_seeds.all_overlaps(agree, min(spaced_seeds.OVERLAP, len(b))):
+                    want.add((d, i, lo + first, size, n))
+    got = spaced_seeds.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 80
