@@ -301,26 +301,6 @@ def linear_part(x: Column, effects: Column) -> Column:
     )
 
 
-def pair_sums(df: DataFrame, by: Sequence[str], vector: str, weight: Column) -> DataFrame:
-    """Sums of weight * v_i * v_j (i <= j) of an array column, as one list per group.
-
-    Zero entries are skipped, and the sums are combined map-side, so what moves
-    is at most one row per (group, i, j) and task.
-    """
-    tagged = F.transform(vector, lambda v, i: F.struct(i.alias("i"), v.alias("v")))
-    entries = df.select(*by, weight.alias("_w"), F.filter(tagged, lambda e: e.v != 0).alias("_u"))
-    pairs = F.flatten(F.transform("_u", lambda a: F.transform(
-        F.filter("_u", lambda b: b.i >= a.i),
-        lambda b: F.struct(a.i.alias("i"), b.i.alias("j"), (a.v * b.v).alias("v")),
-    )))
-    sums = (
-        entries.select(*by, "_w", F.explode(pairs).alias("_p"))
-        .groupBy(*by, F.col("_p.i").alias("i"), F.col("_p.j").alias("j"))
-        .agg(F.sum(F.col("_w") * F.col("_p.v")).alias("v"))
-    )
-    return sums.groupBy(*by).agg(F.collect_list(F.struct("i", "j", "v")).alias("sums"))
-
-
 def pair_columns(size: int, vector: str, weight: str) -> list[Column]:
     """Aggregates ``_s<i>_<j>`` = sum of weight * v_i * v_j (i <= j) of an array of known length."""
     w = F.col(weight)

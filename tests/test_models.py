@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import rowwise
 from conftest import rows
 from fieldwise.operators import propensity as P
-from fieldwise.operators.cells import covariate_cells
+from fieldwise.operators.cells import covariate_cells, infer_strata
 from fieldwise.specs import Levels, ModelSpec
 
 A = Levels("a", ("a0", "a1"))
@@ -198,3 +198,31 @@ def test_bad_weights_and_strata_are_refused(spark, bad):
         covariate_cells(spark.createDataFrame([("g", "a0", 1, 1, 1.0), ("g", "a0", 1, 0, bad)], kind), ["g"], ["a"], ["y"], "w")
     with pytest.raises(ValueError):
         covariate_cells(spark.createDataFrame([("g", "a0", None, 1, 1.0)], kind), ["g"], ["a"], ["y"], "w", "s")
+
+
+def test_one_large_group_leaves_the_small_ones_in_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    data = [("big", x / 40, float(rng.random() < 0.5)) for x in range(200)]
+    data += [(f"s{g}", x / 3, float((x * g + x) % 3 == 0)) for g in range(12) for x in range(9)]
+    df = spark.createDataFrame(data, "g string, x double, y double")
+    spec = ModelSpec((), numeric=("x",))
+    cells = covariate_cells(df, ["g"], ["x"], ["y"])
+    slow, whole = [], P._fit_iterative
+
+    def watched(ready, *rest):
+        slow.append({r.g for r in ready.select("g").distinct().collect()})
+        return whole(ready, *rest)
+
+    monkeypatch.setattr(P, "_fit_iterative", watched)
+    mixed = {r.g: r for r in P.fit_grouped(cells, spec, ["g"], "gaussian", 50).collect()}
+    assert slow == [{"big"}]
+    plain = {r.g: r for r in P.fit_grouped(cells, spec, ["g"], "gaussian").collect()}
+    assert slow == [{"big"}] and set(mixed) == set(plain)
+    for g in plain:
+        assert [round(e, 9) for e in mixed[g].effects] == [round(e, 9) for e in plain[g].effects]
+
+
+def test_null_weights_are_refused(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 2.0)], "g string, w double")
+    with pytest.raises(ValueError, match="weights"):
+        infer_strata(df, ["g"], "w")
