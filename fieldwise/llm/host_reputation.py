@@ -16,6 +16,11 @@ from ..stages import stage
 from .shrink import lower_bound, posteriors
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Registries that give out names under a second label.
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp",
+    "co.nz", "co.in", "co.kr", "co.za", "com.br", "com.cn", "com.mx", "com.tr",
+)
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts so.
 Rule = tuple[str, str, str]
 
@@ -31,12 +36,26 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def site_of(host: Column) -> Column:
+    """What the hierarchy knows a host by: without user, port and closing dot."""
+    bare = F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*$", "")
+    return F.regexp_replace(bare, r"\.$", "")
+
+
+def is_address(site: Column) -> Column:
+    """Numbers of an IPv4 address, or an IPv6 address in brackets."""
+    return site.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") | site.startswith("[")
+
+
 def suffix_of(host: Column, suffixes: Sequence[str] = ()) -> Column:
-    """The longest listed suffix of several labels that fits, else the last label."""
+    """The longest listed suffix of several labels that fits, else the last label.
+
+    An address has no suffix above it: it is its own.
+    """
     out = F.element_at(F.split(host, r"\."), -1)
     for s in sorted(suffixes, key=len):
         out = F.when((host == s) | host.endswith("." + s), F.lit(s)).otherwise(out)
-    return out
+    return F.when(is_address(host), host).otherwise(out)
 
 
 def domain_of(host: Column, suffix: Column) -> Column:
@@ -61,34 +80,36 @@ def judge(
     rules: Sequence[Rule],
     limit: float = 0.5,
     z: float = 1.645,
-    suffixes: Sequence[str] = (),
+    suffixes: Sequence[str] = SUFFIXES,
 ) -> DataFrame:
     """One row per row of ``pages`` (page_id, url): host, path, rule, verdict.
 
     ``outcomes`` (url, bad 0/1) are the labelled pages; NULLs in ``bad`` do not count.  A url
     that is NULL or has no host is allowed unless a rule fits; without any outcome all hosts
-    are allowed.  Hosts without outcomes stand on their domain, domains on their suffix.
+    are allowed.  Hosts without outcomes stand on their domain, domains on their suffix.  User
+    and port are no part of a host's reputation, and an address shares it with nobody.
     A host with very many pages is counted before it is shuffled, and pages meet their host's
     one row in a join that Spark may broadcast or split.
     """
     host = host_of(F.col("url"))
-    seen = pages.select(host.alias("host"), F.lit(0).alias("n"), F.lit(0).alias("k"))
+    site = site_of(host).alias("site")
+    seen = pages.select(site, F.lit(0).alias("n"), F.lit(0).alias("k"))
     told = outcomes.filter("bad is not null").select(
-        host.alias("host"), F.lit(1).alias("n"), F.col("bad").cast("int").alias("k")
+        site, F.lit(1).alias("n"), F.col("bad").cast("int").alias("k")
     )
-    counts = seen.unionByName(told).groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    suffix = suffix_of(F.col("host"), suffixes)
+    counts = seen.unionByName(told).groupBy("site").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    suffix = suffix_of(F.col("site"), suffixes)
     counts = counts.withColumn("suffix", suffix)
-    counts = counts.withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
-    reputation = posteriors(stage(counts, "host-counts"), ["suffix", "domain", "host"])
+    counts = counts.withColumn("domain", domain_of(F.col("site"), F.col("suffix")))
+    reputation = posteriors(stage(counts, "host-counts"), ["suffix", "domain", "site"])
     blocked = stage(
-        reputation.filter((lower_bound(z) > limit) & (F.col("host") != "")).select(
-            F.col("host").alias("bad_host")
+        reputation.filter((lower_bound(z) > limit) & (F.col("site") != "")).select(
+            F.col("site").alias("bad_site")
         ),
-        "bad-hosts",
+        "bad-sites",
     )
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
     rows = pages.select("page_id", host.alias("host"), path_of(F.col("url")).alias("path"))
-    rows = rows.join(blocked, F.col("host") == F.col("bad_host"), "left")
-    by_method = F.when(F.col("bad_host").isNull(), F.lit("allow")).otherwise(F.lit("block"))
+    rows = rows.join(blocked, site_of(F.col("host")) == F.col("bad_site"), "left")
+    by_method = F.when(F.col("bad_site").isNull(), F.lit("allow")).otherwise(F.lit("block"))
     return rows.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"))
