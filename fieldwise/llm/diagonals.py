@@ -9,6 +9,8 @@ runs must be met, within a span about as long as the template.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..stages import stage
 from .common import slices
 from .words import batch_words, grams, word_hash
 
@@ -39,18 +42,26 @@ TEMPLATES = {
 }
 #: Share of a template's runs that a span must meet, and how far diagonals may drift apart.
 SHARE, DRIFT = 0.7, 2
+#: Places of a template in one long of its set of places.
+BITS = 63
 
 
 def template_grams(spark: SparkSession, base: Mapping[str, str], templates: Mapping[str, str]) -> DataFrame:
-    """(gram, template, label, literal, place, runs) of all templates: as many rows as they have words."""
+    """(gram, template, label, literal, place, runs, block, bit): as many rows as the templates have words.
+
+    ``bit`` marks the place in the ``block``-th long of a template's set of places.
+    """
     rows = []
     for literal, phrases in ((True, base), (False, templates)):
         for phrase, label in phrases.items():
             hashes = grams(word_hash(phrase.split()), K).view(np.int64).tolist()
             if not hashes:
                 raise ValueError(f"a template needs {K} words: {phrase!r}")
-            rows += [(h, phrase, label, literal, p, len(hashes)) for p, h in enumerate(hashes)]
-    kind = "gram long, template string, label string, literal boolean, place int, runs int"
+            rows += [
+                (h, phrase, label, literal, p, len(hashes), p // BITS, 1 << p % BITS)
+                for p, h in enumerate(hashes)
+            ]
+    kind = "gram long, template string, label string, literal boolean, place int, runs int, block int, bit long"
     return spark.createDataFrame(rows, kind)
 
 
@@ -84,10 +95,12 @@ def spans(docs: DataFrame, base: Mapping[str, str], templates: Mapping[str, str]
 
     Columns row, doc_id, n_words, label, literal, first, last (words of the span), share (of the
     template's runs that were met).  Every text has one row with NULL label besides its spans.
-    The templates are given by the caller, a row per word, and are broadcast for that reason;
-    only hits are shuffled, and first counted where they are found.
+    A place of a template counts once in a span, however often its words are repeated there.
+    Only hits are shuffled, and first counted where they are found.
     """
-    known = F.broadcast(template_grams(docs.sparkSession, base, templates))
+    known = stage(template_grams(docs.sparkSession, base, templates), "templates")
+    blocks = range(max(len(t.split()) for t in (*base, *templates)) // BITS + 1)
+    places = {f"places{j}": F.bit_or(F.when(F.col("block") == j, F.col("bit"))) for j in blocks}
     rows = docs.select("doc_id", "text").mapInArrow(
         _corpus_grams, "row long, doc_id long, n_words long, at int, gram long"
     )
@@ -97,6 +110,7 @@ def spans(docs: DataFrame, base: Mapping[str, str], templates: Mapping[str, str]
         (F.col("at") - F.col("place")).alias("diagonal"),
     ).agg(
         F.min("at").alias("first"), F.max("at").alias("last"), F.count("template").alias("votes"),
+        *[p.alias(name) for name, p in places.items()],
     )
     # literal phrases stand on one diagonal; others join diagonals at most DRIFT apart
     order = Window.partitionBy("row", "template").orderBy("diagonal")
@@ -104,10 +118,12 @@ def spans(docs: DataFrame, base: Mapping[str, str], templates: Mapping[str, str]
     votes = votes.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int"))
     votes = votes.withColumn("group", F.sum("fresh").over(order))
     merged = votes.groupBy("row", "doc_id", "n_words", "template", "label", "literal", "runs", "group").agg(
-        F.min("first").alias("first"), (F.max("last") + K - 1).alias("last"), F.sum("votes").alias("votes"), F.max("votes").alias("best"),
+        F.min("first").alias("first"), (F.max("last") + K - 1).alias("last"), F.max("votes").alias("best"),
+        *[F.bit_or(name).alias(name) for name in places],
     )
-    share = F.least(F.col("votes") / F.col("runs"), F.lit(1.0))
-    fits = F.when(F.col("literal"), F.col("votes") == F.col("runs")).otherwise(
+    met_places = reduce(add, [F.coalesce(F.bit_count(name), F.lit(0)) for name in places])
+    share = met_places / F.col("runs")
+    fits = F.when(F.col("literal"), F.col("best") == F.col("runs")).otherwise(
         (F.col("best") >= SHARE * F.col("runs"))
         | (share >= SHARE) & (F.col("last") - F.col("first") + 1 <= F.col("runs") + K - 1 + 2 * DRIFT)
     )
