@@ -2,8 +2,8 @@
 
 Every language has a codeword; each bit has a binary classifier on hashed byte n-grams of the
 lower-cased text (log ratio of the two sides' n-gram rates).  Decoding sums the bits' logistic
-losses, weighted by how reliable each bit was on training rows, and takes the codeword with
-the smallest loss; a runner-up close behind makes the answer ambiguous.
+losses, weighted by how reliable each bit was on training rows left out of its fit, and takes
+the codeword with the smallest loss; a runner-up close behind makes the answer ambiguous.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import itertools
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,10 @@ ROWS = 256
 SURE_GRAMS = 60
 #: Bits of the codes when there are too many languages for all dichotomies.
 LONG_CODE = 63
+#: Rows left out from which on they tell how reliable a bit is.
+JUDGED_ROWS = 30
+#: More languages than this are refused: two sums of FEATURES each go to the driver.
+MAX_LANGUAGES = 1_000
 UND = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _KEEP = np.arange(256, dtype=np.int64)
@@ -87,6 +91,7 @@ class LanguageModel:
     code: np.ndarray  # languages x bits
     weights: np.ndarray  # FEATURES x bits
     trust: np.ndarray  # of each bit
+    sure: np.ndarray  # largest margin of each bit: it is no surer than its rows left out allow
     close: float  # the runner-up's share of the winner's probability that makes it ambiguous
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
@@ -97,7 +102,7 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, score, ambiguous) of each text; und, 0.0, False without a letter."""
         known = [bool(t) and bool(_LETTER.search(t)) and bool(self.languages) for t in texts]
-        m = self.margins(texts)
+        m = np.clip(self.margins(texts), -self.sure, self.sure)
         out = []
         for i, ok in enumerate(known):
             if not ok:
@@ -125,55 +130,68 @@ def _blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
 
 
 def _count_languages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[str, np.ndarray] = {}
+    total: dict[tuple[str, bool], np.ndarray] = {}
     for batch in batches:
         for piece in slices(batch):
-            texts, langs = piece.column(0).to_pylist(), piece.column(1).to_pylist()
-            by: dict[str, list] = {}
-            for t, lang in zip(texts, langs):
-                by.setdefault(lang, []).append(t)
-            for lang, own in by.items():
-                sums = total.setdefault(lang, np.zeros(FEATURES))
+            texts = piece.column(0).to_pylist()
+            by: dict[tuple[str, bool], list] = {}
+            for t, key in zip(texts, zip(piece.column(1).to_pylist(), piece.column(2).to_pylist())):
+                by.setdefault(key, []).append(t)
+            for key, own in by.items():
+                sums = total.setdefault(key, np.zeros(FEATURES))
                 for block in _blocks(own):
                     sums += gram_counts(block).sum(axis=0)
-    for lang, sums in total.items():
+    for (lang, judges), sums in total.items():
         hit = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(hit), pa.string()), pa.array(hit, pa.int32()), pa.array(sums[hit], pa.float64())],
-            ["lang", "feature", "n"],
+            [pa.array([lang] * len(hit), pa.string()), pa.array([judges] * len(hit), pa.bool_()),
+             pa.array(hit, pa.int32()), pa.array(sums[hit], pa.float64())],
+            ["lang", "judges", "feature", "n"],
         )
 
 
+def _bit_weights(sums: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Log ratio of the n-gram rates on both sides of every bit, from languages x FEATURES sums."""
+    rates = (sums + 0.5) / (sums.sum(axis=1, keepdims=True) + 0.5 * FEATURES)
+    weights = np.zeros((FEATURES, code.shape[1]), np.float32)
+    for b in range(code.shape[1]):
+        side = code[:, b] == 1
+        weights[:, b] = np.log(rates[side].mean(axis=0) / rates[~side].mean(axis=0))
+    return weights
+
+
 def fit(train: DataFrame, close: float = 0.8, judged: float = 0.2) -> LanguageModel:
     """Fit on all rows of ``train`` (doc_id, text, lang) whose lang is not NULL.
 
-    Tasks add up n-grams per language before anything is shuffled; the driver gets
-    languages x FEATURES sums.  The bits' reliability is counted on a share ``judged`` of the
-    training rows, picked by a hash of doc_id.
+    Tasks add up n-grams per language before anything is shuffled; the driver gets two sums per
+    language and feature, so more than MAX_LANGUAGES languages are refused.  The bits'
+    reliability is counted on a share ``judged`` of the training rows, picked by a hash of
+    doc_id, with weights fitted on the others; the weights that are kept come from all.  A bit
+    is as sure, at most, as its error rate there (two standard errors added) allows; with fewer
+    than JUDGED_ROWS rows to judge by, all bits count alike.
     """
-    rows = train.filter("lang is not null").select("text", "lang", "doc_id")
-    parts = rows.select("text", "lang").mapInArrow(_count_languages, "lang string, feature int, n double")
-    sums: dict[str, np.ndarray] = {}
-    for r in parts.groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect():
-        sums.setdefault(r.lang, np.zeros(FEATURES))[r.feature] = r.n
-    for r in rows.select("lang").distinct().collect():  # languages whose texts are all empty
-        sums.setdefault(r.lang, np.zeros(FEATURES))
-    languages = sorted(sums)
+    judges = F.pmod(F.xxhash64("doc_id"), F.lit(1000)) < int(judged * 1000)
+    rows = train.filter("lang is not null").select("text", "lang", judges.alias("judges"))
+    languages = sorted(r.lang for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    number = {k: i for i, k in enumerate(languages)}
+    parts = rows.mapInArrow(_count_languages, "lang string, judges boolean, feature int, n double")
+    sums = np.zeros((2, len(languages), FEATURES))
+    for r in parts.groupBy("lang", "judges", "feature").agg(F.sum("n").alias("n")).collect():
+        sums[int(r.judges), number[r.lang], r.feature] = r.n
     code = codewords(len(languages))
-    rates = np.array([(sums[k] + 0.5) / (sums[k].sum() + 0.5 * FEATURES) for k in languages])
-    rates = rates.reshape(len(languages), FEATURES)
-    weights = np.zeros((FEATURES, code.shape[1]), np.float32)
-    for b in range(code.shape[1]):
-        side = code[:, b] == 1
-        weights[:, b] = np.log(rates[side].mean(axis=0) / rates[~side].mean(axis=0))
-    model = LanguageModel(languages, code, weights, np.ones(code.shape[1]), close)
+    trust, sure = np.ones(code.shape[1]), np.full(code.shape[1], np.inf)
+    model = LanguageModel(languages, code, _bit_weights(sums.sum(axis=0), code), trust, sure, close)
     if code.shape[1]:
-        some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1000)) < int(judged * 1000))
-        counts = some.select("text", "lang").mapInArrow(_bit_errors(model), "bit int, wrong long, n long")
+        apart = replace(model, weights=_bit_weights(sums[0], code))
+        counts = rows.filter("judges").select("text", "lang").mapInArrow(_bit_errors(apart), "bit int, wrong long, n long")
         for r in counts.groupBy("bit").agg(F.sum("wrong").alias("w"), F.sum("n").alias("n")).collect():
             error = (r.w + 0.5) / (r.n + 1)
-            model.trust[r.bit] = max(0.05, math.log((1 - error) / error))
-        model.trust /= model.trust.mean()
+            error = min(0.5, error + 2 * math.sqrt(error * (1 - error) / (r.n + 1)))
+            if r.n >= JUDGED_ROWS:
+                trust[r.bit] = sure[r.bit] = math.log((1 - error) / error)
+        trust[:] = trust / trust.mean() if trust.any() else 1
     return model
 
 
