@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -357,7 +358,89 @@ def test_bad_hosts_are_blocked_and_sparse_ones_lean_on_their_domain(spark):
     assert "h4.d0.com" in blocked and "new.d0.com" in blocked  # unseen hosts of a bad domain
 
 
+def test_ports_users_and_addresses_are_no_suffixes(spark):
+    outcomes = [(f"http://h{i}.bad.com:8080/x", 1) for i in range(6) for _ in range(30)]
+    outcomes += [(f"http://10.0.0.{i}/", 1) for i in range(6) for _ in range(30)]
+    outcomes += [(f"http://ok{i}.org/", 0) for i in range(40) for _ in range(30)]
+    outcomes += [(f"http://s{i}.fine.co.uk/", 0) for i in range(6) for _ in range(30)]
+    outcomes += [(f"http://s{i}.foul.co.uk/", 1) for i in range(6) for _ in range(30)]
+    urls = {
+        "http://new.bad.com/": True, "http://u:p@h1.bad.com:1/": True, "http://h1.bad.com./": True,
+        "http://10.0.0.1:99/": True, "http://shop.other.org:8080/": False, "http://99.99.0.1/": False,
+        "http://[::1]:8080/": False, "http://new.fine.co.uk": False, "http://new.foul.co.uk": True,
+    }
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = host_reputation.judge(pages, spark.createDataFrame(outcomes, "url string, bad int"), []).collect()
+    for r in got:
+        url = list(urls)[r.page_id]
+        assert (r.verdict == "block") == urls[url], url
+        assert r.host == re.match("http://([^/]*)", url)[1]
+
+
+def test_posteriors_against_plain_arithmetic(spark):
+    from fieldwise.llm.shrink import RHO, posteriors
+
+    rng = np.random.default_rng(2)
+    rows = [
+        (f"s{d % 3}", f"d{d}", f"h{h}.d{d}", int(n), int(rng.binomial(n, 0.1 + 0.05 * (d % 7))))
+        for d in range(20) for h in range(4) for n in [rng.integers(0, 30)]
+    ]
+    levels = ["suffix", "domain", "host"]
+    got = {r.host: (r.a, r.b) for r in posteriors(
+        spark.createDataFrame(rows, "suffix string, domain string, host string, n long, k long"), levels
+    ).collect()}
+    all_n, all_k = sum(r[3] for r in rows), sum(r[4] for r in rows)
+    parent = {(): (all_k + 0.5) / (all_n + 1)}
+    for i in range(1, 4):
+        sums = {}
+        for r in rows:
+            n, k = sums.get(r[:i], (0, 0))
+            sums[r[:i]] = n + r[3], k + r[4]
+        spread = {c: parent[c[:-1]] * (1 - parent[c[:-1]]) for c in sums}
+        seen = [c for c in sums if sums[c][0]]
+        s = sum(sums[c][0] * (sums[c][1] / sums[c][0] - parent[c[:-1]]) ** 2 for c in seen)
+        more = sum(spread[c] * (sums[c][0] - 1) for c in seen)
+        rho = min(max((s - sum(spread[c] for c in seen)) / more, RHO[0]), RHO[1])
+        m = 1 / rho - 1
+        ab = {c: (m * parent[c[:-1]] + k, m * (1 - parent[c[:-1]]) + n - k) for c, (n, k) in sums.items()}
+        parent = {c: a / (a + b) for c, (a, b) in ab.items()}
+    assert len(got) == len(ab)
+    for c, want in ab.items():
+        assert got[c[-1]] == pytest.approx(want)
+
+
 # 5 language
+def test_bits_are_weighted_by_rows_left_out_and_twins_are_ambiguous(spark):
+    rng = np.random.default_rng(3)
+    same, other = (["".join(rng.choice(list(s), 4)) for _ in range(40)] for s in ("abcdefgh", "opqrstuv"))
+    rows = [
+        (i, " ".join(rng.choice(other if i % 3 == 2 else same, 30)), "abc"[i % 3]) for i in range(600)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = output_codes.fit(docs)
+    assert model.languages == ["a", "b", "c"]
+    alone = {tuple(model.code[:, b]): model.trust[b] for b in range(model.code.shape[1])}
+    assert alone[1, 1, -1] > 2 * max(alone[1, -1, 1], alone[1, -1, -1])  # only c can be told
+    assert [p[2] for p in model.predict([rows[2][1]])] == [False]
+    assert sum(p[2] for p in model.predict([t for _, t, k in rows if k != "c"])) > 100
+    # decoding, spelled out
+    texts = [t for _, t, _ in rows[:20]]
+    inside = np.clip(model.margins(texts), -model.sure, model.sure)
+    for m, (lang, score, _) in zip(inside, model.predict(texts)):
+        loss = [
+            sum(t * math.log1p(math.exp(-c * x)) for c, x, t in zip(word, m, model.trust)) for word in model.code
+        ]
+        assert lang == model.languages[int(np.argmin(loss))]
+        assert score == pytest.approx(1 / sum(math.exp(min(loss) - x) for x in loss))
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(output_codes, "MAX_LANGUAGES", 2)
+    docs = spark.createDataFrame([(i, "text", f"l{i}") for i in range(3)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 2"):
+        output_codes.fit(docs)
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = output_codes.identify(docs, docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -544,6 +627,17 @@ def test_changed_wording_is_found_on_neighbouring_diagonals(spark):
     assert got == {1: "mit", 2: ""}
 
 
+def test_a_place_of_a_template_votes_once(spark):
+    long = " ".join(f"w{i}" for i in range(150))
+    texts = ["to the to the to the", long, " ".join(f"w{i}" for i in range(100)), long.replace("w70 ", "")]
+    source = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in diagonals.scan(source).collect()}
+    assert got[0][0] == "" and got[0][1] == 0
+    spelled = diagonals.scan(source, {}, {long: "long"}).collect()
+    assert {r.doc_id: r.labels for r in spelled} == {0: "", 1: "long", 2: "", 3: "long"}
+    assert {r.doc_id: r.score for r in spelled if r.labels} == {1: 1.0, 3: pytest.approx(147 / 149)}
+
+
 # 10 BPE
 def test_bpe_is_that_of_the_library(docs, odd):
     import tiktoken
