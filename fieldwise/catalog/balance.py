@@ -34,6 +34,24 @@ def one_factor(spark, d):
     return rounded(overall(spark, d, ModelSpec((PRIO,))), ["cntry_round", "n_obs"], IND)
 
 
+ALIASED_SQL = ONE_SQL.replace(
+    f"SELECT cntry_round, {sql.indicator_columns()} FROM o_ind",
+    "SELECT cntry_round, CAST(rows AS BIGINT) AS n_obs, round(prop_mean, 6) AS prop_mean, "
+    "round(1 - 2 * sqrt(s2), 6) AS r_unadj, round(sqrt(s2) / prop_mean, 6) AS cv_unadj, "
+    + ", ".join(f"CAST(NULL AS DOUBLE) AS {x}" for x in ("r", "r_se", "bias_factor", "cv", "cv_se"))
+    + " FROM o_ind",
+)
+
+
+@query("aliased_indicator", ALIASED_SQL)
+def aliased(spark, d):
+    """A design with a variable twice: fitted as with one of them, nothing adjusted."""
+    twin = Levels("twin", tuple(f"as {v}" for v in PRIO.values))
+    c = cases(spark, d).withColumn("twin", F.concat(F.lit("as "), "prio"))
+    i = indicator_by_group(c, ModelSpec((PRIO, twin)), ["interview"], ["cntry_round"])
+    return rounded(i.overall, ["cntry_round", "n_obs"], IND)
+
+
 INTER_SQL = f"""WITH {sql.CASES},
 oc AS (SELECT cntry_round, seg || site AS category, CAST(count(*) AS DOUBLE) AS n,
   CAST(sum(CAST(interview AS INTEGER)) AS DOUBLE) AS y FROM cases GROUP BY ALL),

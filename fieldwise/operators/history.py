@@ -12,6 +12,9 @@ from ..constants import INTERVIEW_LABELS
 from ..sources.contacts import literal_table
 
 
+YEAR_RULE = "round int, entity string, month_lt int, years int"
+
+
 def group_widths(df: DataFrame, prefix: str) -> list[int]:
     """Numbers i for which the form has a column ``prefix<i>``."""
     found = [re.fullmatch(re.escape(prefix) + r"(\d+)", c) for c in df.columns]
@@ -91,25 +94,39 @@ def attempts_wide(
     long: DataFrame, key: Sequence[str], values: Mapping[str, str], width: int,
     attempt: str = "attempt",
 ) -> DataFrame:
-    """First ``width`` attempts as repeated column groups, one row per case."""
-    return long.groupBy(*key).agg(*[
-        F.max(F.when(F.col(attempt) == i, F.col(col))).alias(f"{prefix}{i}")
-        for prefix, col in values.items() for i in range(1, width + 1)
+    """First ``width`` attempts as repeated column groups, one row per case.
+
+    Attempts are folded into one map per case (number to values), so the aggregates do not grow
+    with the longest case, and a case holds ``width`` entries at most.  Where a case has a
+    number more than once, the largest value of each column counts.
+    """
+    number = F.when(F.col(attempt).between(1, width), F.col(attempt)).alias("_i")
+    fields = [f"_v{j}" for j in range(len(values))]
+    numbered = long.groupBy(*key, number).agg(*[
+        F.max(c).alias(f) for f, c in zip(fields, values.values())
+    ])
+    entry = F.when(F.col("_i").isNotNull(), F.struct("_i", F.struct(*fields)))
+    folded = numbered.groupBy(*key).agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))
+    kind = long.schema[attempt].dataType
+    return folded.select(*key, *[
+        F.try_element_at("_m", F.lit(i).cast(kind))[f].alias(f"{prefix}{i}")
+        for f, prefix in zip(fields, values) for i in range(1, width + 1)
     ])
 
 
 def apply_fieldwork_year(
-    df: DataFrame, rules: Sequence[tuple], time: str = "time",
+    df: DataFrame, rules: DataFrame | Sequence[tuple], time: str = "time",
     round_col: str = "round", entity: str = "cntry",
 ) -> DataFrame:
     """Move attempt dates to the year the fieldwork really took place.
 
-    ``rules`` rows are (round, entity, month_lt or None, years), one per pair.
+    ``rules`` rows are (round, entity, month_lt or None, years), one per pair, as a DataFrame
+    or as tuples; they are joined by their size.
     29 February moves to 28 February when the target year has no such day.
     """
-    table = literal_table(
-        df.sparkSession, rules, "_round int, _entity string, _month_lt int, _years int"
-    )
+    if not isinstance(rules, DataFrame):
+        rules = literal_table(df.sparkSession, rules, YEAR_RULE)
+    table = rules.toDF("_round", "_entity", "_month_lt", "_years")
     moved = F.when(
         F.col("_years").isNotNull()
         & (F.col("_month_lt").isNull() | (F.month(time) < F.col("_month_lt"))),

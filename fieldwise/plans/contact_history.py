@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from ..constants import AGE_BANDS, BASE_YEAR, FIELDWORK_YEAR_RULES, INTERVIEW_LABELS, UNUSED_PREFIXES
 from ..functions.recode import (
     bin_numeric, build_timestamp, code_flag, collapse_levels, decode_map, drop_by_prefix,
-    group_key, recode, score_classes, score_flags,
+    group_key, lump_rare_levels, recode, score_classes, score_flags,
 )
 from ..operators.history import (
     apply_fieldwork_year, attempts_long, group_widths, interview_flag, success_columns,
 )
-from ..sources.contacts import union_rounds
+from ..sources.contacts import decode_labels, union_rounds
 
 # Columns of the history, in order.
 HISTORY = [
@@ -25,10 +25,19 @@ HISTORY = [
 ]
 
 
-def derive_covariates(wide: DataFrame) -> DataFrame:
-    """Case-level variables of a contact form from its codes."""
+def derive_covariates(wide: DataFrame, lump: bool = True) -> DataFrame:
+    """Case-level variables of a contact form from its codes.
+
+    ``physical_assessment`` needs the counts of the whole form; without ``lump`` it is left out
+    and the step is narrow.
+    """
     c = F.col
-    df = wide.withColumns({
+    df = wide
+    if lump:
+        df = lump_rare_levels(
+            df.withColumn("physical_assessment", c("physa").cast("string")), "physical_assessment"
+        )
+    df = df.withColumns({
         "interview": code_flag("interva", 1),
         "interva789": code_flag("interva", [7, 8, 9]),
         "interview_na": F.coalesce(code_flag("interva", [7, 8, 9]), F.lit(False))
@@ -80,15 +89,20 @@ def derive_covariates(wide: DataFrame) -> DataFrame:
 
 
 def round_history(
-    wide: DataFrame, round_no: int, base_year: int | None = None, rules=FIELDWORK_YEAR_RULES
+    wide: DataFrame, round_no: int, base_year: int | None = None,
+    rules: DataFrame | Sequence[tuple] = FIELDWORK_YEAR_RULES, labels: DataFrame | None = None,
 ) -> DataFrame:
     """Long history of one round of person samples.
 
     With ``base_year`` the attempt times come as month, day, hour and minute
     columns without a year; without it the form has ``dateca<i>`` timestamps.
-    ``resulb<i>`` hold outcome labels.
+    ``typesamp`` and ``resulb<i>`` hold labels, or codes that the code book ``labels`` decodes
+    (var, code, label with the variables typesamp and resulb).
     """
-    df = derive_covariates(wide).filter(F.col("typesamp") == "Individual person")
+    if labels is not None:
+        repeated = {f"resulb{i}": "resulb" for i in group_widths(wide, "resulb")}
+        wide = decode_labels(wide, labels, {"typesamp": "typesamp", **repeated})
+    df = derive_covariates(wide, lump=False).filter(F.col("typesamp") == "Individual person")
     df = df.withColumn("round", F.lit(round_no))
     widths = group_widths(df, "monv" if base_year else "dateca")
     results = group_widths(df, "resulb")
@@ -109,13 +123,27 @@ def round_history(
     df = df.withColumns({"success": index, "n_success": total})
     long = attempts_long(df, {"contact": "time"})
     if base_year:
-        long = apply_fieldwork_year(long, [r for r in rules if r[0] == round_no])
+        own = (
+            rules.filter(F.col(rules.columns[0]) == round_no) if isinstance(rules, DataFrame)
+            else [r for r in rules if r[0] == round_no]
+        )
+        long = apply_fieldwork_year(long, own)
     return long
 
 
-def build_history(rounds: Mapping[int, DataFrame], base_years=BASE_YEAR) -> DataFrame:
-    """Union of all rounds with the group key; one narrow plan, no shuffle."""
-    parts = [round_history(w, r, base_years.get(r)) for r, w in rounds.items()]
+def build_history(
+    rounds: Mapping[int, DataFrame], base_years=BASE_YEAR,
+    rules: DataFrame | Sequence[tuple] = FIELDWORK_YEAR_RULES,
+    labels: Mapping[int, DataFrame] | None = None,
+) -> DataFrame:
+    """Union of all rounds with the group key; one narrow plan, no shuffle.
+
+    ``labels`` are the code books of rounds that come with codes in place of labels.
+    """
+    books = labels or {}
+    parts = [
+        round_history(w, r, base_years.get(r), rules, books.get(r)) for r, w in rounds.items()
+    ]
     df = union_rounds(*parts)
     df = df.withColumns({
         "round_x": F.col("round").cast("string"),

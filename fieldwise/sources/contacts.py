@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-
-# A literal dimension table is broadcast; beyond this many rows pass a DataFrame.
-MAX_LITERAL_ROWS = 10_000
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def read_contact_forms(
@@ -31,27 +30,49 @@ def read_stage(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """Short driver-side dimension table, marked for broadcast after a size check."""
-    if len(rows) > MAX_LITERAL_ROWS:
-        raise ValueError(f"{len(rows)} rows: pass a DataFrame read from files instead")
-    return F.broadcast(spark.createDataFrame(list(rows), schema))
+    """Driver-side dimension table.
+
+    It goes in as Arrow, so Catalyst knows its bytes and broadcasts it only if they are few.
+    """
+    kind = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kind)
+    columns = list(zip(*rows)) if rows else [()] * len(kind)
+    table = pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    return spark.createDataFrame(table, kind)
 
 
-def decode_labels(df: DataFrame, labels: DataFrame, cols: Sequence[str]) -> DataFrame:
+def decode_labels(
+    df: DataFrame, labels: DataFrame, cols: Sequence[str] | Mapping[str, str]
+) -> DataFrame:
     """Replace codes by labels.  ``labels`` has columns var, code, label.
 
-    A label table read from files is broadcast by its real size.
+    ``cols`` are columns named like their variable, or column -> variable.  The code book
+    becomes one row with a map per variable, which a scalar subquery hands to all columns: one
+    pass over ``df`` however many there are, without a join or shuffle.  A code without a label
+    gives NULL; of several labels of a code the smallest counts.
     """
-    for c in cols:
-        d = labels.filter(F.col("var") == c).select(
-            F.col("code").alias("_code"), F.col("label").alias("_label")
-        )
-        df = (
-            df.join(d, df[c] == d["_code"], "left")
-            .withColumn(c, F.col("_label"))
-            .drop("_code", "_label")
-        )
-    return df
+    names = dict(cols) if isinstance(cols, Mapping) else {c: c for c in cols}
+    kind = labels.schema["code"].dataType
+    variables = sorted(set(names.values()))
+    entries = (
+        labels.filter(F.col("var").isin(variables) & F.col("code").isNotNull())
+        .groupBy("var", "code").agg(F.min("label").alias("label"))
+    )
+    books = entries.agg(F.struct(*[
+        F.map_from_entries(
+            F.collect_list(F.when(F.col("var") == v, F.struct("code", "label")))
+        ).alias(f"book{i}")
+        for i, v in enumerate(variables)
+    ])).scalar()
+
+    def decoded(col: str, var: str) -> Column:
+        own = df.schema[col].dataType
+        key = F.col(col) if own == kind else F.col(col).try_cast(kind)
+        label = F.try_element_at(books.getField(f"book{variables.index(var)}"), key)
+        # 2.5 is no 2
+        return label if own == kind else F.when(key.try_cast(own) == F.col(col), label)
+
+    return df.withColumns({c: decoded(c, v) for c, v in names.items()})
 
 
 def union_rounds(*dfs: DataFrame) -> DataFrame:
