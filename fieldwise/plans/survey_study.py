@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from ..operators.summaries import (
 from ..operators.targeting import attempts_saved, selection_scatter, selection_thresholds
 from ..sources.contacts import union_rounds
 from ..specs import Levels, ModelSpec
-from ..stages import stage
+from ..stages import stage, stage_scope
 from .scenarios import (
     SAVED_FLAGS, Scenario, case_table, indicator_grid, model_specs, propensity_fits,
     scenario_cases,
@@ -151,6 +151,23 @@ def run_study(history: DataFrame, s: Scenario = SURVEY) -> StudyResults:
     )
 
 
+def write_study(history: DataFrame, path: str, s: Scenario = SURVEY) -> list[str]:
+    """Run the study and write each result as a table under ``path``; returns their names.
+
+    The study's stages are deleted at the end: what is left are the results.
+    """
+    names = []
+    with stage_scope(history.sparkSession):
+        out = run_study(history, s)
+        for field in fields(out):
+            value = getattr(out, field.name)
+            parts = value if isinstance(value, dict) else {"": value}
+            for key, table in parts.items():
+                names.append("-".join(x for x in (field.name, key) if x))
+                table.write.mode("overwrite").parquet(f"{path}/{names[-1]}")
+    return names
+
+
 def outcome_effects(
     respondents: DataFrame, included: DataFrame, by: str = "cntry",
     analysed: str = "Interviewer observations and Demographics",

@@ -20,8 +20,12 @@ def read_contact_forms(
 
 
 def write_stage(df: DataFrame, path: str, partition_by: Sequence[str] = ("round",)) -> None:
-    """Persist a stage of the work, one directory per round."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    """Persist a stage of the work, one directory per round.
+
+    Rows are dealt by round and then cut or joined by bytes (the advisory partition size), so a
+    large round has many files, a small one a single file, and no task a whole large round.
+    """
+    df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
 def read_stage(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
