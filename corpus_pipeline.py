@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldwise.llm import order_minhash, output_codes, site_quality, spaced_seeds, sql_bpe
 from fieldwise.llm.common import table
-from fieldwise.stages import shared_dir
+from fieldwise.stages import shared_dir, stage_scope
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written in the shared folder."""
+    """All stages over documents; each stage's result is written in the shared folder.
+
+    What a stage staged for itself is deleted when its result is written.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/pipeline-{uuid.uuid4().hex}"
     for name, step in STAGES:
-        step(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with stage_scope(spark):
+            step(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs
