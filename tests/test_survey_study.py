@@ -94,6 +94,30 @@ def test_history_is_read_once(history, monkeypatch):
     assert seen[0] and all("/attempts-" in path for path in seen[0])
 
 
+def test_written_study_leaves_only_its_results(spark, history, tmp_path):
+    from pathlib import Path
+
+    from fieldwise.stages import shared_dir, stage, stage_scope, times_dropped
+
+    mine = Path(shared_dir(spark)) / spark.sparkContext.applicationId
+    before, dropped = set(mine.glob("*")), times_dropped(spark)
+    names = survey_study.write_study(history, str(tmp_path))
+    assert sorted(p.name for p in tmp_path.iterdir()) == sorted(names) and "scatter-full" in names
+    assert set(mine.glob("*")) == before and times_dropped(spark) == dropped + 1
+    grid = spark.read.parquet(str(tmp_path / "grid"))
+    assert grid.count() == 60
+    with pytest.raises(InterruptedError), stage_scope(spark):
+        stage(spark.range(3), "broken")
+        raise InterruptedError
+    assert set(mine.glob("*")) == before
+    with stage_scope(spark):
+        outer = stage(spark.range(3), "outer")
+        with stage_scope(spark):
+            stage(spark.range(3), "inner")
+        assert outer.count() == 3 and not list(mine.glob("inner-*"))
+    assert set(mine.glob("*")) == before
+
+
 def test_levels_without_model(spark):
     cases = spark.createDataFrame(
         [("BE", p, early, v) for p, early, v in (
