@@ -2,7 +2,7 @@
 
 Labelled page outcomes are counted per host; rates are shrunk from host to registered domain
 to suffix to all (shrink.py), and a host is blocked when the lower posterior bound of its bad
-rate passes a limit.  Explicit rules on (host, path) come before the method.
+rate passes a limit set by the rate of all outcomes.  Explicit rules on (host, path) come before the method.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..stages import stage
-from .shrink import lower_bound, posteriors
+from .shrink import lower_bound, overall_rate, posteriors
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Registries that give out names under a second label.
@@ -21,6 +21,10 @@ SUFFIXES = (
     "ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp",
     "co.nz", "co.in", "co.kr", "co.za", "com.br", "com.cn", "com.mx", "com.tr",
 )
+#: A host is blocked where its odds of bad are surely over this many times those of all pages.
+LIFT = 2.0
+#: Standard deviations between a posterior's mean and its bound (95 % on one side).
+Z = 1.645
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts so.
 Rule = tuple[str, str, str]
 
@@ -74,19 +78,25 @@ def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     return (F.lit(None).cast("string"),) * 2 if name is F else (name, verdict)
 
 
+def limit_for(overall: float, lift: float = LIFT) -> float:
+    """The rate whose odds are ``lift`` times those of ``overall``."""
+    return lift * overall / (1 - overall + lift * overall)
+
+
 def judge(
     pages: DataFrame,
     outcomes: DataFrame,
     rules: Sequence[Rule],
-    limit: float = 0.5,
-    z: float = 1.645,
+    limit: float | None = None,
+    z: float = Z,
     suffixes: Sequence[str] = SUFFIXES,
 ) -> DataFrame:
     """One row per row of ``pages`` (page_id, url): host, path, rule, verdict.
 
     ``outcomes`` (url, bad 0/1) are the labelled pages; NULLs in ``bad`` do not count.  A url
     that is NULL or has no host is allowed unless a rule fits; without any outcome all hosts
-    are allowed.  Hosts without outcomes stand on their domain, domains on their suffix.  User
+    are allowed.  Without ``limit`` it is the rate whose odds are LIFT times those of all
+    outcomes: 0.26 where 15 % are bad, 0.5 where a third is.  Hosts without outcomes stand on their domain, domains on their suffix.  User
     and port are no part of a host's reputation, and an address shares it with nobody.
     A host with very many pages is counted before it is shuffled, and pages meet their host's
     one row in a join that Spark may broadcast or split.
@@ -101,7 +111,10 @@ def judge(
     suffix = suffix_of(F.col("site"), suffixes)
     counts = counts.withColumn("suffix", suffix)
     counts = counts.withColumn("domain", domain_of(F.col("site"), F.col("suffix")))
-    reputation = posteriors(stage(counts, "host-counts"), ["suffix", "domain", "site"])
+    counts = stage(counts, "host-counts")
+    if limit is None:
+        limit = limit_for(overall_rate(counts))
+    reputation = posteriors(counts, ["suffix", "domain", "site"])
     blocked = stage(
         reputation.filter((lower_bound(z) > limit) & (F.col("site") != "")).select(
             F.col("site").alias("bad_site")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from .host_reputation import LIFT, SUFFIXES, Z, Rule
 from .pivot_clusters import CLUSTERS, PARTS, ROUNDS, SCALE
+from .shrink import RHO
 
 EXACT_DEDUP = r"""
 with digests as (
@@ -84,3 +88,68 @@ select lang, row_number() over (partition by lang order by score desc, a desc, p
 from lowest join totals using (lang)
 qualify rank <= 2000
 """
+
+
+def _level(i: int, keys: Sequence[str], parents: str) -> str:
+    """Counts of one level around their parents' means, its prior strength and its posteriors."""
+    by = ", ".join(keys)
+    return f"""
+child{i} as (
+    select c.*, parent from (select {by}, sum(n) as n, sum(k) as k from counts group by {by}) c {parents}),
+strength{i} as (
+    select case when coalesce(sum(one * (n - 1)), 0) = 0 then 1 / {RHO[0]}::double - 1
+        else 1 / least(greatest((sum(n * pow(k / n - parent, 2)) - sum(one)) / sum(one * (n - 1)), {RHO[0]}), {RHO[1]}) - 1
+        end as s
+    from (select n::double as n, k::double as k, parent, parent * (1 - parent) as one from child{i} where n > 0)),
+level{i} as (
+    select *, a / (a + b) as mean from (
+        select {by}, s * parent + k as a, s * (1 - parent) + n - k as b from child{i}, strength{i})),"""
+
+
+def host_verdicts_sql(rules: Sequence[Rule]) -> str:
+    """Rules, and hosts blocked by their posterior bound."""
+    named = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rules)
+    listed = ", ".join(f"('{s}')" for s in SUFFIXES)
+    levels = _level(0, ["suffix"], "cross join overall")
+    for i, keys in enumerate((["suffix", "domain"], ["suffix", "domain", "site"]), 1):
+        above = ", ".join(keys[:-1])
+        levels += _level(i, keys, f"join (select {above}, mean as parent from level{i - 1}) using ({above})")
+    return rf"""
+with cut as (
+    select page_id, url, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', ['host', 'path']) as u,
+           try_cast(nullif(regexp_extract(url, '/(\d+)(?:[/.?#].*)?$', 1), '') as bigint) as page_doc
+    from pages),
+hosts as (
+    select page_id, page_doc, u.path as path,
+           translate(u.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host
+    from cut),
+sites as (
+    select *, regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '\.$', '') as site
+    from hosts),
+outcomes as (
+    select site, 1 as n, (quality = 0)::int as k from sites join labels on page_doc = doc_id where quality is not null
+    union all select site, 0, 0 from sites),
+per_site as (select site, sum(n) as n, sum(k) as k from outcomes group by site),
+suffixed as (
+    select *, case when regexp_full_match(site, '[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}') or starts_with(site, '[') then site
+        else coalesce(
+            (select max_by(s, length(s)) from (values {listed}) l(s) where site = s or ends_with(site, '.' || s)),
+            string_split(site, '.')[-1]) end as suffix
+    from per_site),
+counts as (
+    select *, case when label = '' then suffix else label || '.' || suffix end as domain
+    from (select *, string_split(left(site, greatest(length(site) - length(suffix) - 1, 0)), '.')[-1] as label
+          from suffixed)),
+overall as (select (coalesce(sum(k), 0) + 0.5::double) / (coalesce(sum(n), 0) + 1) as parent from counts),{levels}
+bad as (
+    select site from level2, overall
+    where a / (a + b) - {Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
+          > {LIFT} * parent / (1 - parent + {LIFT} * parent) and site <> ''),
+fitting as (
+    select page_id, max_by(h || p, length(h || p)) as rule, max_by(v, length(h || p)) as ruled
+    from sites join (values {named}) r(v, h, p) on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
+    group by page_id)
+select page_id, host, path, rule,
+       coalesce(ruled, case when site in (select site from bad) then 'block' else 'allow' end) as verdict
+from sites left join fitting using (page_id)
+"""

@@ -100,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 ORACLES: dict[str, str] = {
+    "op4_host_reputation": oracles.host_verdicts_sql(RULES),
     "op11_bloom_dedup": oracles.EXACT_DEDUP,
     "op12_pivot_clusters": oracles.clusters_sql(),
     "op13_stripes": oracles.COLLOCATIONS,

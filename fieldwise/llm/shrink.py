@@ -30,6 +30,12 @@ def _strength(children: DataFrame) -> float:
     return 1 / rho - 1
 
 
+def overall_rate(counts: DataFrame) -> float:
+    """Rate of all outcomes of ``counts`` (n, k), drawn to 1/2 by one outcome."""
+    total = counts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
+    return ((total.k or 0) + 0.5) / ((total.n or 0) + 1)
+
+
 def posteriors(counts: DataFrame, levels: Sequence[str]) -> DataFrame:
     """One row per key of the finest level: levels, ``a``, ``b`` of its Beta posterior.
 
@@ -37,8 +43,7 @@ def posteriors(counts: DataFrame, levels: Sequence[str]) -> DataFrame:
     them positive.  Keys without outcomes get their parent's mean at the prior's strength.
     Pass a staged frame: it is read a few times.  Without any outcome all means are 1/2.
     """
-    total = counts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
-    mean = ((total.k or 0) + 0.5) / ((total.n or 0) + 1)
+    mean = overall_rate(counts)
     parents = None
     for i in range(len(levels)):
         keys = list(levels[: i + 1])
