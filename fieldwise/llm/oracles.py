@@ -106,7 +106,7 @@ level{i} as (
         select {by}, s * parent + k as a, s * (1 - parent) + n - k as b from child{i}, strength{i})),"""
 
 
-def host_verdicts_sql(rules: Sequence[Rule]) -> str:
+def host_verdicts_sql(rules: Sequence[Rule], page_doc: str) -> str:
     """Rules, and hosts blocked by their posterior bound."""
     named = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rules)
     listed = ", ".join(f"('{s}')" for s in SUFFIXES)
@@ -116,11 +116,10 @@ def host_verdicts_sql(rules: Sequence[Rule]) -> str:
         levels += _level(i, keys, f"join (select {above}, mean as parent from level{i - 1}) using ({above})")
     return rf"""
 with cut as (
-    select page_id, url, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', ['host', 'path']) as u,
-           try_cast(nullif(regexp_extract(url, '/(\d+)(?:[/.?#].*)?$', 1), '') as bigint) as page_doc
+    select page_id, url, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', ['host', 'path']) as u
     from pages),
 hosts as (
-    select page_id, page_doc, u.path as path,
+    select page_id, u.path as path, try_cast(nullif(regexp_extract(u.path, '{page_doc}', 1), '') as bigint) as page_doc,
            translate(u.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host
     from cut),
 sites as (

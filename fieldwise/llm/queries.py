@@ -20,6 +20,8 @@ RULES = [
     ("allow", "org", "/fr/"),
 ]
 
+PAGE_DOC = r"/([0-9]+)(?:\.[^/]*)?/*\z"
+
 
 def op1_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = sharding.even_tree(SHARDS)
@@ -37,9 +39,9 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's outcome is the label of the document whose id its url ends with."""
+    """A page's outcome is the label of the document whose id ends its url's path (``/7``, ``/7/``, ``/7.html``)."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
-    linked = pages.select("url", F.regexp_extract("url", r"/(\d+)(?:[/.?#].*)?$", 1).alias("page_doc"))
+    linked = pages.select("url", F.regexp_extract(host_reputation.path_of(F.col("url")), PAGE_DOC, 1).alias("page_doc"))
     linked = linked.withColumn("page_doc", F.expr("try_cast(page_doc as bigint)"))
     known = labels.select(F.col("doc_id").alias("l_id"), (F.col("quality") == 0).cast("int").alias("bad"))
     outcomes = linked.join(known, F.col("page_doc") == F.col("l_id")).select("url", "bad")
@@ -100,7 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 ORACLES: dict[str, str] = {
-    "op4_host_reputation": oracles.host_verdicts_sql(RULES),
+    "op4_host_reputation": oracles.host_verdicts_sql(RULES, PAGE_DOC),
     "op11_bloom_dedup": oracles.EXACT_DEDUP,
     "op12_pivot_clusters": oracles.clusters_sql(),
     "op13_stripes": oracles.COLLOCATIONS,
