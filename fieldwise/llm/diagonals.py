@@ -2,15 +2,13 @@
 
 The hashes of all runs of K words of the corpus are joined to the runs of the templates; a hit
 votes for the diagonal (place in the text less place in the template).  Neighbouring diagonals
-(a word more or less) are merged and the merged span is verified: enough of the template's
-runs must be met, within a span about as long as the template.
+(words more or less) are merged and the span is verified by alignment: enough of the template's
+runs must be met in the template's order, within a span about as long as the template.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +37,28 @@ TEMPLATES = {
     "licensed under cc by sa 4 0": "cc-by-sa",
     "licensed under a creative commons attribution license": "cc-notice",
     "dedicated to the public domain": "public-domain",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions"
+    " of the software": "mit",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the"
+    " warranties of merchantability fitness for a particular purpose and noninfringement": "mit",
+    "you may not use this file except in compliance with the license you may obtain a copy of the license at":
+    "apache-2.0",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed"
+    " on an as is basis without warranties or conditions of any kind either express or implied": "apache-2.0",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following"
+    " disclaimer": "bsd",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied"
+    " warranty of merchantability or fitness for a particular purpose": "gpl-notice",
+    "if a copy of the mpl was not distributed with this file you can obtain one at": "mpl",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby"
+    " granted": "isc",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this"
+    " work": "cc0",
 }
-#: Share of a template's runs that a span must meet, and how far diagonals may drift apart.
-SHARE, DRIFT = 0.7, 2
+#: Share of a template's runs that a span must meet, and how many words it may be longer or
+#: shorter than the template.
+SHARE, DRIFT = 0.7, 4
 #: Places of a template in one long of its set of places.
 BITS = 63
 
@@ -90,46 +107,82 @@ def _corpus_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             row += piece.num_rows
 
 
+def _aligned(diagonals: list[int], places: list[list[int]], runs: int) -> tuple[int, int, int]:
+    """The longest chain of hits in the order of both text and template, the shortest of these.
+
+    ``places`` has the set of the template's places met on each of the few diagonals.
+    """
+    # best[j][p]: the best chain that ends on diagonal j before place p, as (hits, first, -last)
+    best = [[(0, 0, 0)] for _ in diagonals]
+    for p in range(runs):
+        for j, d in enumerate(diagonals):
+            top = best[j][p]
+            if places[j][p // BITS] >> p % BITS & 1:
+                # an earlier hit q on diagonal e stands before this one: q < p and q + e < p + d
+                met, first, _ = max(b[max(min(p, p + d - e), 0)] for b, e in zip(best, diagonals))
+                top = max(top, (met + 1, first if met else p + d, -(p + d)))
+            best[j].append(top)
+    met, first, last = max(b[runs] for b in best)
+    return met, first, -last
+
+
 def spans(docs: DataFrame, base: Mapping[str, str], templates: Mapping[str, str]) -> DataFrame:
     """Verified spans and bare rows of ``docs`` (doc_id, text).
 
     Columns row, doc_id, n_words, label, literal, first, last (words of the span), share (of the
     template's runs that were met).  Every text has one row with NULL label besides its spans.
-    A place of a template counts once in a span, however often its words are repeated there.
-    Only hits are shuffled, and first counted where they are found.
+    A place of a template counts once in a span, however often its words are repeated there,
+    and places out of order do not count together.  Spans of one template may overlap, as
+    different alignments that are both good enough.
+    Only hits are shuffled, and first counted where they are found; what is aligned are the
+    sets of places on at most DRIFT + 1 diagonals.
     """
     known = stage(template_grams(docs.sparkSession, base, templates), "templates")
     blocks = range(max(len(t.split()) for t in (*base, *templates)) // BITS + 1)
-    places = {f"places{j}": F.bit_or(F.when(F.col("block") == j, F.col("bit"))) for j in blocks}
+    places = [F.bit_or(F.when(F.col("block") == j, F.col("bit"))) for j in blocks]
     rows = docs.select("doc_id", "text").mapInArrow(
         _corpus_grams, "row long, doc_id long, n_words long, at int, gram long"
     )
     met = rows.join(known, "gram", "left").filter("label is not null or at < 0")
-    votes = met.groupBy(
-        "row", "doc_id", "n_words", "template", "label", "literal", "runs",
-        (F.col("at") - F.col("place")).alias("diagonal"),
-    ).agg(
-        F.min("at").alias("first"), F.max("at").alias("last"), F.count("template").alias("votes"),
-        *[p.alias(name) for name, p in places.items()],
+    own = ["row", "doc_id", "n_words", "template", "label", "literal", "runs"]
+    votes = met.groupBy(*own, (F.col("at") - F.col("place")).alias("diagonal")).agg(
+        F.count("template").alias("votes"), *[p.alias(f"places{j}") for j, p in zip(blocks, places)]
+    )
+    # a text's bare row and literal phrases, which stand on one diagonal
+    plain = votes.filter(F.col("label").isNull() | F.col("literal") & (F.col("votes") == F.col("runs")))
+    plain = plain.select(
+        "row", "doc_id", "n_words", "label", "literal", F.col("diagonal").alias("first"),
+        (F.col("diagonal") + F.col("runs") + K - 2).alias("last"), (F.col("votes") / F.col("runs")).alias("share"),
+    )
+    near = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(0, DRIFT)
+    sets = F.array(*[F.coalesce(F.col(f"places{j}"), F.lit(0)) for j in blocks])
+    merged = votes.filter(~F.col("literal")).withColumns({
+        "found": F.collect_list(F.struct("diagonal", sets.alias("places"))).over(near),
+        "most": F.max("votes").over(near),
+        "all_votes": F.sum("votes").over(near),
+    })
+    # a diagonal that has the whole template speaks for those just before it
+    enough = (F.col("all_votes") >= SHARE * F.col("runs")) & (
+        (F.col("most") < F.col("runs")) | (F.col("votes") == F.col("runs"))
+    )
+    whole = F.struct(
+        F.col("runs").cast("int").alias("met"), F.col("diagonal").cast("int").alias("first"),
+        (F.col("diagonal") + F.col("runs") - 1).cast("int").alias("last"),
     )
-    # literal phrases stand on one diagonal; others join diagonals at most DRIFT apart
-    order = Window.partitionBy("row", "template").orderBy("diagonal")
-    fresh = F.col("literal") | (F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT)
-    votes = votes.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int"))
-    votes = votes.withColumn("group", F.sum("fresh").over(order))
-    merged = votes.groupBy("row", "doc_id", "n_words", "template", "label", "literal", "runs", "group").agg(
-        F.min("first").alias("first"), (F.max("last") + K - 1).alias("last"), F.max("votes").alias("best"),
-        *[F.bit_or(name).alias(name) for name in places],
+    part = merged.filter(enough)
+    align = F.udf(_aligned, "struct<met:int,first:int,last:int>", useArrow=True)
+    partly = part.filter(F.col("votes") < F.col("runs")).withColumn(
+        "span", align("found.diagonal", "found.places", "runs")
     )
-    met_places = reduce(add, [F.coalesce(F.bit_count(name), F.lit(0)) for name in places])
-    share = met_places / F.col("runs")
-    fits = F.when(F.col("literal"), F.col("best") == F.col("runs")).otherwise(
-        (F.col("best") >= SHARE * F.col("runs"))
-        | (share >= SHARE) & (F.col("last") - F.col("first") + 1 <= F.col("runs") + K - 1 + 2 * DRIFT)
+    checked = part.filter(F.col("votes") == F.col("runs")).withColumn("span", whole).unionByName(partly)
+    best = checked.filter(F.col("span.met") >= SHARE * F.col("runs")).groupBy(*own, F.col("span.last").alias("end")).agg(
+        F.max(F.struct("span.met", "span.first")).alias("best")
     )
-    return merged.filter(F.col("label").isNull() | fits).select(
-        "row", "doc_id", "n_words", "label", "literal", "first", "last", share.alias("share")
+    aligned = best.select(
+        "row", "doc_id", "n_words", "label", "literal", F.col("best.first").alias("first"),
+        (F.col("end") + K - 1).alias("last"), (F.col("best.met") / F.col("runs")).alias("share"),
     )
+    return plain.unionByName(aligned)
 
 
 def scan(docs: DataFrame, base: Mapping[str, str] = BASE, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
