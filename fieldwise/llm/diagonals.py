@@ -107,11 +107,16 @@ def _corpus_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             row += piece.num_rows
 
 
-def _aligned(diagonals: list[int], places: list[list[int]], runs: int) -> tuple[int, int, int]:
+def _aligned(
+    diagonals: list[int] | None, places: list[list[int]] | None, runs: int | None
+) -> tuple[int, int, int] | None:
     """The longest chain of hits in the order of both text and template, the shortest of these.
 
-    ``places`` has the set of the template's places met on each of the few diagonals.
+    ``places`` has the set of the template's places met on each of the few diagonals; None for
+    rows that need no alignment.
     """
+    if diagonals is None:
+        return None
     # best[j][p]: the best chain that ends on diagonal j before place p, as (hits, first, -last)
     best = [[(0, 0, 0)] for _ in diagonals]
     for p in range(runs):
@@ -148,41 +153,32 @@ def spans(docs: DataFrame, base: Mapping[str, str], templates: Mapping[str, str]
     votes = met.groupBy(*own, (F.col("at") - F.col("place")).alias("diagonal")).agg(
         F.count("template").alias("votes"), *[p.alias(f"places{j}") for j, p in zip(blocks, places)]
     )
-    # a text's bare row and literal phrases, which stand on one diagonal
-    plain = votes.filter(F.col("label").isNull() | F.col("literal") & (F.col("votes") == F.col("runs")))
-    plain = plain.select(
-        "row", "doc_id", "n_words", "label", "literal", F.col("diagonal").alias("first"),
-        (F.col("diagonal") + F.col("runs") + K - 2).alias("last"), (F.col("votes") / F.col("runs")).alias("share"),
-    )
     near = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(0, DRIFT)
     sets = F.array(*[F.coalesce(F.col(f"places{j}"), F.lit(0)) for j in blocks])
-    merged = votes.filter(~F.col("literal")).withColumns({
+    merged = votes.withColumns({
         "found": F.collect_list(F.struct("diagonal", sets.alias("places"))).over(near),
         "most": F.max("votes").over(near),
         "all_votes": F.sum("votes").over(near),
     })
-    # a diagonal that has the whole template speaks for those just before it
-    enough = (F.col("all_votes") >= SHARE * F.col("runs")) & (
-        (F.col("most") < F.col("runs")) | (F.col("votes") == F.col("runs"))
-    )
-    whole = F.struct(
-        F.col("runs").cast("int").alias("met"), F.col("diagonal").cast("int").alias("first"),
-        (F.col("diagonal") + F.col("runs") - 1).cast("int").alias("last"),
-    )
-    part = merged.filter(enough)
+    whole = F.col("votes") == F.col("runs")
+    # a diagonal that has the whole template speaks for those just before it; literal phrases
+    # stand on one diagonal
+    maybe = ~F.col("literal") & (F.col("most") < F.col("runs")) & (F.col("all_votes") >= SHARE * F.col("runs"))
+    merged = merged.filter(F.col("label").isNull() | whole | maybe)
     align = F.udf(_aligned, "struct<met:int,first:int,last:int>", useArrow=True)
-    partly = part.filter(F.col("votes") < F.col("runs")).withColumn(
-        "span", align("found.diagonal", "found.places", "runs")
-    )
-    checked = part.filter(F.col("votes") == F.col("runs")).withColumn("span", whole).unionByName(partly)
-    best = checked.filter(F.col("span.met") >= SHARE * F.col("runs")).groupBy(*own, F.col("span.last").alias("end")).agg(
-        F.max(F.struct("span.met", "span.first")).alias("best")
+    parts = F.when(maybe, F.col("found"))
+    merged = merged.withColumn("partly", align(parts["diagonal"], parts["places"], "runs")).withColumns({
+        "met": F.when(whole, F.col("runs")).otherwise(F.col("partly.met")),
+        "first": F.when(whole, F.col("diagonal")).otherwise(F.col("partly.first")),
+        "end": F.when(whole, F.col("diagonal") + F.col("runs") - 1).otherwise(F.col("partly.last")),
+    })
+    best = merged.filter(F.col("label").isNull() | (F.col("met") >= SHARE * F.col("runs"))).groupBy(*own, "end").agg(
+        F.max("met").alias("met"), F.max_by("first", F.struct("met", "first")).alias("first")
     )
-    aligned = best.select(
-        "row", "doc_id", "n_words", "label", "literal", F.col("best.first").alias("first"),
-        (F.col("end") + K - 1).alias("last"), (F.col("best.met") / F.col("runs")).alias("share"),
+    return best.select(
+        "row", "doc_id", "n_words", "label", "literal", "first", (F.col("end") + K - 1).alias("last"),
+        (F.col("met") / F.col("runs")).alias("share"),
     )
-    return plain.unionByName(aligned)
 
 
 def scan(docs: DataFrame, base: Mapping[str, str] = BASE, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
