@@ -698,7 +698,7 @@ def test_bpe_windows_without_a_common_token(monkeypatch):
 # all
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES])
 def test_empty_tables(spark, name, tmp_path):
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "embeddings", "pages", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
 
