@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..stages import shared_dir, stage
-from .common import slices
+from .common import slices, text_buffer
 from .ordered import range_bounds, range_numbers, ranges_for
-from .units import WORD, Codes, latin_pieces
+from .units import WORD, Memory, latin_pieces
 
 #: Longest code in bits: the decoding table has 2 ** LIMIT entries.
 LIMIT = 18
@@ -160,17 +161,14 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose bytes begin with a space
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self.codes = Codes(self._split, self._encode)
-
-    def _split(self, text: str) -> list[str]:
-        pieces = latin_pieces(text) if self.by_piece and not self._has_added(text) else None
-        return [text] if pieces is None else pieces
+        self.codes = Memory(self._encode)
 
     def _has_added(self, text: str) -> bool:
         return any(token in text for token in self.added)
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
+    def _encode(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece; plain words are encoded as one text, and told apart by word."""
+        pieces = [u.decode() for u in pieces]
         words = [u for u in pieces if WORD.fullmatch(u)] if self.by_piece else []
         out = {}
         for i in range(0, len(words), LOT):
@@ -189,8 +187,29 @@ class Encoder:
         out.update(zip(rest, [np.array(e.ids, self.wide).tobytes() for e in found]))
         return [out[u] for u in pieces]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(codes) for codes in self.codes.of(texts)]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and the place where each text's begin and the last one's end.
+
+        A piece is looked up once for all its places in the texts.
+        """
+        data, at = text_buffer(texts)
+        if self.by_piece:
+            begins = latin_pieces(data, at, [t.encode() for t in self.added])
+        else:
+            begins = at[:-1][at[1:] > at[:-1]]
+        ends = pa.py_buffer(np.append(begins, len(data)).astype(np.int32))
+        pieces = pa.Array.from_buffers(pa.binary(), len(begins), [None, ends, pa.py_buffer(data)]).dictionary_encode()
+        _, ends, data = pieces.dictionary.buffers()
+        ends = np.frombuffer(ends, np.int32, len(pieces.dictionary) + 1).tolist()
+        data = data.to_pybytes() if data else b""
+        codes = self.codes.each([data[a:b] for a, b in pairwise(ends)])
+        flat = np.frombuffer(b"".join(codes), self.wide)
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // self.wide.itemsize
+        which = pieces.indices.to_numpy()
+        n = sizes[which]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - upto[:-1], n) + np.arange(upto[-1])]
+        return ids, upto[np.searchsorted(begins, at)]
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -208,13 +227,18 @@ def _encode(path: str, end_id: int, wide: str, bounds: list[int]):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         encoder = _encoder(path, wide)
-        end = np.array([end_id], wide).tobytes()
         for batch in batches:
             for piece in slices(batch):
-                coded = encoder.encode([t or "" for t in piece.column(1).to_pylist()])
+                ids, at = encoder.encode(piece.column(1))
+                ends = at + np.arange(len(at))  # an end id after each text
+                out = np.full(ends[-1], end_id, wide)
+                inside = np.ones(len(out), bool)
+                inside[ends[1:] - 1] = False
+                out[inside] = ids
+                offsets = pa.py_buffer((ends * out.itemsize).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), range_numbers(bounds, piece.column(0)),
-                     pa.array([c + end for c in coded], pa.binary())],
+                     pa.Array.from_buffers(pa.binary(), piece.num_rows, [None, offsets, pa.py_buffer(out)])],
                     ["doc_id", "bucket", "ids"],
                 )
 

@@ -314,6 +314,47 @@ def test_added_tokens_are_the_librarys(spark, tmp_path):
         assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(ids), zlib.crc32(ids.tobytes())) for ids in coded]
 
 
+def test_latin_pieces_are_those_of_the_pattern():
+    import regex
+
+    from fieldwise.llm.units import latin_pieces
+
+    full, rng = regex.compile(vocab.PATTERN).findall, np.random.default_rng(9)
+    latin = [*" \t\n\r'stmdrevlSZ19.!é\u024fÀ", "'s", "'ll", "'re", "'ve", " '", "  ", "\n ", " x", "|stop|"]
+    other = [*"×÷\u0250ß½日\x0b\x1f\xa0", "|stop|"]
+    for _ in range(1500):
+        texts = ["".join(rng.choice(latin, rng.integers(0, 14))) for _ in range(rng.integers(1, 12))]
+        texts += ["".join(rng.choice(latin + other, rng.integers(0, 9)))]
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        at = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+        ends = [*latin_pieces(data, at, [b"|stop|"]).tolist(), len(data)]
+        got = [data[a:b].tobytes().decode() for a, b in itertools.pairwise(ends)]
+        expected = []
+        for t in texts:
+            whole = "|stop|" in t or re.search("[^\t\n\r -~À-ÖØ-öø-\u024f]", t)
+            expected += ([t] if t else []) if whole else full(t)
+        assert got == expected
+
+
+def test_token_files_look_a_piece_up_once_for_all_its_places():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *args):
+            Counting.asked += 1
+            return super().get(*args)
+
+    path = vocab.path("byte_bpe_50k.json")
+    encoder = token_files.Encoder(path, "<u2")
+    encoder.codes.known = Counting()
+    texts = [prose(1, 2000), None, "", prose(2, 2000), "日本 w w", "it's w1b"]
+    ids, at = encoder.encode(pa.array(texts))
+    coded = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(at)] == coded
+    # 4,000 words of 100 different ones; a text that does not begin with a space has a first word of its own
+    assert Counting.asked <= len(WORDS) + 2 + 1 + 5
+
+
 # 4 URL filter
 def test_hosts_paths_and_rules(spark):
     urls = [
