@@ -84,13 +84,13 @@ def has_bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ((bits[at >> 6] >> (at & 63).astype(U64)) & U64(1)).astype(bool)
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch with about SLICE_BYTES of text each."""
+def slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch with about ``size`` bytes of text each."""
     column = batch.column(batch.schema.get_field_index(text))
     _, at = text_buffer(column)
     begin = 0
     while begin < batch.num_rows:
-        end = int(np.searchsorted(at, at[begin] + SLICE_BYTES, "right")) - 1
+        end = int(np.searchsorted(at, at[begin] + size, "right")) - 1
         end = min(max(end, begin + 1), batch.num_rows)
         yield batch.slice(begin, end - begin)
         begin = end

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..stages import shared_dir, stage
 from .common import slices, text_buffer
 from .ordered import range_bounds, range_numbers, ranges_for
-from .units import WORD, Memory, latin_pieces
+from .units import PLAIN, WORD, Memory, latin_pieces
 
 #: Longest code in bits: the decoding table has 2 ** LIMIT entries.
 LIMIT = 18
@@ -35,6 +35,8 @@ LIMIT = 18
 EVERY, BLOCK = 128, 1 << 19
 #: Words that the tokenizer gets as one text.
 LOT = 500
+#: Bytes of text whose pieces are looked up together.
+AT_ONCE = 4 << 20
 _BLOCKS = "bucket int, number int, before long, n_tokens long, payload binary"
 
 
@@ -146,7 +148,7 @@ class Encoder:
     """The tokenizers library in one process; what short pieces gave is remembered."""
 
     def __init__(self, path: str, wide: str = "<u4"):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.wide = np.dtype(wide)
         self.tokenizer = Tokenizer.from_file(path)
@@ -161,6 +163,9 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose bytes begin with a space
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        # the same model for words of A-Z and a-z, in which the byte-level spelling changes only the space
+        self.spelled = Tokenizer(self.tokenizer.model)
+        self.spelled.pre_tokenizer = pre_tokenizers.Split("\u0120", "merged_with_next")
         self.codes = Memory(self._encode)
 
     def _has_added(self, text: str) -> bool:
@@ -168,27 +173,33 @@ class Encoder:
 
     def _encode(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece; plain words are encoded as one text, and told apart by word."""
-        pieces = [u.decode() for u in pieces]
-        words = [u for u in pieces if WORD.fullmatch(u)] if self.by_piece else []
         out = {}
+        if self.by_piece:
+            plain = [u for u in pieces if PLAIN.fullmatch(u)]
+            self._encode_words(plain, self.spelled, "\u0120", out)
+            self._encode_words([u for u in pieces if u not in out and WORD.fullmatch(u.decode())], self.tokenizer, " ", out)
+        rest = [u for u in pieces if u not in out]
+        found = self.tokenizer.encode_batch_fast([u.decode() for u in rest], add_special_tokens=False)
+        out.update(zip(rest, [np.array(e.ids, self.wide).tobytes() for e in found]))
+        return [out[u] for u in pieces]
+
+    def _encode_words(self, words: list[bytes], tokenizer, space: str, out: dict[bytes, bytes]) -> None:
+        """Put ids of words into ``out``, except where words next to each other make an added token."""
         for i in range(0, len(words), LOT):
             lot = words[i : i + LOT]
-            if self._has_added("".join(lot)):
+            text = b"".join(lot).decode()
+            if self._has_added(text):
                 continue
-            (found,) = self.tokenizer.encode_batch_fast(["".join(lot)], add_special_tokens=False)
+            (found,) = tokenizer.encode_batch_fast([text.replace(" ", space)], add_special_tokens=False)
             ids = np.array(found.ids, self.wide)
             ends = (np.flatnonzero(self.spaced[ids]) * self.wide.itemsize).tolist()[1:] + [ids.nbytes]
             if len(ends) != len(lot):
                 raise ValueError("the tokenizer does not begin each word with a space of its own")
             raw = ids.tobytes()
             out.update(zip(lot, [raw[a:b] for a, b in zip([0, *ends], ends)]))
-        rest = [u for u in pieces if u not in out]
-        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-        out.update(zip(rest, [np.array(e.ids, self.wide).tobytes() for e in found]))
-        return [out[u] for u in pieces]
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, and the place where each text's begin and the last one's end.
+    def encode(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """The ids of each text, and ``end`` after them.
 
         A piece is looked up once for all its places in the texts.
         """
@@ -203,13 +214,12 @@ class Encoder:
         ends = np.frombuffer(ends, np.int32, len(pieces.dictionary) + 1).tolist()
         data = data.to_pybytes() if data else b""
         codes = self.codes.each([data[a:b] for a, b in pairwise(ends)])
-        flat = np.frombuffer(b"".join(codes), self.wide)
-        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // self.wide.itemsize
-        which = pieces.indices.to_numpy()
-        n = sizes[which]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - upto[:-1], n) + np.arange(upto[-1])]
-        return ids, upto[np.searchsorted(begins, at)]
+        firsts = np.searchsorted(begins, at)
+        which = np.insert(pieces.indices.to_numpy(), firsts[1:], len(codes))
+        coded = pa.array([*codes, end], pa.binary()).take(pa.array(which))
+        _, ends, data = coded.buffers()
+        ends = np.frombuffer(ends, np.int32, len(coded) + 1)[firsts + np.arange(len(at))]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), data])
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -227,18 +237,11 @@ def _encode(path: str, end_id: int, wide: str, bounds: list[int]):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         encoder = _encoder(path, wide)
+        end = np.array([end_id], wide).tobytes()
         for batch in batches:
-            for piece in slices(batch):
-                ids, at = encoder.encode(piece.column(1))
-                ends = at + np.arange(len(at))  # an end id after each text
-                out = np.full(ends[-1], end_id, wide)
-                inside = np.ones(len(out), bool)
-                inside[ends[1:] - 1] = False
-                out[inside] = ids
-                offsets = pa.py_buffer((ends * out.itemsize).astype(np.int32))
+            for piece in slices(batch, size=AT_ONCE):
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), range_numbers(bounds, piece.column(0)),
-                     pa.Array.from_buffers(pa.binary(), piece.num_rows, [None, offsets, pa.py_buffer(out)])],
+                    [piece.column(0), range_numbers(bounds, piece.column(0)), encoder.encode(piece.column(1), end)],
                     ["doc_id", "bucket", "ids"],
                 )
 
@@ -263,7 +266,7 @@ def _pack(lengths: np.ndarray, wide: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = 500
+            step = 100  # few enough for the processor's cache
             for begin in range(0, batch.num_rows, step):
                 part = batch.slice(begin, step)
                 raws = [r.as_buffer() for r in part.column(2)]

@@ -20,6 +20,8 @@ _KNOWN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 
 #: Pieces that, one after the other, are cut into themselves.
 WORD = re.compile(f" [{_LATIN}]+")
+#: Those of them that are ASCII.
+PLAIN = re.compile(b" [A-Za-z]+")
 
 #: What SIMPLE tells apart, by byte; in texts that it can cut, all bytes from 128 on are of letters.
 _SPACE, _LETTER, _DIGIT, _REST, _NEVER = range(5)
@@ -47,9 +49,10 @@ def latin_pieces(data: np.ndarray, at: np.ndarray, whole: Iterable[bytes] = ())
     begins = first.copy()
     begins[1:-1] |= kind[1:] != kind[:-1]
     # the last of some blanks goes with what follows if it is a space, else it stands alone
-    last = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] != _SPACE) & ~first[1:-1])
-    begins[last] = True
-    begins[last[data[last] == 32] + 1] = False
+    blank = kind == _SPACE
+    last = blank[:-1] > (blank[1:] | first[1:-1])
+    begins[:-2] |= last
+    begins[1:-1] &= ~(last & (data[:-1] == 32))
     # an apostrophe that begins a piece takes one or two letters along
     marks = np.flatnonzero(data == 39)
     marks = marks[begins[marks]]
@@ -131,7 +134,10 @@ class Memory:
         new = [u for u, code in zip(pieces, out) if code is None]
         if new:
             fresh = list(self.encode(new))
-            self.known.update((u, code) for u, code in zip(new, fresh) if len(u) <= SHORT)
+            self.known.update(zip(new, fresh))
+            for u in new:
+                if len(u) > SHORT:
+                    del self.known[u]
             left = iter(fresh)
             out = [next(left) if code is None else code for code in out]
         return out
