@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from .common import slices
 from .units import Codes, splitter
 
+#: Bytes of text that are encoded at a time: what a process needs for it, it keeps.
+TEXT_BYTES = 1 << 19
 #: Bytes of pieces that one recursive query takes.
 LOT_BYTES = 1 << 19
 #: Pieces of more bytes are cut into windows of LONG bytes that share OVERLAP bytes; longer
@@ -279,7 +281,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = merges(path, pattern)
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, size=TEXT_BYTES):
                 texts = [t or "" for t in piece.column(1).to_pylist()]
                 coded = bpe.encode(texts)
                 yield pa.RecordBatch.from_arrays(

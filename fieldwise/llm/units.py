@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from sys import getsizeof
 
 import numpy as np
 import regex
@@ -95,30 +96,44 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
 SHORT = 64
 
 
+#: Bytes that remembered pieces may take, and what each takes beside its own objects.
+REMEMBERED, ENTRY = 96 << 20, 100
+
+
 class Codes:
     """Remembers what pieces were encoded to; ``encode`` is asked for new ones, many at a time.
 
-    The memory is bounded: past ``most`` pieces it starts over, which costs time, not results.
+    A code is a tuple of bytes.  The memory is bounded to ``most`` bytes: when half of that is
+    full, the pieces not met since the half before are forgotten, which costs time, not results.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable], most: int = 1_000_000):
-        self.split, self.encode, self.most, self.known = split, encode, most, {}
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable], most: int = REMEMBERED):
+        self.split, self.encode, self.most = split, encode, most
+        self.known, self.before, self.held = {}, {}, 0
 
     def of(self, texts: list[str]) -> list[list]:
         """The codes of each text's pieces, in order."""
-        if len(self.known) > self.most:
-            self.known.clear()
         known, out = self.known, []
         for text in texts:
             pieces = self.split(text)
             out.append(list(map(known.get, pieces, pieces)))  # a new piece stands for itself
-        new = list({c for codes in out for c in codes if c.__class__ is str})
+        new = {c for codes in out for c in codes if c.__class__ is str}
         if new:
-            fresh = dict(zip(new, self.encode(new)))
+            fresh = {u: self.before[u] for u in new if u in self.before}
+            asked = [u for u in new if u not in fresh]
+            fresh.update(zip(asked, self.encode(asked)))
             out = [[fresh[c] if c.__class__ is str else c for c in codes] for codes in out]
-            known.update((u, code) for u, code in fresh.items() if len(u) <= SHORT)
+            self._remember(fresh)
         return out
 
+    def _remember(self, fresh: dict) -> None:
+        for u, code in fresh.items():
+            if len(u) <= SHORT:
+                self.known[u] = code
+                self.held += getsizeof(u) + getsizeof(code) + sum(map(getsizeof, code)) + ENTRY
+                if 2 * self.held >= self.most:
+                    self.before, self.known, self.held = self.known, {}, 0
+
 
 class Memory:
     """Remembers as Codes does, for pieces as bytes that were cut elsewhere."""

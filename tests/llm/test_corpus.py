@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fieldwise.llm import chunk_prints, diagonals, host_reputation, order_minhash, output_codes, queries
-from fieldwise.llm import sharding, site_quality, spaced_seeds, sql_bpe, token_files
+from fieldwise.llm import sharding, site_quality, spaced_seeds, sql_bpe, token_files, units
 from fieldwise.llm.words import batch_words, word_hash
 
 SF = "/root/testdata/sf0.001"
@@ -709,6 +710,28 @@ def test_bpe_of_long_pieces_and_the_memory():
         bpe.decode([np.array([50_256], "<u4").tobytes()])
 
 
+def test_remembered_pieces_are_bounded_by_bytes():
+    often = []
+
+    def encode(pieces):
+        often.extend(p for p in pieces if p == "often")
+        return [code(p) for p in pieces]
+
+    def code(piece):
+        return 4 * piece.encode(), piece.encode()
+
+    codes = units.Codes(str.split, encode)
+    tracemalloc.start()
+    for lot in range(0, 100_000, 1_000):
+        texts = [f"often {'𐀀' * 54}{i:06d}" for i in range(lot, lot + 1_000)]
+        assert codes.of(texts) == [[code(p) for p in t.split()] for t in texts]
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 100 << 20 and often == ["often"]
+    again = "𐀀" * 54 + "000000"
+    assert codes.of([again]) == [[code(again)]]
+
+
 def test_bpe_of_pieces_and_lots_of_a_megabyte():
     import tiktoken
 
